@@ -65,13 +65,26 @@ class Runs:
         self.h = h
 
 
-def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc, tie, text): tie tells apart rows that share an id; rows equal in both are one document."""
-    return docs.select(
-        F.col(id_col).cast("long").alias("doc"),
-        F.xxhash64(F.col(id_col).cast("long"), F.col(text_col)).alias("tie"),
-        F.col(text_col).alias("text"),
-    )
+class Texts:
+    """A table of documents with what the steps need: doc, tie and text beside all of its columns.
+
+    tie tells apart rows that share an id; rows equal in doc and tie are one document.  ``wide`` is the
+    one form in which texts are dealt by document, so that Spark deals them once for both uses.
+    """
+
+    def __init__(self, docs: DataFrame, id_col: str, text_col: str):
+        self.columns, self.fields = docs.columns, docs.schema.fields
+        self.text_at = docs.columns.index(text_col)
+        self.doc, self.tie = spare_name(docs, "_doc"), spare_name(docs, "_tie")
+        key = F.col(id_col).cast("long")
+        self.wide = docs.withColumns({self.doc: key, self.tie: F.xxhash64(key, F.col(text_col))})
+        self.narrow = self.wide.select(F.col(self.doc).alias("doc"), F.col(self.tie).alias("tie"), F.col(text_col).alias("text"))
+
+    def join(self, per: DataFrame, value: str) -> DataFrame:
+        """wide and then ``value`` of per (doc, tie, value), null where per has no such document."""
+        right = per.select(F.col("doc").alias("s#doc"), F.col("tie").alias("s#tie"), F.col(value).alias("s#value"))
+        cond = self.wide[self.doc].eqNullSafe(right["s#doc"]) & (self.wide[self.tie] == right["s#tie"])
+        return self.wide.join(right.hint("shuffle_hash"), cond, "left").drop("s#doc", "s#tie")
 
 
 def common_anchors(texts: DataFrame, window: int, gram: int) -> np.ndarray:
@@ -121,7 +134,7 @@ def _twice(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([picked.column(i) for i in (1, 2, 3)], names)
 
 
-def repeat_stretches(texts: DataFrame, window: int, gram: int) -> DataFrame:
+def repeat_stretches(texts: Texts, window: int, gram: int) -> DataFrame:
     """STRETCH rows for all runs of ``window`` words that may occur elsewhere.
 
     ``start`` is the first run's first word, ``runs`` the number of consecutive runs, ``at`` the
@@ -129,7 +142,7 @@ def repeat_stretches(texts: DataFrame, window: int, gram: int) -> DataFrame:
     last run's last.  A row without words states that its run is known to repeat an earlier one of
     the same batch.
     """
-    common = common_anchors(texts, window, gram)
+    common = common_anchors(texts.narrow, window, gram)
 
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -143,19 +156,18 @@ def repeat_stretches(texts: DataFrame, window: int, gram: int) -> DataFrame:
                     ["hash", "doc", "tie", "number"],
                 )
 
-    listed = texts.mapInArrow(anchors, "hash long, doc long, tie long, number int")
+    listed = texts.narrow.mapInArrow(anchors, "hash long, doc long, tie long, number int")
     listed = listed.repartition(F.col("hash")).sortWithinPartitions("hash")
     twice = listed.mapInArrow(_twice, "doc long, tie long, number int")
     twice = twice.groupBy("doc", "tie").agg(F.collect_list("number").alias("numbers"))
-    cond = F.col("t.doc").eqNullSafe(F.col("c.doc")) & (F.col("t.tie") == F.col("c.tie"))
-    joined = texts.alias("t").join(twice.alias("c").hint("shuffle_hash"), cond, "left")
+    joined, n, text_at = texts.join(twice, "numbers"), len(texts.columns), texts.text_at
 
     def stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            doc, tie = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            numbers = batch.column(3)
+            doc, tie = batch.column(n).to_pylist(), batch.column(n + 1).to_pylist()
+            numbers = batch.column(n + 2)
             full: dict[bytes, list] = {}
-            for block in blocks(batch.column(2)):
+            for block in blocks(batch.column(text_at)):
                 found = Runs(block, window, gram)
                 part = numbers.slice(block.row0, len(block))
                 sizes = part.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
@@ -188,7 +200,7 @@ def repeat_stretches(texts: DataFrame, window: int, gram: int) -> DataFrame:
             if full:
                 yield from _represented(full, window)
 
-    return joined.select("t.doc", "t.tie", "t.text", "c.numbers").mapInArrow(stretches, STRETCH)
+    return joined.mapInArrow(stretches, STRETCH)
 
 
 def earliest(place: tuple) -> tuple:
@@ -245,25 +257,17 @@ def spans_of(stretches: DataFrame, window: int, of_group: Callable[[list[tuple],
     return stretches.repartition(F.col("key")).sortWithinPartitions("key").mapInArrow(run, SPANS)
 
 
-def apply_spans(docs: DataFrame, texts: DataFrame, spans: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """docs with n_words, n_removed, kept_text and removed (array of start, length in words, merged)."""
+def apply_spans(texts: Texts, spans: DataFrame) -> DataFrame:
+    """The documents with n_words, n_removed, kept_text and removed (array of start, length in words, merged)."""
     per = spans.groupBy("doc", "tie").agg(F.collect_list(F.struct("start", "length")).alias("spans"))
-    inner = texts if docs.columns == [id_col, text_col] else None
-    name = {c: spare_name(docs, c) for c in ("_doc", "_tie")}
-    left = docs.withColumns({name["_doc"]: F.col(id_col).cast("long"), name["_tie"]: F.xxhash64(F.col(id_col).cast("long"), F.col(text_col))}) if inner is None else inner.select(F.col("doc").alias(id_col), F.col("text").alias(text_col), F.col("doc").alias(name["_doc"]), F.col("tie").alias(name["_tie"]))
-    per = per.select(F.col("doc").alias("s_doc"), F.col("tie").alias("s_tie"), F.col("spans").alias("s_spans"))
-    cond = left[name["_doc"]].eqNullSafe(per["s_doc"]) & (left[name["_tie"]] == per["s_tie"])
-    joined = left.join(per.hint("shuffle_hash"), cond, "left")
-    wide = joined.select(*[left[c] for c in docs.columns], per["s_spans"].alias("s_spans"))
-    keep = [f for f in docs.schema.fields]
-    at, n = docs.columns.index(text_col), len(keep)
+    keep, at, n = texts.fields, texts.text_at, len(texts.columns)
     span = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("length", T.IntegerType())]))
     added = [("n_words", T.LongType()), ("n_removed", T.LongType()), ("kept_text", T.StringType()), ("removed", span)]
     schema = T.StructType([*keep, *(T.StructField(*f) for f in added)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            listed = batch.column(n)
+            listed = batch.column(n + 2)
             for block in blocks(batch.column(at)):
                 counts, gone, kept, removed = [], [], [], []
                 part = listed.slice(block.row0, len(block)).to_pylist()
@@ -297,4 +301,4 @@ def apply_spans(docs: DataFrame, texts: DataFrame, spans: DataFrame, id_col: str
                     [*(f.name for f in keep), "n_words", "n_removed", "kept_text", "removed"],
                 )
 
-    return wide.mapInArrow(run, schema)
+    return texts.join(per, "spans").mapInArrow(run, schema)

@@ -7,7 +7,7 @@ from itertools import groupby
 
 from pyspark.sql import DataFrame
 
-from .anchors import apply_spans, earliest, keyed, repeat_stretches, spans_of
+from .anchors import Texts, apply_spans, earliest, repeat_stretches, spans_of
 from .suffix_trees import tree_spans
 
 WINDOW = 50
@@ -78,6 +78,6 @@ def dedup_suffix_array(docs: DataFrame, *, window: int = WINDOW, gram: int = GRA
     removed) are as in suffix_trees.dedup_substrings.
     """
     docs = docs.drop(*[c for c in docs.columns if c.lower() in ("n_words", "n_removed", "kept_text", "removed") and c not in (id_col, text_col)])
-    texts = keyed(docs, id_col, text_col)
+    texts = Texts(docs, id_col, text_col)
     spans = spans_of(repeat_stretches(texts, window, gram), window, array_spans)
-    return apply_spans(docs, texts, spans, id_col, text_col)
+    return apply_spans(texts, spans)

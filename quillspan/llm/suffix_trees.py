@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
 
-from .anchors import apply_spans, earliest, keyed, repeat_stretches, spans_of
+from .anchors import Texts, apply_spans, earliest, repeat_stretches, spans_of
 
 WINDOW = 20
 GRAM = 8
@@ -73,6 +73,6 @@ def dedup_substrings(docs: DataFrame, *, window: int = WINDOW, gram: int = GRAM,
     replaced.  An empty table gives an empty result.
     """
     docs = docs.drop(*[c for c in docs.columns if c.lower() in ("n_words", "n_removed", "kept_text", "removed") and c not in (id_col, text_col)])
-    texts = keyed(docs, id_col, text_col)
+    texts = Texts(docs, id_col, text_col)
     spans = spans_of(repeat_stretches(texts, window, gram), window, tree_spans)
-    return apply_spans(docs, texts, spans, id_col, text_col)
+    return apply_spans(texts, spans)
