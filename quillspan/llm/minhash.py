@@ -23,6 +23,12 @@ PERCENT = 75
 COLLECTIONS = 14
 PER_COLLECTION = 2
 
+#: Cells of a set's sketch, at least and at most, and members of a bucket compared in one group.
+CELLS = (64, 512)
+GROUP_MEMBERS = 2048
+#: Low bits of a key that hold its table's number.
+TABLE_BITS = 7
+
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
@@ -58,20 +64,106 @@ def collection_values(s: np.ndarray, by: np.ndarray, per: int) -> np.ndarray:
     return out
 
 
+def cells(s: np.ndarray) -> bytes:
+    """The set's sketch: hash space in equal cells, about one for each member, and the xor of a byte of each member in it.
+
+    Two sets differ in at least as many members as cells, which bounds their similarity from above.
+    """
+    size = min(CELLS[1], max(CELLS[0], 1 << max(0, len(s).bit_length() - 1)))
+    out = np.zeros(size, dtype=np.uint8)
+    if len(s):
+        cell = (s >> np.uint64(64 - (size.bit_length() - 1))).astype(np.int64)
+        begin = np.flatnonzero(np.diff(cell, prepend=-1))
+        out[cell[begin]] = np.bitwise_xor.reduceat((s & np.uint64(255)).astype(np.uint8), begin)
+    return out.tobytes()
+
+
+def bucket_pairs(members: list[tuple], table: int, across: bool, tables: np.ndarray, percent: int) -> Iterator[tuple[int, int]]:
+    """Pairs (a, b), a < b, of a bucket's members in different components that may link.
+
+    Members are (rep, n, part, block, c, cells).  A pair comes out only in the first table that its
+    collections agree on, and only if sizes and sketches leave room for a link; both tests
+    are exact.  across: pairs of two blocks only.
+    """
+    rep, n, part, block = (np.array(x, dtype=np.int64) for x in list(zip(*members, strict=True))[:4])
+    c = np.array([m[4] for m in members], dtype=np.int32)
+    wide = np.array([len(m[5]) for m in members])
+    for size in np.unique(wide).tolist():
+        fold = np.flatnonzero((wide == size) | (wide == 2 * size))
+        sketch = np.zeros((len(fold), size), dtype=np.uint8)
+        for k, i in enumerate(fold.tolist()):
+            own = np.frombuffer(members[i][5], dtype=np.uint8)
+            sketch[k] = own if len(own) == size else own[0::2] ^ own[1::2]
+        for k, i in enumerate(fold.tolist()):
+            if wide[i] != size:
+                continue
+            # Each pair once: with later members of the same width, with all of twice the width.
+            at = np.flatnonzero((wide[fold] > size) | (np.arange(len(fold)) > k))
+            other = fold[at]
+            ok = (part[other] != part[i]) & (rep[other] != rep[i]) & (100 * np.minimum(n[other], n[i]) >= percent * np.maximum(n[other], n[i]))
+            if across:
+                ok &= block[other] != block[i]
+            other, at = other[ok], at[ok]
+            if not len(other):
+                continue
+            same = c[other] == c[i]
+            first = same.argmax(axis=1)
+            same[np.arange(len(other)), first] = False
+            ok = tables[first, same.argmax(axis=1)] == table
+            other, at = other[ok], at[ok]
+            apart = (sketch[at] != sketch[k]).sum(axis=1)
+            ok = apart * (100 + percent) <= (n[other] + n[i]) * (100 - percent)
+            for j in other[ok].tolist():
+                yield int(min(rep[i], rep[j])), int(max(rep[i], rep[j]))
+
+
+def across_components(rest: DataFrame, tables: np.ndarray, percent: int) -> DataFrame:
+    """Pairs (a, b) of bucket members in different components that may link, from (key, rep, n, part, held, c, cells).
+
+    A bucket of more than GROUP_MEMBERS is dealt into blocks, and each two blocks meet in a group.
+    """
+    many = F.ceil(F.col("held") / GROUP_MEMBERS).cast("int")
+    own = F.pmod(F.xxhash64(F.lit("block"), "rep"), many.cast("long")).cast("int")
+    spread = rest.withColumn("block", own).withColumn("other", F.explode(F.sequence(F.lit(0), many - 1)))
+    spread = spread.select("key", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "rep", "n", "part", "block", "c", "cells")
+    spread = spread.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "rep")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, members = None, []
+
+        def give() -> pa.RecordBatch:
+            key, lo, hi = group
+            pairs = sorted(set(bucket_pairs(members, key & ((1 << TABLE_BITS) - 1), lo != hi, tables, percent)))
+            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in pairs], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+        for batch in batches:
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if row[:3] != group:
+                    if len(members) > 1:
+                        yield give()
+                    group, members = row[:3], []
+                members.append(row[3:])
+        if len(members) > 1:
+            yield give()
+
+    return spread.mapInArrow(run, "a long, b long").distinct()
+
+
 def signatures(texts: DataFrame, shingle: int, collections: int, per: int) -> DataFrame:
-    """(doc, text) to (doc, tie, n, d1, d2, c): set size, digest of the set, collection values."""
+    """(doc, tie, text) to (doc, tie, n, d1, d2, c, cells): set size, digest of the set, collection values, sketch."""
     by = multipliers(collections * per)
     salt = np.uint64(0xA0761D6478BD642F)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block in blocks(batch.column(2)):
-                n, d1, d2, c = [], [], [], []
+                n, d1, d2, c, sketch = [], [], [], [], []
                 for s in shingle_sets(block, shingle):
                     n.append(len(s))
                     d1.append(mix(s).sum(dtype=np.uint64))
                     d2.append(mix(s ^ salt).sum(dtype=np.uint64))
                     c.append(collection_values(s, by, per).view(np.int64))
+                    sketch.append(cells(s))
                 size = pa.array(np.arange(len(block) + 1, dtype=np.int32) * collections)
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -81,11 +173,12 @@ def signatures(texts: DataFrame, shingle: int, collections: int, per: int) -> Da
                         pa.array(np.array(d1, dtype=np.uint64).view(np.int64)),
                         pa.array(np.array(d2, dtype=np.uint64).view(np.int64)),
                         pa.ListArray.from_arrays(size, pa.array(np.concatenate(c))),
+                        pa.array(sketch, pa.binary()),
                     ],
-                    ["doc", "tie", "n", "d1", "d2", "c"],
+                    ["doc", "tie", "n", "d1", "d2", "c", "cells"],
                 )
 
-    return texts.mapInArrow(run, "doc long, tie long, n long, d1 long, d2 long, c array<long>")
+    return texts.mapInArrow(run, "doc long, tie long, n long, d1 long, d2 long, c array<long>, cells binary")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
@@ -128,9 +221,11 @@ def near_duplicates(
     groups of two, a pair at exactly 0.75 meets in some table with probability 0.9998.
 
     Documents with equal sets form one class, and only its least id goes on.  In each bucket of each
-    table every member is compared with the least member, on full sets.  Buckets that then still
-    hold several components have the pairs between different components compared too, where
-    their sizes allow a link: no link of a bucket is lost, and no pair inside a component is made.
+    table every member is compared with the least member, on full sets.  In buckets that then still
+    hold several components, members of different components are compared by size and by a
+    sketch that bounds the similarity from above, and what may still link is compared on full sets: no
+    link of a bucket is lost, no pair inside a component is made, and pairs that cannot link are not
+    made into rows.
 
     A null id takes no part: its component is null and it is kept.  Rows that share an id are one node;
     their links add up.  Columns of docs pass through; those named like an added column are replaced.
@@ -139,11 +234,18 @@ def near_duplicates(
     texts = docs.select(F.col(id_col).cast("long").alias("doc"), F.xxhash64(F.col(id_col).cast("long"), F.col(text_col)).alias("tie"), F.col(text_col).alias("text"))
     sigs = materialize(signatures(texts, shingle, collections, per))
     usable = sigs.where(F.col("doc").isNotNull() & (F.col("n") > 0))
-    classes = materialize(usable.groupBy("d1", "d2").agg(F.min("doc").alias("rep"), F.first("n").alias("n"), F.first("c").alias("c")))
+    classes = materialize(usable.groupBy("d1", "d2").agg(F.min("doc").alias("rep"), F.first("n").alias("n"), F.first("c").alias("c"), F.first("cells").alias("cells")))
     plain = texts.where(F.col("doc").isNotNull()).select("doc", "text")
 
     tables = list(combinations(range(collections), 2))
-    keys = classes.select("rep", "n", F.explode(F.array(*(F.xxhash64(F.col("c")[i], F.col("c")[j], F.lit(t)) for t, (i, j) in enumerate(tables)))).alias("key"))
+    if len(tables) > 1 << TABLE_BITS:
+        raise ValueError("too many collections")
+    number = np.full((collections, collections), -1)
+    for t, (i, j) in enumerate(tables):
+        number[i, j] = t
+    low = F.lit((1 << TABLE_BITS) - 1).cast("long")
+    hashed = (F.xxhash64(F.col("c")[i], F.col("c")[j], F.lit(t)).bitwiseAND(F.bitwise_not(low)).bitwiseOR(F.lit(t).cast("long")) for t, (i, j) in enumerate(tables))
+    keys = classes.select("rep", "n", F.explode(F.array(*hashed)).alias("key"))
     leads = keys.groupBy("key").agg(F.min("rep").alias("lead"), F.max("rep").alias("most")).where("lead != most").drop("most")
     members = materialize(keys.join(leads, "key"))
     stars = materialize(members.where("rep != lead").select(F.col("lead").alias("a"), F.col("rep").alias("b")).distinct())
@@ -151,11 +253,10 @@ def near_duplicates(
 
     parts = materialize(connected_components(links, "a", "b"))
     placed = members.join(parts.withColumnRenamed("node", "rep"), "rep", "left").withColumn("part", F.coalesce("component", "rep")).select("key", "rep", "n", "part")
-    mixed = placed.groupBy("key").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo != hi").select("key")
-    rest = materialize(placed.join(mixed, "key", "left_semi"))
-    x, y = rest.select("key", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("part").alias("pa")), rest.select("key", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("part").alias("pb"))
-    near = (F.col("pa") != F.col("pb")) & (F.col("a") < F.col("b")) & (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
-    across = x.join(y, "key").where(near).select("a", "b").distinct()
+    mixed = placed.groupBy("key").agg(F.min("part").alias("lo"), F.max("part").alias("hi"), F.count("*").alias("held")).where("lo != hi").select("key", "held")
+    short = F.transform("c", lambda x: x.bitwiseAND(F.lit(0x7FFFFFFF).cast("long")).cast("int"))
+    rest = placed.join(mixed, "key").join(classes.select("rep", short.alias("c"), "cells"), "rep")
+    across = across_components(rest, number, percent)
     across = materialize(across.join(stars, ["a", "b"], "left_anti"))
     if across.take(1):
         more = materialize(verified(across, plain, shingle, percent))
