@@ -1,4 +1,621 @@
-"""All registered queries of the engine itself, and their SQL."""
+"""The registered queries of the engine, each with the SQL that yields the same rows in another engine."""
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from .functions import activations as act
+from .functions import vectors as vec
+from .functions.rng import component, laplace, log_uniform, uniform, uniform_sql
+from .operators import coverage, extra_trees, gates, generate, graphs, metrics, postprocess
+from .plans.config import Config
+from .plans.sampling import FAMILY_LOGITS, family_probabilities
+from .sources import packed
+from .streaming.coverage import windowed_coverage
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Registers a query under its function's name, with its SQL."""
+
+    def register(f: Callable[[SparkSession, str], DataFrame]):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLE[f.__name__] = sql
+        return f
+
+    return register
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def r(x: Column | str, places: int = 6) -> Column:
+    return F.round(F.col(x) if isinstance(x, str) else x, places)
+
+
+NUMERIC = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+
+
+def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """lineitem as a corpus of eight datasets."""
+    cols = ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_linenumber", "l_returnflag", "l_linestatus"]
+    return table(spark, sf_dir, "lineitem").select((F.col("l_suppkey") % 8).alias("ds"), *cols)
+
+
+CORPUS = "(SELECT l_suppkey % 8 AS ds, * FROM lineitem)"
+LONG = f"(UNPIVOT (SELECT ds, l_quantity, l_extendedprice, l_discount, l_tax FROM {CORPUS}) ON l_quantity, l_extendedprice, l_discount, l_tax INTO NAME feature VALUE value)"
+
+
+def x64(spark: SparkSession, sf_dir: str, dims: int = 64) -> DataFrame:
+    """embeddings as (vec_id, label, x) in doubles."""
+    e = table(spark, sf_dir, "embeddings")
+    v = F.col("embedding").cast("array<double>")
+    return e.select("vec_id", "label", (v if dims == 64 else F.slice(v, 1, dims)).alias("x"))
+
+
+def x_sql(dims: int = 64) -> str:
+    return f"(SELECT vec_id, label, embedding[1:{dims}]::DOUBLE[] AS x FROM embeddings)"
+
+
+# ---- transforms
+
+
+@query(f"""
+WITH q AS (SELECT ds, feature, quantile_cont(value, 0.01) AS lo, quantile_cont(value, 0.99) AS hi FROM {LONG} GROUP BY ds, feature),
+c AS (SELECT ds, feature, least(greatest(value, lo), hi) AS v FROM {LONG} JOIN q USING (ds, feature)),
+s AS (SELECT ds, feature, avg(v) AS m, greatest(stddev_pop(v), 1e-6) AS s FROM c GROUP BY ds, feature)
+SELECT ds, feature, count(*) AS n, round(min((v - m) / s), 5) AS z_min, round(max((v - m) / s), 5) AS z_max, round(avg(((v - m) / s) * ((v - m) / s)), 5) AS z_sq,
+  round(avg(((v - m) / s) * ((v - m) / s) * ((v - m) / s)), 5) AS z_cube FROM c JOIN s USING (ds, feature) GROUP BY ds, feature""")
+def clip_standardize(spark: SparkSession, sf_dir: str) -> DataFrame:
+    z = postprocess.clip_standardize(corpus(spark, sf_dir), NUMERIC, ["ds"])
+    v = F.col("value")
+    return postprocess.unpivot(z, ["ds"], NUMERIC).groupBy("ds", "feature").agg(F.count("*").alias("n"), r(F.min(v), 5).alias("z_min"), r(F.max(v), 5).alias("z_max"), r(F.avg(v * v), 5).alias("z_sq"), r(F.avg(v * v * v), 5).alias("z_cube"))
+
+
+@query("""
+WITH q AS (SELECT quantile_cont(o_totalprice, 0.01) AS lo, quantile_cont(o_totalprice, 0.99) AS hi FROM orders),
+c AS (SELECT o_orderkey, least(greatest(o_totalprice, lo), hi) AS v FROM orders, q), s AS (SELECT avg(v) AS m, greatest(stddev_pop(v), 1e-6) AS s FROM c)
+SELECT o_orderkey, round((v - m) / s, 6) AS z FROM c, s""")
+def regression_target_standardize(spark: SparkSession, sf_dir: str) -> DataFrame:
+    z = postprocess.clip_standardize(table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice"), ["o_totalprice"])
+    return z.select("o_orderkey", r("o_totalprice").alias("z"))
+
+
+@query("""
+WITH c AS (SELECT event_id, event_type, CASE WHEN v IS NULL OR isnan(v) THEN 0.0 ELSE greatest(-1e6, least(1e6, v)) END AS v
+  FROM (SELECT event_id, event_type, CASE event_id % 50 WHEN 0 THEN 'NaN'::DOUBLE WHEN 1 THEN 'Infinity'::DOUBLE WHEN 2 THEN NULL ELSE value END AS v FROM events)),
+s AS (SELECT event_type, avg(v) AS m, greatest(stddev_samp(v), 1e-6) AS s FROM c GROUP BY event_type)
+SELECT event_id, round((v - m) / s, 5) AS z FROM c JOIN s USING (event_type)""")
+def sanitize_standardize(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("event_id") % 50
+    v = F.when(k == 0, float("nan")).when(k == 1, float("inf")).when(k == 2, None).otherwise(F.col("value"))
+    e = table(spark, sf_dir, "events").select("event_id", "event_type", v.alias("v"))
+    return postprocess.sanitize_standardize(e, ["v"], ["event_type"]).select("event_id", r("v", 5).alias("z"))
+
+
+@query(f"""SELECT ds, feature, round(stddev_pop(value), 6) AS sd, stddev_pop(value) > 1e-12 AS keep FROM
+ (UNPIVOT (SELECT ds, l_quantity, l_tax, 7.0::DOUBLE AS fixed FROM {CORPUS}) ON l_quantity, l_tax, fixed INTO NAME feature VALUE value) GROUP BY ds, feature""")
+def constant_column_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = corpus(spark, sf_dir).withColumn("fixed", F.lit(7.0))
+    return postprocess.constant_columns(c, ["l_quantity", "l_tax", "fixed"], ["ds"]).withColumn("sd", r("sd"))
+
+
+@query(f"""WITH k AS (SELECT DISTINCT ds, l_returnflag, dense_rank() OVER (PARTITION BY ds ORDER BY l_returnflag) - 1 AS code FROM {CORPUS})
+SELECT ds, l_returnflag, code::INTEGER AS code, count(*) AS n FROM {CORPUS} JOIN k USING (ds, l_returnflag) GROUP BY ALL""")
+def label_densify(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return postprocess.densify_labels(corpus(spark, sf_dir), "l_returnflag", ["ds"]).groupBy("ds", "l_returnflag", F.col("code").cast("int").alias("code")).agg(F.count("*").alias("n"))
+
+
+@query(f"""WITH k AS (SELECT label, row_number() OVER (ORDER BY {uniform_sql(11, "labels", "label")}, label) - 1 AS code FROM (SELECT DISTINCT label FROM embeddings))
+SELECT vec_id, code::INTEGER AS code FROM embeddings JOIN k USING (label)""")
+def label_permute(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return postprocess.densify_labels(table(spark, sf_dir, "embeddings"), "label", seed=11).select("vec_id", F.col("code").cast("int").alias("code"))
+
+
+_SPLIT = f"""
+c AS (SELECT label, count(*) AS n, CASE WHEN count(*) > 1 THEN greatest(1, least(count(*) - 1, floor(count(*) * 0.7))) ELSE floor(count(*) * 0.7) END::BIGINT AS base, count(*) * 0.7::DOUBLE - floor(count(*) * 0.7::DOUBLE) AS rest FROM embeddings GROUP BY label),
+d AS (SELECT *, floor(sum(n) OVER () * 0.7::DOUBLE) - sum(base) OVER () AS deficit, row_number() OVER (ORDER BY rest DESC, label) AS place FROM c),
+t AS (SELECT label, base + CASE WHEN place <= deficit AND base < greatest(n - 1, 1) THEN 1 ELSE 0 END AS take FROM d),
+s AS (SELECT vec_id, label, row_number() OVER (PARTITION BY label ORDER BY {uniform_sql(5, "split", "vec_id")}, vec_id) <= take AS is_train FROM embeddings JOIN t USING (label))"""
+
+
+@query(f"WITH {_SPLIT} SELECT vec_id, label, is_train FROM s")
+def stratified_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return postprocess.stratified_split(table(spark, sf_dir, "embeddings").select("vec_id", "label"), "label", 0.7, 5, "vec_id")
+
+
+@query(f"WITH {_SPLIT} SELECT g, bool_and(a) AND bool_and(b) AND count(*) > 1 AS valid FROM (SELECT label % 3 AS g, label, bool_or(is_train) AS a, bool_or(NOT is_train) AS b FROM s GROUP BY ALL) GROUP BY g")
+def split_class_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = postprocess.stratified_split(table(spark, sf_dir, "embeddings").select("vec_id", "label"), "label", 0.7, 5, "vec_id")
+    return postprocess.split_classes_match(s.withColumn("g", F.col("label") % 3), "label", "is_train", ["g"])
+
+
+@query(f"SELECT o_orderkey, {uniform_sql(42, 'mcar/o_totalprice', 'o_orderkey')} < 0.2 AS missing FROM orders")
+def mcar_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return postprocess.mcar(table(spark, sf_dir, "orders"), ["o_totalprice"], 0.2, 42, "o_orderkey").select("o_orderkey", F.isnan("o_totalprice").alias("missing"))
+
+
+@query("WITH s AS (SELECT avg(o_totalprice) AS m, stddev_pop(o_totalprice) AS s FROM orders) SELECT o_orderkey, round(1.5 * (o_totalprice - m) / s, 6) AS logit, round(1 / (1 + exp(-1.5 * (o_totalprice - m) / s)), 6) AS p FROM orders, s")
+def mnar_logits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice")
+    s = o.agg(F.avg("o_totalprice").alias("m"), F.stddev_pop("o_totalprice").alias("s"))
+    z = 1.5 * (F.col("o_totalprice") - F.col("m")) / F.col("s")
+    return o.crossJoin(F.broadcast(s)).select("o_orderkey", r(z).alias("logit"), r(1 / (1 + F.exp(-z))).alias("p"))  # one row
+
+
+@query(f"""SELECT g, count(*) AS n_cells, sum(m)::BIGINT AS n_missing, round(sum(m) / count(*), 6) AS realized,
+CASE WHEN abs(sum(m) / count(*) - 0.2) >= 0.05 THEN 'fail' WHEN abs(sum(m) / count(*) - 0.2) >= 0.03 THEN 'warn' ELSE 'pass' END AS status
+FROM (SELECT o_orderpriority AS g, CASE WHEN {uniform_sql(42, "mcar/o_totalprice", "o_orderkey")} < 0.2 THEN 1 ELSE 0 END AS m FROM orders) GROUP BY g""")
+def missingness_guardrail(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = postprocess.mcar(table(spark, sf_dir, "orders"), ["o_totalprice"], 0.2, 42, "o_orderkey")
+    out = gates.missingness_guardrail(o.select(F.col("o_orderpriority").alias("g"), F.col("o_totalprice").alias("value")), 0.2, ["g"])
+    return out.select("g", "n_cells", F.col("n_missing").cast("long").alias("n_missing"), r("realized").alias("realized"), "status")
+
+
+# ---- activations
+
+_Z = "(SELECT c_custkey, c_acctbal / 1000.0 AS x FROM customer)"
+_SIG = "(1 / (1 + exp(-x)))"
+_RELU = "greatest(x, 0.0)"
+_ACT_SQL = {
+    "tanh": "tanh(x)", "leaky_relu": "CASE WHEN x > 0 THEN x ELSE 0.01 * x END", "elu": "CASE WHEN x > 0 THEN x ELSE exp(x) - 1 END", "identity": "x", "silu": f"x * {_SIG}", "swiglu": f"x * x * {_SIG}",
+    "relu": _RELU, "relu_sq": f"{_RELU} * {_RELU}", "softplus": "CASE WHEN x > 20 THEN x ELSE ln(1 + exp(least(x, 20.0))) END", "sign": "sign(x)::DOUBLE", "gauss": "exp(-x * x)", "exp": "exp(least(x, 20.0))", "sin": "sin(x)",
+    "square": "x * x", "abs": "abs(x)", "logsigmoid": "least(x, 0.0) - ln(1 + exp(-abs(x)))", "logabs": "ln(greatest(abs(x), 1e-6))", "sigmoid": _SIG, "round": "round_even(x, 0)", "mod1": "x - floor(x)",
+    "selu": "1.0507009873554805 * CASE WHEN x > 0 THEN x ELSE 1.6732632423543772 * (exp(x) - 1) END", "relu6": f"least({_RELU}, 6.0)", "hardtanh": "least(greatest(x, -1.0), 1.0)", "indicator_01": "CASE WHEN x >= 0 AND x <= 1 THEN 1.0 ELSE 0.0 END::DOUBLE",
+}
+
+
+@query("SELECT c_custkey, " + ", ".join(f"round({s}, 5) AS {n}_" for n, s in _ACT_SQL.items()) + f" FROM {_Z}")
+def activations_scalar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = F.col("c_acctbal") / 1000.0
+    return table(spark, sf_dir, "customer").select("c_custkey", *[r(f(x).cast("double"), 5).alias(f"{n}_") for n, f in act.SCALAR.items()])
+
+
+@query(f"SELECT c_custkey, round(pow({_RELU}, 0.7), 5) AS relu_pow, round(sign(x) * pow(abs(x), 0.7), 5) AS signed_pow, round(pow(abs(x) + 0.001, -0.7), 4) AS inv_pow, round(pow(x, 3), 5) AS poly FROM {_Z}")
+def activations_parametric(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = F.col("c_acctbal") / 1000.0
+    p = act.PARAMETRIC
+    return table(spark, sf_dir, "customer").select("c_custkey", r(p["relu_pow"](x, 0.7), 5).alias("relu_pow"), r(p["signed_pow"](x, 0.7), 5).alias("signed_pow"), r(p["inv_pow"](x, 0.7), 4).alias("inv_pow"), r(p["poly"](x, 3.0), 5).alias("poly"))
+
+
+@query(f"""WITH e AS (SELECT vec_id, x, unnest(x) AS v, unnest(range(0, 8)) AS i FROM {x_sql(8)}),
+w AS (SELECT vec_id, i, round(exp(v - max(v) OVER p) / sum(exp(v - m)) OVER p, 6) AS softmax, row_number() OVER (PARTITION BY vec_id ORDER BY v, i) AS rank, row_number() OVER (PARTITION BY vec_id ORDER BY v DESC, i) AS down
+  FROM (SELECT *, max(v) OVER (PARTITION BY vec_id) AS m FROM e) WINDOW p AS (PARTITION BY vec_id))
+SELECT a.vec_id, a.i::INTEGER AS i, a.softmax, CASE WHEN a.down = 1 THEN 1.0 ELSE 0.0 END::DOUBLE AS onehot, b.i::INTEGER AS argsort, a.rank::INTEGER AS rank FROM w a JOIN w b ON a.vec_id = b.vec_id AND b.rank = a.i + 1""")
+def activations_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = F.col("x")
+    z = F.arrays_zip(act.softmax(x).alias("softmax"), act.onehot_argmax(x).alias("onehot"), act.argsort(x).alias("argsort"), act.rank(x).alias("rank"))
+    out = x64(spark, sf_dir, 8).select("vec_id", F.posexplode(z).alias("i", "z"))
+    return out.select("vec_id", "i", r("z.softmax").alias("softmax"), F.col("z.onehot").alias("onehot"), F.col("z.argsort").cast("int").alias("argsort"), F.col("z.rank").cast("int").alias("rank"))
+
+
+# ---- draws
+
+_MIX = {"gaussian": 0.5, "laplace": 0.3, "student_t": 0.2}
+_U = "greatest(1e-7, least(1 - 1e-7, u))"
+
+
+@query(f"SELECT o_orderkey, round(CASE WHEN {_U} < 0.5 THEN ln(2 * {_U}) ELSE -ln(2 * (1 - {_U})) END, 6) AS noise FROM (SELECT o_orderkey, {uniform_sql(3, 'laplace', 'o_orderkey')} AS u FROM orders)")
+def noise_laplace_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "orders").select("o_orderkey", r(laplace(uniform(3, "laplace", "o_orderkey"))).alias("noise"))
+
+
+@query(f"SELECT family, count(*) AS n FROM (SELECT CASE WHEN u < 0.5 THEN 'gaussian' WHEN u < 0.8 THEN 'laplace' ELSE 'student_t' END AS family FROM (SELECT {uniform_sql(3, 'mixture', 'o_orderkey')} AS u FROM orders)) GROUP BY family")
+def mixture_component(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "orders").groupBy(component(uniform(3, "mixture", "o_orderkey"), _MIX).alias("family")).agg(F.count("*").alias("n"))
+
+
+@query(f"SELECT o_orderkey, round(exp(ln(0.1) + u * (ln(10.0) - ln(0.1))), 6) AS v FROM (SELECT o_orderkey, {uniform_sql(3, 'logu', 'o_orderkey')} AS u FROM orders)")
+def log_uniform_draw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "orders").select("o_orderkey", r(log_uniform(uniform(3, "logu", "o_orderkey"), 0.1, 10.0)).alias("v"))
+
+
+@query(f"SELECT o_orderkey, row_number() OVER (PARTITION BY o_orderpriority ORDER BY {uniform_sql(9, 'permutation', 'o_orderkey')}, o_orderkey) - 1 AS position FROM orders")
+def keyed_permutation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = postprocess.keyed_permutation(table(spark, sf_dir, "orders"), 9, "o_orderkey", group=["o_orderpriority"])
+    return p.select("o_orderkey", F.col("position").cast("long").alias("position"))
+
+
+@query(f"SELECT event_id FROM events ORDER BY {uniform_sql(1, 'reservoir', 'event_id')}, event_id LIMIT 100")
+def reservoir_bottom_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return postprocess.bottom_k_sample(table(spark, sf_dir, "events").select("event_id"), 100, 1, "event_id").select("event_id")
+
+
+# ---- mechanism functions
+
+_W = [round(((7 * i) % 11 - 5) / 5, 3) for i in range(8)]
+_CENTERS = [[round((((i + 1) * (j + 3)) % 7 - 3) / 10, 3) for j in range(8)] for i in range(5)]
+_SIGMA = [1.0, 1.1, 0.9, 1.2, 0.8]
+_QM = [[round(((i * j + i + 2 * j) % 5 - 2) / 4, 3) for j in range(8)] for i in range(8)]
+
+
+def _list(v: list) -> str:
+    return "[" + ", ".join(f"{x}::DOUBLE" for x in v) + "]"
+
+
+_DOT = f"list_dot_product(x, {_list(_W)})"
+_CS = "(" + " UNION ALL ".join(f"SELECT {i} AS c, {_list(c)} AS y, {s}::DOUBLE AS s" for i, (c, s) in enumerate(zip(_CENTERS, _SIGMA, strict=True))) + ")"
+_LP = "list_sum(list_transform(list_zip(x, y), lambda z: pow(abs(z[1] - z[2]), {p})))"
+
+
+@query(f"SELECT vec_id, round({_DOT}, 5) AS y FROM {x_sql(8)}")
+def linear_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return x64(spark, sf_dir, 8).select("vec_id", r(vec.linear(F.col("x"), _W), 5).alias("y"))
+
+
+@query("SELECT vec_id, round(" + " + ".join(f"x[{i + 1}] * list_dot_product(x, {_list(row)})" for i, row in enumerate(_QM)) + f", 5) AS y FROM {x_sql(8)}")
+def quadratic_form(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return x64(spark, sf_dir, 8).select("vec_id", r(vec.quadratic(F.col("x"), _QM), 5).alias("y"))
+
+
+_G = f"(1 / (1 + exp(-({_DOT} + 0.3) * 2.0)))"
+
+
+@query(f"SELECT vec_id, round({_G} * sin({_DOT}) + (1 - {_G}) * {_DOT} * {_DOT}, 5) AS y FROM {x_sql(8)}")
+def piecewise_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = F.col("d")
+    return x64(spark, sf_dir, 8).withColumn("d", vec.linear(F.col("x"), _W)).select("vec_id", r(vec.gate(d, F.sin(d), d * d, 2.0, 0.3), 5).alias("y"))
+
+
+@query(f"SELECT vec_id, round(tanh({_DOT}) * x[1], 6) AS y FROM {x_sql(8)}")
+def product_fn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return x64(spark, sf_dir, 8).select("vec_id", r(F.tanh(vec.linear(F.col("x"), _W)) * F.col("x")[0]).alias("y"))
+
+
+@query(f"SELECT vec_id, c, round(pow({_LP.format(p=1.5)}, 1 / 1.5), 5) AS d FROM {x_sql(8)}, {_CS}")
+def lp_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = [F.struct(F.lit(i).alias("c"), F.pow(vec.lp_power(F.col("x"), F.array(*map(F.lit, c)), 1.5), F.lit(1 / 1.5)).alias("d")) for i, c in enumerate(_CENTERS)]
+    return x64(spark, sf_dir, 8).select("vec_id", F.explode(F.array(*d)).alias("e")).select("vec_id", "e.c", r("e.d", 5).alias("d"))
+
+
+@query(f"SELECT vec_id, arg_min(c, (d, c))::INTEGER AS center FROM (SELECT vec_id, c, {_LP.format(p=2)} AS d FROM {x_sql(8)}, {_CS}) GROUP BY vec_id")
+def nearest_center(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return x64(spark, sf_dir, 8).select("vec_id", vec.nearest(F.col("x"), _CENTERS).alias("center"))
+
+
+@query(f"""WITH e AS (SELECT vec_id, c, exp(-0.5 * ln(2 * pi() * s * s) - pow(pow({_LP.format(p=2)}, 0.5) / s, 1.5)) AS w FROM {x_sql(8)}, {_CS})
+SELECT vec_id, c::INTEGER AS c, round(w / sum(w) OVER (PARTITION BY vec_id), 6) AS share FROM e""")
+def em_soft_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = vec.soft_assignment(F.col("x"), _CENTERS, _SIGMA, 2.0, 1.5)
+    return x64(spark, sf_dir, 8).select("vec_id", F.posexplode(s).alias("c", "share")).withColumn("share", r("share"))
+
+
+@query(f"SELECT (CASE WHEN x[1] > 0 THEN 1 ELSE 0 END + CASE WHEN x[3] > 0.05 THEN 2 ELSE 0 END + CASE WHEN x[5] > -0.05 THEN 4 ELSE 0 END)::INTEGER AS leaf, count(*) AS n FROM {x_sql(8)} GROUP BY leaf")
+def odt_leaf_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = F.col("x")
+    return x64(spark, sf_dir, 8).groupBy(vec.leaf_index([x[0], x[2], x[4]], [0.0, 0.05, -0.05]).alias("leaf")).agg(F.count("*").alias("n"))
+
+
+@query("WITH b AS (SELECT min(p_retailprice) AS lo, max(p_retailprice) AS hi FROM part) SELECT p_partkey, round(1 - pow(1 - pow((p_retailprice - lo) / greatest(hi - lo, 1e-6), 0.7), 2.5), 6) AS warped FROM part, b")
+def kumaraswamy_warp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = table(spark, sf_dir, "part").select("p_partkey", "p_retailprice")
+    b = p.agg(F.min("p_retailprice").alias("lo"), F.max("p_retailprice").alias("hi"))
+    u = (F.col("p_retailprice") - F.col("lo")) / F.greatest(F.col("hi") - F.col("lo"), F.lit(1e-6))
+    return p.crossJoin(F.broadcast(b)).select("p_partkey", r(vec.kumaraswamy(u, 0.7, 2.5)).alias("warped"))  # one row
+
+
+@query(f"""SELECT label, round(sum(v), 4) AS total, round(product(1 + v / 10), 5) AS product, round(max(v), 6) AS top, round(max(m) + ln(sum(exp(v - m))), 5) AS lse
+FROM (SELECT label, x[1] AS v, max(x[1]) OVER (PARTITION BY label) AS m FROM {x_sql()}) GROUP BY label""")
+def parent_aggregate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = x64(spark, sf_dir).select("label", F.col("x")[0].alias("v"))
+    top = e.groupBy("label").agg(F.max("v").alias("m"))
+    v = F.col("v")
+    return e.join(top, "label").groupBy("label").agg(r(F.sum(v), 4).alias("total"), r(F.product(1 + v / 10), 5).alias("product"), r(F.max(v)).alias("top"), r(F.max("m") + F.ln(F.sum(F.exp(v - F.col("m")))), 5).alias("lse"))
+
+
+# ---- profiles
+
+
+@query(f"""WITH c AS (SELECT ds, l_returnflag, count(*) AS n FROM {CORPUS} GROUP BY ALL), p AS (SELECT *, n / sum(n) OVER (PARTITION BY ds) AS p FROM c)
+SELECT ds, count(*) AS n_classes, round(sum(-p * ln(p)), 6) AS entropy, round(max(n) / min(n), 6) AS imbalance, sum(n)::BIGINT AS n_rows FROM p GROUP BY ds""")
+def class_imbalance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = metrics.class_structure(corpus(spark, sf_dir), "l_returnflag", ["ds"])
+    return out.withColumns({"entropy": r("entropy"), "imbalance": r("imbalance")})
+
+
+@query("SELECT g, count(*) AS n, count(DISTINCT label) AS n_classes, min(label) AS lo, max(label) AS hi, max(label) - min(label) + 1 = count(DISTINCT label) AS contiguous FROM (SELECT vec_id % 7 AS g, label FROM embeddings) GROUP BY g")
+def class_structure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "embeddings").select((F.col("vec_id") % 7).alias("g"), "label")
+    k = F.count_distinct("label")
+    return e.groupBy("g").agg(F.count("*").alias("n"), k.alias("n_classes"), F.min("label").alias("lo"), F.max("label").alias("hi"), (F.max("label") - F.min("label") + 1 == k).alias("contiguous"))
+
+
+@query(f"SELECT ds, feature, cardinality FROM (UNPIVOT (SELECT ds, count(DISTINCT l_linenumber) AS l_linenumber, count(DISTINCT l_returnflag) AS l_returnflag, count(DISTINCT l_linestatus) AS l_linestatus FROM {CORPUS} GROUP BY ds) ON l_linenumber, l_returnflag, l_linestatus INTO NAME feature VALUE cardinality)")
+def categorical_cardinality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.categorical_cardinality(corpus(spark, sf_dir), ["l_linenumber", "l_returnflag", "l_linestatus"], ["ds"])
+
+
+def _corr_sql(source: str) -> str:
+    pairs = [(a, b) for i, a in enumerate(NUMERIC) for b in NUMERIC[i + 1 :]]
+    rs = ", ".join(f"abs(corr({a}, {b})) AS r{k}" for k, (a, b) in enumerate(pairs))
+    each = ", ".join(f"r{k}" for k in range(len(pairs)))
+    return f"SELECT ds, round(list_avg([{each}]), 5) AS mean_abs, round(list_max([{each}]), 5) AS max_abs FROM (SELECT ds, {rs} FROM {source} GROUP BY ds)"
+
+
+@query(_corr_sql(CORPUS))
+def pearson_abs_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = metrics.abs_summary(metrics.pearson_pairs(corpus(spark, sf_dir), NUMERIC, ["ds"]), ["ds"])
+    return out.select("ds", r("mean_abs", 5).alias("mean_abs"), r("max_abs", 5).alias("max_abs"))
+
+
+_RANKS = "(SELECT ds, " + ", ".join(f"rank() OVER (PARTITION BY ds ORDER BY {v}) + (count(*) OVER (PARTITION BY ds, {v}) - 1) / 2 AS {v}" for v in NUMERIC) + f" FROM {CORPUS})"
+
+
+@query(_corr_sql(_RANKS))
+def spearman_abs_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranks = metrics.average_ranks(corpus(spark, sf_dir).select("ds", *NUMERIC), NUMERIC, ["ds"])
+    out = metrics.abs_summary(metrics.pearson_pairs(ranks, NUMERIC, ["ds"]), ["ds"])
+    return out.select("ds", r("mean_abs", 5).alias("mean_abs"), r("max_abs", 5).alias("max_abs"))
+
+
+@query("SELECT event_id, rank() OVER (PARTITION BY event_type ORDER BY round(value, 0)) + (count(*) OVER (PARTITION BY event_type, round(value, 0)) - 1) / 2 AS rank FROM events")
+def average_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events").select("event_id", "event_type", F.round("value", 0).alias("rank"))
+    return metrics.average_ranks(e, ["rank"], ["event_type"]).select("event_id", "rank")
+
+
+@query("""SELECT g, CASE WHEN max(abs(y - round_even(y, 0))) <= 1e-8 AND count(DISTINCT y) <= greatest(10, floor(sqrt(count(*))) + 1) THEN 'classification' ELSE 'regression' END AS task
+FROM (SELECT 'flag' AS g, l_linenumber::DOUBLE AS y FROM lineitem UNION ALL SELECT 'price', l_extendedprice FROM lineitem) GROUP BY g""")
+def infer_task(spark: SparkSession, sf_dir: str) -> DataFrame:
+    l = table(spark, sf_dir, "lineitem")
+    both = l.select(F.lit("flag").alias("g"), F.col("l_linenumber").cast("double").alias("y")).union(l.select(F.lit("price"), "l_extendedprice"))
+    return metrics.infer_task(both, "y", ["g"])
+
+
+# ---- coverage and gates
+
+_METRICS = f"(SELECT ds, feature AS metric, avg(value) AS value FROM {LONG} GROUP BY ALL)"
+_ROWS = f"(SELECT feature AS metric, value FROM {LONG})"
+
+
+def metric_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    long = postprocess.unpivot(corpus(spark, sf_dir), ["ds"], NUMERIC, "metric")
+    return long.groupBy("ds", "metric").agg(F.avg("value").alias("value"))
+
+
+_SUMMARY = "count(value) AS count, count(*) - count(value) AS missing, avg(value) AS mean, stddev_pop(value) AS std, min(value) AS min, max(value) AS max, quantile_cont(value, 0.05) AS p05, quantile_cont(value, 0.25) AS p25, quantile_cont(value, 0.5) AS p50, quantile_cont(value, 0.75) AS p75, quantile_cont(value, 0.95) AS p95"
+_STATS = ["mean", "std", "min", "max", "p05", "p25", "p50", "p75", "p95"]
+
+
+@query(f"SELECT metric, count, missing, {', '.join(f'round({s}, 4) AS {s}' for s in _STATS)} FROM (SELECT metric, {_SUMMARY} FROM {_ROWS} GROUP BY metric)")
+def coverage_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = postprocess.unpivot(corpus(spark, sf_dir), ["ds"], NUMERIC, "metric")
+    return coverage.coverage_summary(rows).withColumns({s: r(s, 4) for s in _STATS})
+
+
+def _hist_sql(bins: int, source: str, edges: str) -> str:
+    return f"""e AS ({edges}), g AS (SELECT metric, lo, hi, unnest(range(0, {bins}))::INTEGER AS bin FROM e),
+k AS (SELECT metric, least(floor((value - lo) / ((hi - lo) / {bins})), {bins - 1})::INTEGER AS bin, count(*) AS count FROM {source} JOIN e USING (metric) WHERE value BETWEEN lo AND hi GROUP BY ALL)"""
+
+
+_EDGES = f"SELECT metric, CASE WHEN min(value) = max(value) THEN min(value) - 0.5 ELSE min(value) END AS lo, CASE WHEN min(value) = max(value) THEN max(value) + 0.5 ELSE max(value) END AS hi FROM {_ROWS} GROUP BY metric"
+
+
+@query(f"WITH {_hist_sql(12, _ROWS, _EDGES)} SELECT metric, bin, round(lo + bin * (hi - lo) / 12, 4) AS lo, round(lo + (bin + 1) * (hi - lo) / 12, 4) AS hi, coalesce(count, 0)::BIGINT AS count FROM g LEFT JOIN k USING (metric, bin)")
+def coverage_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = postprocess.unpivot(corpus(spark, sf_dir), ["ds"], NUMERIC, "metric")
+    return coverage.histogram(rows, 12).withColumns({"lo": r("lo", 4), "hi": r("hi", 4)})
+
+
+_BANDS = {"l_quantity": (10.0, 40.0), "l_extendedprice": (0.0, 60000.0)}
+_BAND_EDGES = " UNION ALL ".join(f"SELECT '{m}' AS metric, {a}::DOUBLE AS lo, {b}::DOUBLE AS hi" for m, (a, b) in _BANDS.items())
+
+
+@query(f"""WITH {_hist_sql(8, _ROWS, _BAND_EDGES)}, h AS (SELECT metric, bin, coalesce(count, 0)::BIGINT AS count FROM g LEFT JOIN k USING (metric, bin))
+SELECT metric, bin, count, (sum(count) OVER (PARTITION BY metric))::BIGINT AS in_band, round((sum(count) OVER (PARTITION BY metric)) / 8, 4) AS expected, count < 0.9 * (sum(count) OVER (PARTITION BY metric)) / 8 AS under FROM h""")
+def underrepresented_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = postprocess.unpivot(corpus(spark, sf_dir), ["ds"], NUMERIC, "metric")
+    return coverage.underrepresented_bins(rows, 8, _BANDS, 0.9).withColumn("expected", r("expected", 4))
+
+
+@query("SELECT n_classes, round(least(0.95, greatest(0.95 - CASE WHEN n_classes <= 8 THEN 0 WHEN n_classes <= 16 THEN 0.05 WHEN n_classes <= 24 THEN 0.10 ELSE 0.15 END, 0.80))::DOUBLE, 6) AS threshold FROM (SELECT n_nationkey + 2 AS n_classes FROM nation)")
+def threshold_ladder(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = table(spark, sf_dir, "nation").select((F.col("n_nationkey") + 2).alias("n_classes"))
+    return n.select("n_classes", r(gates.effective_threshold(F.lit(0.95), F.col("n_classes"))).alias("threshold"))
+
+
+_RATE = "(SELECT l_linestatus AS preset, l_returnflag AS metric, avg(l_extendedprice) AS value FROM lineitem WHERE l_suppkey % 2 = {k} GROUP BY ALL)"
+
+
+@query(f"""WITH x AS (SELECT c.preset, c.metric, c.value AS current, b.value * 1.15 AS baseline FROM {_RATE.format(k=0)} c JOIN {_RATE.format(k=1)} b USING (preset, metric)),
+d AS (SELECT *, greatest(0.0, 100 * (baseline - current) / abs(baseline)) AS p FROM x)
+SELECT preset, metric, round(current, 4) AS current, round(baseline, 4) AS baseline, round(p, 4) AS degradation_pct, CASE WHEN p >= 20 THEN 'fail' WHEN p >= 10 THEN 'warn' ELSE 'pass' END AS severity FROM d""")
+def regression_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    l = table(spark, sf_dir, "lineitem").select((F.col("l_suppkey") % 2).alias("k"), F.col("l_linestatus").alias("preset"), F.col("l_returnflag").alias("metric"), "l_extendedprice")
+    per = l.groupBy("k", "preset", "metric").agg(F.avg("l_extendedprice").alias("value"))
+    out = gates.regression_gate(per.where("k = 0"), per.where("k = 1").withColumn("value", F.col("value") * 1.15))
+    return out.select("preset", "metric", *[r(c, 4).alias(c) for c in ("current", "baseline", "degradation_pct")], "severity")
+
+
+def _summaries(k: int) -> str:
+    return f"(SELECT metric, avg(value) AS mean, quantile_cont(value, 0.25) AS p25, quantile_cont(value, 0.5) AS p50, quantile_cont(value, 0.75) AS p75 FROM {_METRICS} WHERE ds % 2 = {k} GROUP BY metric)"
+
+
+_SHIFTS = f"SELECT b.metric, 100 * (0.6 * abs(v.mean - b.mean) + 0.4 * abs(v.p50 - b.p50)) / greatest(abs(b.mean), b.p75 - b.p25, 1e-6) AS shift_pct FROM {_summaries(0)} b JOIN {_summaries(1)} v USING (metric)"
+
+
+@query(f"SELECT metric, round(shift_pct, 5) AS shift_pct FROM ({_SHIFTS})")
+def diversity_shift(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = metric_rows(spark, sf_dir)
+    sides = [coverage.coverage_summary(m.where(F.col("ds") % 2 == k)) for k in (0, 1)]
+    return coverage.diversity_shift(*sides).withColumn("shift_pct", r("shift_pct", 5))
+
+
+@query(f"SELECT round(median(shift_pct), 5) AS composite, CASE WHEN median(shift_pct) >= 5 THEN 'fail' WHEN median(shift_pct) >= 0.5 THEN 'warn' ELSE 'pass' END AS status FROM ({_SHIFTS})")
+def diversity_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = metric_rows(spark, sf_dir)
+    sides = [coverage.coverage_summary(m.where(F.col("ds") % 2 == k)) for k in (0, 1)]
+    return coverage.diversity_status(coverage.diversity_shift(*sides), 0.5, 5).withColumn("composite", r("composite", 5))
+
+
+@query("SELECT event_type, round(avg(value * 1000), 4) AS mean_ms, round(quantile_cont(value * 1000, 0.95), 4) AS p95_ms, round(min(value * 1000), 4) AS min_ms, round(max(value * 1000), 4) AS max_ms FROM events GROUP BY event_type")
+def latency_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = gates.latency_summary(table(spark, sf_dir, "events"), "value", ["event_type"])
+    return out.select("event_type", *[r(c, 4).alias(c) for c in ("mean_ms", "p95_ms", "min_ms", "max_ms")])
+
+
+@query("SELECT CASE WHEN l_quantity < 5 THEN 'too_small' WHEN l_discount > 0.09 THEN 'discount' WHEN l_tax = 0 THEN 'untaxed' ELSE 'accepted' END AS reason, count(*) AS n FROM lineitem GROUP BY reason")
+def manifest_reason_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    checks = [("too_small", F.col("l_quantity") < 5), ("discount", F.col("l_discount") > 0.09), ("untaxed", F.col("l_tax") == 0)]
+    return gates.reason_counts(table(spark, sf_dir, "lineitem"), checks)
+
+
+@query("SELECT l_returnflag AS g, count(*) AS datasets, sum(l_linenumber)::BIGINT AS attempts, (sum(l_linenumber) - count(*))::BIGINT AS retries, round((sum(l_linenumber) - count(*)) / sum(l_linenumber), 6) AS retry_rate FROM lineitem GROUP BY g")
+def attempt_pressure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    runs = table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("g"), F.col("l_linenumber").cast("long").alias("attempts"))
+    return gates.attempt_pressure(runs, ["g"]).withColumn("retry_rate", r("retry_rate"))
+
+
+@query("SELECT c_nationkey, c_custkey AS best, c_acctbal FROM (SELECT *, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal DESC NULLS LAST, c_custkey) AS n FROM customer) WHERE n = 1")
+def best_candidate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gates.best_candidate(table(spark, sf_dir, "customer"), ["c_nationkey"], "c_acctbal", "c_custkey")
+
+
+@query("""WITH h AS (SELECT o_orderstatus, md5(concat_ws('|', o_orderkey::VARCHAR, o_custkey::VARCHAR, coalesce(o_orderpriority, '~'))) AS h FROM orders)
+SELECT o_orderstatus, count(*) AS n, md5(concat_ws('|', sum(('0x' || substr(h, 1, 8))::BIGINT)::VARCHAR, sum(('0x' || substr(h, 9, 8))::BIGINT)::VARCHAR)) AS digest FROM h GROUP BY o_orderstatus""")
+def reproducibility_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gates.digest(table(spark, sf_dir, "orders"), ["o_orderkey", "o_custkey", "o_orderpriority"], ["o_orderstatus"])
+
+
+@query("""SELECT axis, round(avg(v) FILTER (variant = 'control'), 5) AS control, round(avg(v) FILTER (variant = 'shifted'), 5) AS shifted, count(v) FILTER (variant = 'shifted') AS n,
+CASE WHEN count(v) FILTER (variant = 'shifted') < 5 THEN 'insufficient' WHEN avg(v) FILTER (variant = 'shifted') > avg(v) FILTER (variant = 'control') THEN 'pass' ELSE 'fail' END AS status
+FROM (UNPIVOT (SELECT CASE WHEN p_size > 25 THEN 'shifted' ELSE 'control' END AS variant, p_size::DOUBLE AS p_size, p_retailprice FROM part) ON p_size, p_retailprice INTO NAME axis VALUE v) GROUP BY axis""")
+def shift_guardrail(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = table(spark, sf_dir, "part").select(F.when(F.col("p_size") > 25, "shifted").otherwise("control").alias("variant"), F.col("p_size").cast("double").alias("p_size"), "p_retailprice")
+    out = gates.shift_guardrail(p, ["p_size", "p_retailprice"])
+    return out.withColumns({"control": r("control", 5), "shifted": r("shifted", 5)})
+
+
+# ---- graphs and plans
+
+_EDGE = f"(SELECT a.n_nationkey AS src, b.n_nationkey AS dst FROM nation a JOIN nation b ON a.n_nationkey < b.n_nationkey WHERE {uniform_sql(17, 'edge', 'a.n_nationkey', 'b.n_nationkey')} < 0.25)"
+
+
+def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graphs.bernoulli_edges(table(spark, sf_dir, "nation"), "n_nationkey", 0.25, 17)
+
+
+@query(f"SELECT src, dst FROM {_EDGE}")
+def dag_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _edges(spark, sf_dir)
+
+
+@query(f"SELECT count(*) AS n_edges, round(count(*) / 300, 6) AS density FROM {_EDGE}")
+def dag_density(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graphs.density(_edges(spark, sf_dir), 25).withColumn("density", r("density"))
+
+
+@query(f"WITH RECURSIVE p AS (SELECT n_nationkey AS node, 1 AS depth FROM nation UNION SELECT e.dst, p.depth + 1 FROM p JOIN {_EDGE} e ON e.src = p.node) SELECT node, max(depth)::INTEGER AS depth FROM p GROUP BY node")
+def dag_longest_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graphs.depths(_edges(spark, sf_dir), table(spark, sf_dir, "nation"), "n_nationkey")
+
+
+_LOGITS = " UNION ALL ".join(f"SELECT '{f}' AS family, {x} AS l" for f, x in FAMILY_LOGITS.items() if f != "piecewise")
+
+
+@query(f"WITH t AS ({_LOGITS}), w AS (SELECT family, exp(0.5 * (l - avg(l) OVER ())) AS w FROM t) SELECT family, round(w / sum(w) OVER (), 6) AS p FROM w")
+def family_probabilities_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = [(f, float(p)) for f, p in family_probabilities(0.5).items()]
+    return spark.createDataFrame(rows, "family string, p double").withColumn("p", r("p"))
+
+
+# ---- packed storage
+
+
+@query("SELECT o_orderkey // 128 AS shard, count(*) AS n, min(o_orderkey) AS lo, max(o_orderkey) AS hi FROM orders GROUP BY shard")
+def shard_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "orders").groupBy(packed.shard_of(F.col("o_orderkey"), 128).alias("shard")).agg(F.count("*").alias("n"), F.min("o_orderkey").alias("lo"), F.max("o_orderkey").alias("hi"))
+
+
+@query("SELECT o_orderkey, (coalesce(sum(length(o_orderpriority)) OVER (PARTITION BY o_orderstatus ORDER BY o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::BIGINT AS \"offset\" FROM orders")
+def byte_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = table(spark, sf_dir, "orders").withColumn("size", F.length("o_orderpriority"))
+    return packed.byte_offsets(o, "size", ["o_orderstatus"], ["o_orderkey"]).select("o_orderkey", "offset")
+
+
+@query("SELECT g, count(*) AS n, min(i) = 0 AND max(i) = count(*) - 1 AND count(DISTINCT i) = count(*) AS contiguous FROM (SELECT conv_id % 5 AS g, conv_id, turn AS i FROM conversations UNION ALL SELECT 100 + vec_id % 2, vec_id, vec_id // 2 FROM embeddings) GROUP BY g")
+def contiguity_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "conversations").select((F.col("conv_id") % 5).alias("g"), F.col("turn").alias("i"))
+    e = table(spark, sf_dir, "embeddings").select((100 + F.col("vec_id") % 2).alias("g"), F.floor(F.col("vec_id") / 2).alias("i"))
+    return packed.contiguity(c.union(e), ["g"], "i")
+
+
+@query("SELECT in_left, in_right, count(*) AS n FROM (SELECT o_orderkey IS NOT NULL AS in_left, l_orderkey IS NOT NULL AS in_right FROM orders FULL JOIN (SELECT DISTINCT l_orderkey FROM lineitem WHERE l_quantity > 10) ON o_orderkey = l_orderkey) GROUP BY ALL")
+def merge_join_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("key"))
+    l = table(spark, sf_dir, "lineitem").where("l_quantity > 10").select(F.col("l_orderkey").alias("key"))
+    return packed.merge_coverage(o, l, "key").groupBy("in_left", "in_right").agg(F.count("*").alias("n"))
+
+
+@query("SELECT l_returnflag, count(*) AS n, round(sum(l_extendedprice), 2) AS total FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F') GROUP BY l_returnflag")
+def curated_semi_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ok = table(spark, sf_dir, "orders").where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("l_orderkey"))
+    return table(spark, sf_dir, "lineitem").join(ok, "l_orderkey", "left_semi").groupBy("l_returnflag").agg(F.count("*").alias("n"), r(F.sum("l_extendedprice"), 2).alias("total"))
+
+
+@query("SELECT vec_id, len(embedding)::INTEGER AS width, round(embedding[1]::DOUBLE, 6) AS first, round(embedding[64]::DOUBLE, 6) AS last FROM embeddings")
+def packed_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = F.col("x")
+    cells = x64(spark, sf_dir).select("vec_id", F.posexplode("x").alias("i", "v"))
+    again = cells.groupBy("vec_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "v"))), lambda s: s["v"]).alias("x"))
+    return again.select("vec_id", F.size(x).alias("width"), r(x[0]).alias("first"), r(x[63]).alias("last"))
+
+
+# ---- streams
+
+
+@query("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, event_type AS metric, count(value) AS count, round(avg(value), 5) AS mean, round(stddev_pop(value), 5) AS std, round(min(value), 5) AS min, round(max(value), 5) AS max FROM events GROUP BY ALL")
+def windowed_event_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = windowed_coverage(table(spark, sf_dir, "events"), "ts", "event_type", "value")
+    return out.withColumns({c: r(c, 5) for c in ("mean", "std", "min", "max")})
+
+
+# ---- generated corpora and judged datasets: no SQL says these
+
+
+def small_config(task: str = "classification") -> Config:
+    return Config.from_dict({"seed": 7, "dataset": {"task": task, "n_train": 256, "n_test": 128, "n_features_min": 8, "n_features_max": 16, "n_classes_max": 5}, "graph": {"n_nodes_max": 8}})
+
+
+@query()
+def generate_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, _ = generate.generate_corpus(spark, small_config(), 25)
+    return rows
+
+
+@query()
+def generate_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, _ = generate.generate_corpus(spark, small_config(), 25)
+    return metrics.profile_datasets(rows, "classification", 7)
+
+
+def judged_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """embeddings as packed rows of datasets of about 250."""
+    e = x64(spark, sf_dir)
+    split = F.when(uniform(5, "split", "vec_id") < 0.7, "train").otherwise("test")
+    return e.select(F.floor(F.col("vec_id") / 250).cast("long").alias("dataset_index"), split.alias("split"), F.col("vec_id").alias("row_index"), F.col("x").cast("array<float>").alias("x"), F.col("label").cast(T.DoubleType()).alias("y"))
+
+
+@query()
+def extra_trees_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extra_trees.filter_datasets(judged_rows(spark, sf_dir), "classification", 3)
+
+
+@query()
+def ridge_linearity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.profile_datasets(judged_rows(spark, sf_dir), "classification", 3).where("metric IN ('linearity_proxy', 'snr_proxy_db')")
+
+
+@query()
+def inject_missing_mar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hidden = postprocess.inject_missing(judged_rows(spark, sf_dir), "mar", 0.2, 3)
+    gone = F.size(F.filter("x", lambda v: F.isnan(v)))
+    return hidden.groupBy("dataset_index", "split").agg(F.count("*").alias("n"), F.sum(gone).alias("n_missing"), F.sum(F.size("x")).alias("n_cells"))
