@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .session import materialize
+
 #: Vectors in a shard and queries in a block, on average; leaves of the tree hold up to LEAF.
 SHARD_ROWS = 16_384
 BLOCK_QUERIES = 2_048
@@ -143,10 +145,14 @@ def exact_top_k(vectors: DataFrame, is_query, *, k: int = 5, id_col: str = "vec_
     at_home = queries.select("id", "x", "dim", F.col("home").alias("shard"), "part", F.lit(None).cast("long").alias("kth"))
     one = spread.groupBy("shard", "part").cogroup(at_home.groupBy("shard", "part")).applyInArrow(meet, out)
     if shards > 1:
-        floor = one.groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score")).alias("kth"))
-        away = queries.join(floor, queries["id"] == floor["query_id"], "left").select("id", "x", "dim", "home", "part", "kth")
+        one = materialize(one)  # it is read twice
+        floor = one.groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score")).alias("kth")).withColumnRenamed("query_id", "id")
+        away = queries.join(floor, "id", "left").select("id", "x", "dim", "home", "part", "kth")
         away = away.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)).cast("array<int>"))).where("shard != home").drop("home")
-        two = spread.groupBy("shard", "part").cogroup(away.select("id", "x", "dim", "shard", "part", "kth").groupBy("shard", "part")).applyInArrow(meet, out)
+        # Both sides come from one table; new names for the columns of each tell them apart.
+        away = away.select(*(F.col(c).alias(f"q_{c}") for c in ("id", "x", "dim", "shard", "part", "kth")))
+        away = away.toDF("id", "x", "dim", "shard", "part", "kth")
+        two = spread.groupBy("shard", "part").cogroup(away.groupBy("shard", "part")).applyInArrow(meet, out)
         one = one.union(two)
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     ranked = one.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
