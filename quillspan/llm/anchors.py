@@ -66,25 +66,26 @@ class Runs:
 
 
 class Texts:
-    """A table of documents with what the steps need: doc, tie and text beside all of its columns.
+    """A table of documents with what the steps need: doc, tie, owner and text beside all of its columns.
 
-    tie tells apart rows that share an id; rows equal in doc and tie are one document.  ``wide`` is the
-    one form in which texts are dealt by document, so that Spark deals them once for both uses.
+    tie tells apart rows that share an id; rows equal in doc and tie are one document.  owner, the id or
+    else the tie, is what documents are dealt by; rows that share one are told apart where that matters.
+    ``wide`` is the one form in which texts are dealt, so that Spark deals them once for both uses.
     """
 
     def __init__(self, docs: DataFrame, id_col: str, text_col: str):
         self.columns, self.fields = docs.columns, docs.schema.fields
         self.text_at = docs.columns.index(text_col)
-        self.doc, self.tie = spare_name(docs, "_doc"), spare_name(docs, "_tie")
+        self.doc, self.tie, self.owner = (spare_name(docs, c) for c in ("_doc", "_tie", "_owner"))
         key = F.col(id_col).cast("long")
-        self.wide = docs.withColumns({self.doc: key, self.tie: F.xxhash64(key, F.col(text_col))})
-        self.narrow = self.wide.select(F.col(self.doc).alias("doc"), F.col(self.tie).alias("tie"), F.col(text_col).alias("text"))
+        tie = F.xxhash64(key, F.col(text_col))
+        self.wide = docs.withColumns({self.doc: key, self.tie: tie, self.owner: F.coalesce(key, tie)})
+        self.narrow = self.wide.select(F.col(self.doc).alias("doc"), F.col(self.owner).alias("owner"), F.col(text_col).alias("text"))
 
     def join(self, per: DataFrame, value: str) -> DataFrame:
-        """wide and then ``value`` of per (doc, tie, value), null where per has no such document."""
-        right = per.select(F.col("doc").alias("s#doc"), F.col("tie").alias("s#tie"), F.col(value).alias("s#value"))
-        cond = self.wide[self.doc].eqNullSafe(right["s#doc"]) & (self.wide[self.tie] == right["s#tie"])
-        return self.wide.join(right.hint("shuffle_hash"), cond, "left").drop("s#doc", "s#tie")
+        """wide and then ``value`` of per (owner, value), null where per has no such owner."""
+        right = per.select(F.col("owner").alias("s#owner"), F.col(value).alias("s#value"))
+        return self.wide.join(right.hint("shuffle_hash"), self.wide[self.owner] == right["s#owner"], "left").drop("s#owner")
 
 
 def common_anchors(texts: DataFrame, window: int, gram: int) -> np.ndarray:
@@ -113,8 +114,8 @@ def is_in(values: np.ndarray, sorted_set: np.ndarray) -> np.ndarray:
 
 
 def _twice(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by hash, the (doc, tie, number) of those whose hash occurs twice or more."""
-    names = ["doc", "tie", "number"]
+    """Of rows sorted by hash, the (owner, number) of those whose hash occurs twice or more."""
+    names = ["owner", "number"]
     held = None
     for batch in batches:
         if not batch.num_rows:
@@ -127,11 +128,11 @@ def _twice(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if held is not None and held[0] == hashes[0]:
             keep[0] = True
             if not held[2]:
-                yield pa.RecordBatch.from_arrays([held[1].column(i) for i in (1, 2, 3)], names)
+                yield pa.RecordBatch.from_arrays([held[1].column(i) for i in (1, 2)], names)
         last = len(hashes) - 1
         held = (hashes[last], batch.slice(last, 1), keep[last])
         picked = batch.filter(pa.array(keep))
-        yield pa.RecordBatch.from_arrays([picked.column(i) for i in (1, 2, 3)], names)
+        yield pa.RecordBatch.from_arrays([picked.column(i) for i in (1, 2)], names)
 
 
 def repeat_stretches(texts: Texts, window: int, gram: int) -> DataFrame:
@@ -146,26 +147,26 @@ def repeat_stretches(texts: Texts, window: int, gram: int) -> DataFrame:
 
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            doc, tie = batch.column(0), batch.column(1)
+            owner = batch.column(1)
             for block in blocks(batch.column(2)):
                 found = Runs(block, window, gram)
                 keep = ~is_in(found.hash, common)
                 at = pa.array(found.row[keep] + block.row0)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(found.hash[keep]), doc.take(at), tie.take(at), pa.array(found.order[keep].astype(np.int32))],
-                    ["hash", "doc", "tie", "number"],
+                    [pa.array(found.hash[keep]), owner.take(at), pa.array(found.order[keep].astype(np.int32))],
+                    ["hash", "owner", "number"],
                 )
 
-    listed = texts.narrow.mapInArrow(anchors, "hash long, doc long, tie long, number int")
+    listed = texts.narrow.mapInArrow(anchors, "hash long, owner long, number int")
     listed = listed.repartition(F.col("hash")).sortWithinPartitions("hash")
-    twice = listed.mapInArrow(_twice, "doc long, tie long, number int")
-    twice = twice.groupBy("doc", "tie").agg(F.collect_list("number").alias("numbers"))
+    twice = listed.mapInArrow(_twice, "owner long, number int")
+    twice = twice.groupBy("owner").agg(F.collect_list("number").alias("numbers"))
     joined, n, text_at = texts.join(twice, "numbers"), len(texts.columns), texts.text_at
 
     def stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             doc, tie = batch.column(n).to_pylist(), batch.column(n + 1).to_pylist()
-            numbers = batch.column(n + 2)
+            numbers = batch.column(n + 3)
             full: dict[bytes, list] = {}
             for block in blocks(batch.column(text_at)):
                 found = Runs(block, window, gram)
@@ -173,7 +174,9 @@ def repeat_stretches(texts: Texts, window: int, gram: int) -> DataFrame:
                 sizes = part.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
                 wanted = np.zeros(len(found.hash), dtype=bool)
                 flat = part.flatten().to_numpy(zero_copy_only=False)
-                wanted[np.repeat(found.first_of_row, sizes) + flat] = True
+                # Rows that share an owner share its numbers, some of which may lie beyond a row's own.
+                held = np.diff(np.append(found.first_of_row, len(found.hash)))
+                wanted[(np.repeat(found.first_of_row, sizes) + flat)[flat < np.repeat(held, sizes)]] = True
                 usual = np.flatnonzero(wanted)
                 s, e, raw = block.start, block.end, block.data.tobytes()
                 begin, runs = found.begin[usual], found.runs[usual]
@@ -259,7 +262,7 @@ def spans_of(stretches: DataFrame, window: int, of_group: Callable[[list[tuple],
 
 def apply_spans(texts: Texts, spans: DataFrame) -> DataFrame:
     """The documents with n_words, n_removed, kept_text and removed (array of start, length in words, merged)."""
-    per = spans.groupBy("doc", "tie").agg(F.collect_list(F.struct("start", "length")).alias("spans"))
+    per = spans.groupBy(F.coalesce("doc", "tie").alias("owner")).agg(F.collect_list(F.struct("tie", "start", "length")).alias("spans"))
     keep, at, n = texts.fields, texts.text_at, len(texts.columns)
     span = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("length", T.IntegerType())]))
     added = [("n_words", T.LongType()), ("n_removed", T.LongType()), ("kept_text", T.StringType()), ("removed", span)]
@@ -267,13 +270,14 @@ def apply_spans(texts: Texts, spans: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            listed = batch.column(n + 2)
+            ties, listed = batch.column(n + 1).to_pylist(), batch.column(n + 3)
             for block in blocks(batch.column(at)):
                 counts, gone, kept, removed = [], [], [], []
                 part = listed.slice(block.row0, len(block)).to_pylist()
                 text = block.data
                 for i, marks in enumerate(part):
                     a, b = int(block.first[i]), int(block.last[i])
+                    marks = [m for m in marks or () if m["tie"] == ties[block.row0 + i]]
                     words = text[block.offsets[i] : block.offsets[i + 1]].tobytes().split()
                     counts.append(b - a)
                     if not marks:
