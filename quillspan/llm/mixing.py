@@ -12,8 +12,10 @@ from .session import materialize, spare_name, word_count
 
 #: A document is drawn at most so often.
 MOST_COPIES = 2
-#: Words of an output shard, on average.
+#: Words of an output shard, on average, until there are MOST_SHARDS of them; that bounds the plan
+#: that the driver makes, and shards then grow.  A shard is sorted, not held.
 SHARD_WORDS = 2_000_000
+MOST_SHARDS = 16_384
 #: A source is cut into the square root of its documents, so that neither blocks nor what they hold
 #: grow fast, but into blocks of about so many documents at least.
 BLOCK_DOCS = 64
@@ -186,7 +188,7 @@ def plan_mix(docs: DataFrame, *, source_col: str = "source", id_col: str = "doc_
     drawn = placed.groupBy("s").agg(F.count("*").alias("held"), F.sum(F.when(F.col("place") != "out", 1).otherwise(0)).alias("more"), F.first("full").alias("full")).collect()
     sources = sorted(drawn, key=lambda r: (r["s"] is None, r["s"] or ""))
     quotas = [r["full"] * r["held"] + r["more"] for r in sources]
-    shards = max(1, min(sum(quotas), -(-int(sum(goal.values())) // shard_words))) if quotas else 1
+    shards = max(1, min(sum(quotas), MOST_SHARDS, -(-int(sum(goal.values())) // shard_words))) if quotas else 1
     tree = splitting_tree(quotas, shards, seed)
     runs = []
     for i, r in enumerate(sources):
@@ -224,4 +226,5 @@ def mix_sources(docs: DataFrame, *, source_col: str = "source", id_col: str = "d
     copy, shard = spare_name(docs, "copy"), spare_name(docs, "shard")
     rows = plan.rows.select(*names, F.posexplode("shards").alias(copy, shard))
     local = F.xxhash64(F.lit(seed), F.lit("shuffle"), F.col(id_col), F.col(text_col), F.col(copy), F.col(shard))
-    return rows.repartition(F.col(shard)).sortWithinPartitions(shard, local)
+    # A shard's number is its partition's, so that no task gets several shards.
+    return rows.repartitionById(plan.shards, F.col(shard)).sortWithinPartitions(shard, local)
