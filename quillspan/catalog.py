@@ -10,10 +10,10 @@ from pyspark.sql import types as T
 
 from .functions import activations as act
 from .functions import vectors as vec
-from .functions.rng import component, laplace, log_uniform, uniform, uniform_sql
-from .operators import coverage, extra_trees, gates, generate, graphs, metrics, postprocess
+from .functions.rng import SeedPath, component, laplace, log_uniform, mixture_noise, normalize_weights, uniform, uniform_sql
+from .operators import audit, coverage, extra_trees, gates, generate, graphs, metrics, postprocess, reshape
 from .plans.config import Config
-from .plans.sampling import FAMILY_LOGITS, family_probabilities
+from .plans.sampling import FAMILY_LOGITS, family_probabilities, plan_family_counts, sample_layout, sample_plan
 from .sources import packed
 from .streaming.coverage import windowed_coverage
 
@@ -578,6 +578,196 @@ def windowed_event_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumns({c: r(c, 5) for c in ("mean", "std", "min", "max")})
 
 
+# ---- set operations, reshapes, ordered groups
+
+
+@query("SELECT split, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM (SELECT 'train' AS split, o_totalprice FROM orders WHERE o_orderkey % 4 > 0 UNION ALL SELECT 'test', o_totalprice FROM orders WHERE o_orderkey % 4 = 0) GROUP BY split")
+def union_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice")
+    both = reshape.union_splits(o.where("o_orderkey % 4 > 0"), o.where("o_orderkey % 4 = 0"))
+    return both.groupBy("split").agg(F.count("*").alias("n"), r(F.sum("o_totalprice"), 2).alias("total"))
+
+
+@query(f"WITH {_SPLIT} SELECT vec_id, is_train, round(x[1], 6) AS first FROM s JOIN {x_sql(1)} USING (vec_id)")
+def split_gather(spark: SparkSession, sf_dir: str) -> DataFrame:
+    where = postprocess.stratified_split(table(spark, sf_dir, "embeddings").select("vec_id", "label"), "label", 0.7, 5, "vec_id").drop("label")
+    return reshape.gather(x64(spark, sf_dir, 1), where, "vec_id").select("vec_id", "is_train", r(F.col("x")[0]).alias("first"))
+
+
+@query(f"SELECT vec_id, len(x || y)::INTEGER AS width, round(list_sum(x || y), 5) AS total FROM {x_sql(8)} JOIN (SELECT o_orderkey AS vec_id, [o_totalprice / 1000] AS y FROM orders) USING (vec_id)")
+def parent_concat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("vec_id"), F.array(F.col("o_totalprice") / 1000).alias("x"))
+    x = F.col("x")
+    return reshape.concat_parents([x64(spark, sf_dir, 8), o], "vec_id", "x").select("vec_id", F.size(x).alias("width"), r(F.aggregate(x, F.lit(0.0), lambda a, b: a + b), 5).alias("total"))
+
+
+@query("SELECT user_id, array_to_string(list_sort(list_filter(['click', 'purchase', 'view'], lambda k: NOT list_contains(ks, k))), ',') AS missing, array_to_string(list_sort(list_filter(ks, lambda k: NOT list_contains(['click', 'purchase', 'view', 'signup'], k))), ',') AS unknown FROM (SELECT user_id, list(DISTINCT event_type) AS ks FROM events GROUP BY user_id)")
+def key_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    seen = table(spark, sf_dir, "events").groupBy("user_id").agg(F.collect_set("event_type").alias("ks"))  # types are few
+    missing, unknown = reshape.key_differences(F.col("ks"), ["click", "purchase", "view"], ["signup"])
+    return seen.select("user_id", F.array_join(missing, ",").alias("missing"), F.array_join(unknown, ",").alias("unknown"))
+
+
+@query("SELECT threshold FROM (SELECT round(l_discount, 2) AS threshold FROM lineitem UNION SELECT 0.95 UNION SELECT round(l_tax, 2) FROM lineitem)")
+def threshold_union(spark: SparkSession, sf_dir: str) -> DataFrame:
+    l = table(spark, sf_dir, "lineitem")
+    own = l.select(F.round("l_discount", 2).alias("threshold")).distinct().union(l.select(F.round("l_tax", 2)).distinct())
+    return own.union(spark.range(1).select(F.lit(0.95))).distinct()
+
+
+@query("SELECT p_partkey, p_size::DOUBLE AS size, round(p_retailprice, 4) AS price, NULL::DOUBLE AS beyond FROM part")
+def stack_unstack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stacked = reshape.stack(table(spark, sf_dir, "part"), ["p_partkey"], ["p_size", "p_retailprice"])
+    return reshape.unstack(stacked, ["p_partkey"], "x", ["size", "price", "beyond"]).withColumn("price", r("price", 4))
+
+
+@query("SELECT l_returnflag, (l_returnflag = 'A')::INTEGER::DOUBLE AS a, (l_returnflag = 'N')::INTEGER::DOUBLE AS n, (l_returnflag = 'R')::INTEGER::DOUBLE AS r, count(*) AS rows FROM lineitem GROUP BY ALL")
+def one_hot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    l = table(spark, sf_dir, "lineitem").withColumn("x", reshape.one_hot(F.col("l_returnflag"), ["A", "N", "R"]))
+    return l.groupBy("l_returnflag", *[F.col("x")[i].alias(c) for i, c in enumerate("anr")]).agg(F.count("*").alias("rows"))
+
+
+@query("""WITH s AS (SELECT *, event_type IS DISTINCT FROM lag(event_type) OVER w OR row_number() OVER w = 1 AS starts FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))
+SELECT event_id, starts, (sum(starts::INTEGER) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING))::BIGINT AS run FROM s""")
+def group_boundaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reshape.group_starts(table(spark, sf_dir, "events"), ["user_id"], ["ts", "event_id"], "event_type").select("event_id", "starts", "run")
+
+
+_MAP = [5, 0, 3, 7]
+
+
+@query(f"SELECT vec_id, {', '.join(f'round(x[{i + 1}], 6) AS f{k}' for k, i in enumerate(_MAP))} FROM {x_sql(8)}")
+def feature_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = reshape.project_features("x", _MAP)
+    return x64(spark, sf_dir, 8).select("vec_id", *[r(x[k]).alias(f"f{k}") for k in range(len(_MAP))])
+
+
+@query("SELECT o_custkey, count(*) AS n FROM orders WHERE o_custkey IN (SELECT DISTINCT o_custkey FROM orders ORDER BY o_custkey LIMIT 20) GROUP BY o_custkey")
+def first_datasets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reshape.first_datasets(table(spark, sf_dir, "orders").select("o_custkey"), 20, "o_custkey").groupBy("o_custkey").agg(F.count("*").alias("n"))
+
+
+@query("SELECT event_id, CASE WHEN event_id % 5 < 2 THEN NULL ELSE value END AS value FROM events")
+def finite_coercion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("event_id") % 5
+    odd = F.when(k == 0, float("nan")).when(k == 1, float("-inf")).otherwise(F.col("value"))
+    return table(spark, sf_dir, "events").select("event_id", act.finite_or_null(odd).alias("value"))
+
+
+# ---- draws and activations
+
+_Q_ACT = f"exp(ln(10::DOUBLE) * {uniform_sql(23, 'stretch', 'g')})"
+
+
+@query(f"""WITH c AS (SELECT c_custkey, c_nationkey AS g, c_acctbal AS v FROM customer),
+s AS (SELECT g, avg(v) AS m, greatest(stddev_pop(v), 1e-6) AS s, arg_min(v, ({uniform_sql(23, 'shift', 'c_custkey')}, c_custkey)) AS b FROM c GROUP BY g),
+y AS (SELECT c_custkey, g, tanh({_Q_ACT} * (v - b) / s) AS y FROM c JOIN s USING (g)), t AS (SELECT g, avg(y) AS m, greatest(stddev_pop(y), 1e-6) AS s FROM y GROUP BY g)
+SELECT c_custkey, round((y - m) / s, 5) AS y FROM y JOIN t USING (g)""")
+def random_activation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "customer").select("c_custkey", F.col("c_nationkey").alias("g"), F.col("c_acctbal").alias("y"))
+    return postprocess.random_activation(c, "y", act.SCALAR["tanh"], 23, "c_custkey", group=["g"]).select("c_custkey", r("y", 5).alias("y"))
+
+
+def _normal_sql(path: str) -> str:
+    return f"sqrt(-2 * ln(greatest({uniform_sql(29, path + '/r', 'o_orderkey')}, pow(2::DOUBLE, -33)))) * cos(2 * pi() * {uniform_sql(29, path + '/t', 'o_orderkey')})"
+
+
+_U_FAM, _U_LAP = uniform_sql(29, "noise/family", "o_orderkey"), f"greatest(1e-7, least(1 - 1e-7, {uniform_sql(29, 'noise/laplace', 'o_orderkey')}))"
+_CHI = " + ".join(f"pow({_normal_sql(f'noise/student/{i}')}, 2)" for i in range(3))
+
+
+@query(f"""SELECT o_orderkey, round(CASE WHEN {_U_FAM} < 0.5 THEN {_normal_sql('noise/normal')} WHEN {_U_FAM} < 0.75 THEN CASE WHEN {_U_LAP} < 0.5 THEN ln(2 * {_U_LAP}) ELSE -ln(2 * (1 - {_U_LAP})) END
+ELSE {_normal_sql('noise/student')} / sqrt(({_CHI}) / 3) END, 5) AS noise FROM orders""")
+def mixture_noise_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    noise = mixture_noise(29, "noise", {"gaussian": 2, "laplace": 1, "student_t": 1}, 3, "o_orderkey")
+    return table(spark, sf_dir, "orders").select("o_orderkey", r(noise, 5).alias("noise"))
+
+
+@query(f"SELECT ds, CASE WHEN {uniform_sql(31, 'noise family', 'ds')} < 0.6 THEN 'gaussian' ELSE 'laplace' END AS family, count(*) AS n FROM {CORPUS} GROUP BY ds")
+def dataset_noise_family(spark: SparkSession, sf_dir: str) -> DataFrame:
+    per = corpus(spark, sf_dir).groupBy("ds").agg(F.count("*").alias("n"))
+    return per.withColumn("family", component(uniform(31, "noise family", "ds"), {"gaussian": 3, "laplace": 2}))
+
+
+@query("SELECT name, round(w / sum(w) OVER (), 9) AS share FROM (VALUES ('a', 2.0::DOUBLE), ('b', 0), ('c', 6), ('d', -1), ('e', 0.5)) t(name, w) WHERE w > 0")
+def normalized_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = list(normalize_weights({"a": 2, "b": 0, "c": 6, "d": -1, "e": 0.5}).items())
+    return spark.createDataFrame(rows, "name string, share double").withColumn("share", r("share", 9))
+
+
+@query(f"""WITH e AS (SELECT vec_id, x, list_max(x) AS top FROM {x_sql(5)}), p AS (SELECT vec_id, list_transform(x, lambda v: exp(v - top)) AS w FROM e)
+SELECT vec_id, least(4, len(list_filter([w[1], w[1] + w[2], w[1] + w[2] + w[3], w[1] + w[2] + w[3] + w[4]], lambda c: c / list_sum(w) <= {uniform_sql(37, 'softmax label', 'vec_id')})))::INTEGER AS code FROM p""")
+def softmax_converter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return x64(spark, sf_dir, 5).select("vec_id", vec.sampled_label(F.col("x"), uniform(37, "softmax label", "vec_id")).alias("code"))
+
+
+# ---- guardrails over metadata
+
+
+_META = """(SELECT event_type AS g, event_id % 13 > 0 AS present, CASE event_id % 17 WHEN 0 THEN NULL WHEN 1 THEN 'laplace' ELSE ' Mixture' END AS fr, CASE event_id % 19 WHEN 0 THEN 'cauchy' ELSE 'gaussian' END AS fs,
+CASE WHEN event_id % 23 = 0 THEN -1.0 ELSE 0.5 END AS scale, CASE WHEN event_id % 29 = 0 THEN 2.0 ELSE 5.0 END AS df, CASE WHEN event_id % 31 = 0 THEN 0.9 ELSE 0.5 END AS w FROM events)"""
+_WHY = "CASE WHEN fr IS NULL THEN 'family_requested_type' WHEN lower(trim(fr)) <> 'mixture' THEN 'family_requested_mismatch' WHEN scale <= 0 THEN 'base_scale_value' WHEN df <= 2 THEN 'student_t_df_value' WHEN fs = 'cauchy' THEN 'family_sampled_invalid_for_mixture' WHEN w > 0.5 THEN 'mixture_weights_total_not_one' END"
+
+
+def noise_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """events as noise metadata, some of it absent or wrong."""
+    k = lambda m: F.col("event_id") % m
+    weights = F.create_map(F.lit("gaussian"), F.when(k(31) == 0, 0.9).otherwise(0.5), F.lit("laplace"), F.lit(0.5))
+    return table(spark, sf_dir, "events").select(
+        F.col("event_type").alias("g"), (k(13) > 0).alias("present"), F.when(k(17) == 0, None).when(k(17) == 1, "laplace").otherwise(" Mixture").alias("family_requested"), F.when(k(19) == 0, "cauchy").otherwise("gaussian").alias("family_sampled"),
+        F.lit("dataset_level").alias("sampling_strategy"), F.when(k(23) == 0, -1.0).otherwise(0.5).alias("base_scale"), F.when(k(29) == 0, 2.0).otherwise(5.0).alias("student_t_df"), weights.alias("mixture_weights"),
+    )
+
+
+@query(f"""SELECT g, n, n_present, n_valid, round(n_present / n, 6) AS coverage, round(n_valid / n, 6) AS validity, CASE WHEN n_valid = n THEN 'pass' ELSE 'fail' END AS status
+FROM (SELECT g, count(*) AS n, count(*) FILTER (present) AS n_present, count(*) FILTER (present AND ({_WHY}) IS NULL) AS n_valid FROM {_META} GROUP BY g)""")
+def noise_guardrail(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = gates.noise_guardrail(noise_meta(spark, sf_dir), "mixture", ["g"])
+    return out.withColumns({"coverage": r("coverage"), "validity": r("validity")})
+
+
+@query(f"SELECT {_WHY} AS reason, count(*) AS n FROM {_META} WHERE present AND ({_WHY}) IS NOT NULL GROUP BY reason")
+def noise_reason_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    why = noise_meta(spark, sf_dir).where("present").select(gates.noise_reason("mixture").alias("reason"))
+    return why.where("reason IS NOT NULL").groupBy("reason").agg(F.count("*").alias("n"))
+
+
+@query("""WITH t AS (SELECT o_orderpriority AS g, o_orderkey % 2 = 0 AS ours, o_totalprice AS v, o_orderstatus <> 'P' OR o_orderpriority <> '1-URGENT' AS has FROM orders),
+m AS (SELECT g, count(*) FILTER (ours) AS sample, count(*) FILTER (ours AND has) / nullif(count(*) FILTER (ours), 0) AS coverage, coalesce(median(v) FILTER (NOT ours), 0) AS baseline, coalesce(median(v) FILTER (ours), 0) AS current FROM t GROUP BY g),
+d AS (SELECT *, greatest(0.0, 100 * (baseline - current) / nullif(baseline, 0)) AS p FROM m)
+SELECT g, sample, round(coverage, 6) AS coverage, round(baseline, 4) AS baseline, round(current, 4) AS current, round(p, 4) AS degradation_pct,
+CASE WHEN coverage < 1 THEN 'fail' WHEN sample >= 30 AND p >= 2 THEN 'fail' WHEN sample >= 30 AND p >= 1 THEN 'warn' ELSE 'pass' END AS status FROM d""")
+def lineage_guardrail(spark: SparkSession, sf_dir: str) -> DataFrame:
+    has = (F.col("o_orderstatus") != "P") | (F.col("o_orderpriority") != "1-URGENT")
+    kind = F.when(F.col("o_orderkey") % 2 == 0, "lineage").otherwise("baseline")
+    trials = table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("g"), kind.alias("kind"), F.col("o_totalprice").alias("per_minute"), has.alias("has_lineage"))
+    out = gates.lineage_guardrail(trials, ["g"], 30, 1, 2)
+    return out.withColumns({"coverage": r("coverage")} | {c: r(c, 4) for c in ("baseline", "current", "degradation_pct")})
+
+
+@query("SELECT c_nationkey, arg_max(cells, (coalesce(rate, '-Infinity'::DOUBLE), -cells)) AS best, max(rate) AS rate FROM (SELECT c_nationkey, c_custkey % 7 AS cells, CASE WHEN c_custkey % 11 > 0 THEN round(c_acctbal / 1000, 0) END AS rate FROM customer) GROUP BY c_nationkey")
+def target_cells_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "customer").select("c_nationkey", (F.col("c_custkey") % 7).alias("cells"), F.when(F.col("c_custkey") % 11 > 0, F.round(F.col("c_acctbal") / 1000, 0)).alias("rate"))
+    return gates.sweep_best(c, ["c_nationkey"], "cells", "rate")
+
+
+@query(f"""WITH x AS (SELECT c.preset, c.metric, c.value AS current, b.value * 1.15 AS baseline FROM {_RATE.format(k=0)} c JOIN {_RATE.format(k=1)} b USING (preset, metric)),
+d AS (SELECT preset, metric, greatest(0.0, 100 * (baseline - current) / abs(baseline)) AS p FROM x), s AS (SELECT *, CASE WHEN p >= 14 THEN 'fail' WHEN p >= 12 THEN 'warn' ELSE 'pass' END AS severity FROM d)
+SELECT preset, metric, severity, row_number() OVER (ORDER BY CASE severity WHEN 'fail' THEN 0 WHEN 'warn' THEN 1 ELSE 2 END, p DESC, preset, metric)::INTEGER AS place FROM s""")
+def issue_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    l = table(spark, sf_dir, "lineitem").select((F.col("l_suppkey") % 2).alias("k"), F.col("l_linestatus").alias("preset"), F.col("l_returnflag").alias("metric"), "l_extendedprice")
+    per = l.groupBy("k", "preset", "metric").agg(F.avg("l_extendedprice").alias("value"))
+    issues = gates.regression_gate(per.where("k = 0"), per.where("k = 1").withColumn("value", F.col("value") * 1.15), 12, 14)
+    return gates.issue_ranks(issues).select("preset", "metric", "severity", "place")
+
+
+@query("SELECT event_type, count(*) AS attempts, count(*) FILTER (value > 20) AS accepted, round(avg(value) FILTER (event_id % 9 > 0), 5) AS wins_ratio_mean, count(*) - count(*) FILTER (value > 20) AS rejected, round(count(*) FILTER (value > 20) / count(*), 6) AS accepted_fraction FROM events GROUP BY event_type")
+def filter_yield(spark: SparkSession, sf_dir: str) -> DataFrame:
+    wins = F.when(F.col("event_id") % 9 == 0, float("nan")).otherwise(F.col("value"))
+    v = table(spark, sf_dir, "events").select("event_type", (F.col("value") > 20).alias("accepted"), wins.alias("wins_ratio"))
+    return gates.filter_yield(v, ["event_type"], ["wins_ratio"]).withColumns({"wins_ratio_mean": r("wins_ratio_mean", 5), "accepted_fraction": r("accepted_fraction")})
+
+
 # ---- generated corpora and judged datasets: no SQL says these
 
 
@@ -619,3 +809,22 @@ def inject_missing_mar(spark: SparkSession, sf_dir: str) -> DataFrame:
     hidden = postprocess.inject_missing(judged_rows(spark, sf_dir), "mar", 0.2, 3)
     gone = F.size(F.filter("x", lambda v: F.isnan(v)))
     return hidden.groupBy("dataset_index", "split").agg(F.count("*").alias("n"), F.sum(gone).alias("n_missing"), F.sum(F.size("x")).alias("n_cells"))
+
+
+@query()
+def label_only_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, _ = generate.generate_corpus(spark, small_config(), 25, labels_only=True)
+    return rows.groupBy("dataset_index", "split").agg(F.count("*").alias("n"), F.count_distinct("y").alias("n_classes"), F.count("x").alias("n_features_made"))
+
+
+@query()
+def plan_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    config, seeds = small_config(), SeedPath(7)
+    counts = plan_family_counts(sample_plan(config, sample_layout(config, seeds), seeds))
+    return spark.createDataFrame(sorted(counts.items()), "family string, n long")
+
+
+@query()
+def lineage_blobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, meta = generate.generate_corpus(spark, small_config(), 25)
+    return audit.lineage(meta, 8)

@@ -78,6 +78,21 @@ def laplace(u: Column) -> Column:
     return F.when(v < 0.5, F.ln(2 * v)).otherwise(-F.ln(2 * (1 - v)))
 
 
+def student_t(seed: int | str, path: str, df: int, *key: str | Column) -> Column:
+    """A Student t of a whole number of degrees of freedom over 2: a normal by the root of a mean of squared normals."""
+    if df <= 2:
+        raise ValueError("df must be over 2")
+    squares = [F.pow(normal(seed, f"{path}/{i}", *key), F.lit(2.0)) for i in range(df)]
+    return normal(seed, path, *key) / F.sqrt(sum(squares[1:], squares[0]) / df)
+
+
+def mixture_noise(seed: int | str, path: str, weights: dict[str, float], df: int, *key: str | Column) -> Column:
+    """Noise whose family each row draws by weight."""
+    family = component(uniform(seed, path + "/family", *key), weights)
+    other = F.when(family == "laplace", laplace(uniform(seed, path + "/laplace", *key))).when(family == "student_t", student_t(seed, path + "/student", df, *key))
+    return other.otherwise(normal(seed, path + "/normal", *key))
+
+
 def component(u: Column, weights: dict[str, float]) -> Column:
     """The name whose share of the cumulated positive weights holds u."""
     kept = {k: w for k, w in weights.items() if w > 0}

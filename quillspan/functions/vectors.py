@@ -64,3 +64,14 @@ def gate(x: Column, first: Column, second: Column, temperature: float, bias: flo
     """A blend of two functions, by a logistic gate of x."""
     g = 1 / (1 + F.exp(-(x + F.lit(float(bias))) * F.lit(float(temperature))))
     return g * first + (1 - g) * second
+
+
+def sampled_label(x: Column, u: Column) -> Column:
+    """A place in x drawn from its softmax by one uniform: the first whose cumulated share exceeds u."""
+    top = F.array_max(x)
+    w = F.transform(x, lambda v: F.exp(v - top))
+    total = F.aggregate(w, F.lit(0.0), lambda a, v: a + v)
+    start = F.struct(F.lit(0.0).alias("sum"), F.lit(0).alias("n"))
+    # The cumulated shares do not fall, so those up to u are counted.
+    passed = F.aggregate(w, start, lambda a, v: F.struct((a["sum"] + v).alias("sum"), (a["n"] + F.when((a["sum"] + v) / total <= u, 1).otherwise(0)).alias("n")))
+    return F.least(passed["n"], F.size(x) - 1)

@@ -88,3 +88,84 @@ def digest(df: DataFrame, columns: list[str], group: list[str]) -> DataFrame:
     h = F.md5(F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("~")) for c in columns]))
     part = lambda i: F.sum(F.conv(F.substring(h, i, 8), 16, 10).cast("decimal(38,0)"))
     return df.groupBy(*group).agg(F.count("*").alias("n"), F.md5(F.concat_ws("|", part(1).cast("string"), part(9).cast("string"))).alias("digest"))
+
+
+#: Families of noise that a mixture draws from.
+NOISE_PARTS = ("gaussian", "laplace", "student_t")
+
+
+def noise_reason(expected: str) -> Column:
+    """Why a dataset's noise metadata is not valid: the first rule it breaks, null if none.
+
+    Columns: family_requested, family_sampled, sampling_strategy (strings), base_scale, student_t_df (doubles),
+    mixture_weights (map of doubles).  Null stands for a value of the wrong type.
+    """
+    low = lambda c: F.lower(F.trim(c))
+    number = lambda c, bound: c.isNull() | F.isnan(c) | (c == float("inf")) | (c <= bound)
+    asked, got, weights = low(F.col("family_requested")), low(F.col("family_sampled")), F.col("mixture_weights")
+    parts = F.map_values(weights)
+    total = F.aggregate(parts, F.lit(0.0), lambda a, x: a + x)
+    # The names of the reasons are fixed values.
+    rules = [
+        ("family_requested_type", asked.isNull()),
+        ("family_requested_mismatch", asked != expected),
+        ("family_sampled_type", got.isNull()),
+        ("sampling_strategy_type", F.col("sampling_strategy").isNull()),
+        ("sampling_strategy_value", low(F.col("sampling_strategy")) != "dataset_level"),
+        ("base_scale_value", number(F.col("base_scale"), 0.0)),
+        ("student_t_df_value", number(F.col("student_t_df"), 2.0)),
+    ]
+    if expected == "mixture":
+        rules += [
+            ("family_sampled_invalid_for_mixture", ~got.isin(*NOISE_PARTS)),
+            ("mixture_weights_type", weights.isNull()),
+            ("mixture_weights_key_value", F.exists(F.map_keys(weights), lambda k: ~low(k).isin(*NOISE_PARTS))),
+            ("mixture_weights_value", F.exists(parts, lambda x: x.isNull() | F.isnan(x) | (x < 0) | (x == float("inf")))),
+            ("mixture_weights_total_nonpositive", total <= 0),
+            ("mixture_weights_total_not_one", F.abs(total - 1) > 1e-6),
+        ]
+    else:
+        rules += [("family_sampled_mismatch", got != expected), ("mixture_weights_unexpected", weights.isNotNull())]
+    return F.coalesce(*[F.when(broken, name) for name, broken in rules])
+
+
+def noise_guardrail(meta: DataFrame, expected: str, group: list[str]) -> DataFrame:
+    """(group, n, n_present, n_valid, coverage, validity, status) of rows as noise_reason takes them, with present (boolean)."""
+    ok = F.col("present") & noise_reason(expected).isNull()
+    out = meta.groupBy(*group).agg(F.count("*").alias("n"), F.count_if("present").alias("n_present"), F.count_if(ok).alias("n_valid"))
+    out = out.withColumn("coverage", F.col("n_present") / F.col("n")).withColumn("validity", F.col("n_valid") / F.col("n"))
+    return out.withColumn("status", F.when(F.col("n_valid") == F.col("n"), "pass").otherwise("fail"))
+
+
+def lineage_guardrail(trials: DataFrame, group: list[str], least: int, warn: float = 10, fail: float = 20) -> DataFrame:
+    """(group, sample, coverage, baseline, current, degradation_pct, status) of paired trials.
+
+    Rows: kind ('baseline' or 'lineage'), per_minute, has_lineage (boolean).  Medians of finite throughputs are compared; under
+    ``least`` rows only missing lineage fails.
+    """
+    ours = F.col("kind") == "lineage"
+    finite = F.when(~F.isnan("per_minute") & (F.abs("per_minute") < float("inf")), F.col("per_minute"))
+    share = F.count_if(ours & F.col("has_lineage")) / F.nullif(F.count_if(ours), F.lit(0))
+    out = trials.groupBy(*group).agg(F.count_if(ours).alias("sample"), share.alias("coverage"), F.coalesce(F.median(F.when(~ours, finite)), F.lit(0.0)).alias("baseline"), F.coalesce(F.median(F.when(ours, finite)), F.lit(0.0)).alias("current"))
+    out = out.withColumn("degradation_pct", degradation(F.lit("datasets_per_minute"), F.col("current"), F.col("baseline")))
+    slow = F.when(F.col("sample") >= least, severity(F.col("degradation_pct"), warn, fail)).otherwise("pass")
+    return out.withColumn("status", F.when(F.col("coverage") < 1, "fail").otherwise(slow))
+
+
+def sweep_best(df: DataFrame, group: list[str], cells: str, rate: str) -> DataFrame:
+    """(group, best, rate): the setting of the greatest rate, the smaller one on a tie; missing rates are worst. One aggregation."""
+    score = F.struct(F.coalesce(rate, F.lit(float("-inf"))), -F.col(cells))
+    return df.groupBy(*group).agg(F.max_by(cells, score).alias("best"), F.max(rate).alias(rate))
+
+
+def issue_ranks(issues: DataFrame) -> DataFrame:
+    """Issues with place: from the most severe, then the most degraded; the issues of one run are few."""
+    order = F.when(F.col("severity") == "fail", 0).when(F.col("severity") == "warn", 1).otherwise(2)
+    return issues.withColumn("place", F.row_number().over(Window.orderBy(order, F.desc("degradation_pct"), "preset", "metric")))
+
+
+def filter_yield(verdicts: DataFrame, group: list[str], means: list[str]) -> DataFrame:
+    """(group, attempts, accepted, rejected, accepted_fraction, a mean of each measure over its finite values)."""
+    finite = lambda c: F.when(~F.isnan(c) & (F.abs(c) < float("inf")), F.col(c))
+    out = verdicts.groupBy(*group).agg(F.count("*").alias("attempts"), F.count_if("accepted").alias("accepted"), *[F.avg(finite(c)).alias(f"{c}_mean") for c in means])
+    return out.withColumn("rejected", F.col("attempts") - F.col("accepted")).withColumn("accepted_fraction", F.col("accepted") / F.col("attempts"))

@@ -19,16 +19,20 @@ def density(edges: DataFrame, n_nodes: int) -> DataFrame:
     return edges.agg(F.count("*").alias("n_edges")).withColumn("density", F.col("n_edges") / (n_nodes * (n_nodes - 1) / 2))
 
 
-def depths(edges: DataFrame, nodes: DataFrame, node: str) -> DataFrame:
-    """(node, depth): nodes on the longest path that ends at each node, by one relaxation for each level."""
-    deep = nodes.select(F.col(node).cast("int").alias("node"), F.lit(1).alias("depth"))
-    while True:
-        step = edges.join(deep, edges["src"] == deep["node"]).groupBy(F.col("dst").alias("to")).agg((F.max("depth") + 1).alias("d"))
-        new = deep.join(step, deep["node"] == step["to"], "left").select("node", F.greatest("depth", F.coalesce("d", F.lit(1))).alias("depth"))
-        new = new.sparkSession.createDataFrame(new.collect(), "node int, depth int")  # a graph's nodes: few by contract
-        if sorted(new.collect()) == sorted(deep.collect()):
-            return new
-        deep = new
+def depths(edges: DataFrame, nodes: DataFrame, node: str, group: list[str] | None = None) -> DataFrame:
+    """(group, node, depth): nodes on the longest path that ends at each node, of one graph or of one for each group.
+
+    A graph's edges go upwards, so one fold over them in order sees a node's depth settled before
+    its edges go on; a graph is one row, its nodes being few by contract, and graphs are spread.
+    """
+    group = group or []
+    held = nodes.groupBy(*group).agg(F.array_sort(F.collect_set(F.col(node).cast("int"))).alias("ns"))
+    joined = edges.groupBy(*group).agg(F.array_sort(F.collect_set(F.struct(F.col("src").cast("int").alias("src"), F.col("dst").cast("int").alias("dst")))).alias("es"))
+    both = held.join(joined, group, "left") if group else held.crossJoin(F.broadcast(joined))  # one row
+    place = lambda n: F.array_position("ns", n).cast("int")
+    step = lambda deep, e: F.transform(deep, lambda d, i: F.when(i + 1 == place(e["dst"]), F.greatest(d, F.element_at(deep, place(e["src"])) + 1)).otherwise(d))
+    deep = F.aggregate(F.coalesce("es", F.array().cast("array<struct<src:int,dst:int>>")), F.transform("ns", lambda _: F.lit(1)), step)
+    return both.select(*group, F.explode(F.arrays_zip(F.col("ns").alias("node"), deep.alias("depth"))).alias("e")).select(*group, "e.node", "e.depth")
 
 
 def pack_upper(adjacency: np.ndarray) -> bytes:

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.rng import uniform
+from ..functions.rng import log_uniform, uniform
 
 
 def unpivot(df: DataFrame, ids: list[str], values: list[str], name: str = "feature", value: str = "value") -> DataFrame:
@@ -57,6 +59,23 @@ def sanitize_standardize(df: DataFrame, values: list[str], group: list[str] | No
     return full.withColumns({v: (F.col(v) - F.col(f"m#{v}")) / F.col(f"s#{v}") for v in values}).drop(*[f"{p}#{v}" for v in values for p in "ms"])
 
 
+def random_activation(df: DataFrame, value: str, apply: Callable[[Column], Column], seed: int, *key: str, group: list[str] | None = None) -> DataFrame:
+    """df with its value standardised, shifted by a drawn row's, stretched by a factor drawn between 1 and 10, passed through an activation, cleaned and standardised again, by group.
+
+    The drawn row is the one of least hashed key, so that no row is numbered.
+    """
+    from ..functions.activations import sanitize
+
+    group = group or []
+    v, drawn = F.col(value), F.struct(uniform(seed, "shift", *key), *key)
+    stats = [F.avg(v).alias("m#"), F.greatest(F.stddev_pop(v), F.lit(1e-6)).alias("s#"), F.min_by(v, drawn).alias("b#")]
+    full = _grouped(df, group, stats)
+    stretch = log_uniform(uniform(seed, "stretch", *[F.col(g) for g in group]), 1.0, 10.0)
+    full = full.withColumn(value, sanitize(apply(stretch * (v - F.col("b#")) / F.col("s#")))).drop("m#", "s#", "b#")
+    again = _grouped(full, group, [F.avg(v).alias("m#"), F.greatest(F.stddev_pop(v), F.lit(1e-6)).alias("s#")])
+    return again.withColumn(value, (v - F.col("m#")) / F.col("s#")).drop("m#", "s#")
+
+
 def constant_columns(df: DataFrame, values: list[str], group: list[str], floor: float = 1e-12) -> DataFrame:
     """(group, feature, sd, keep): whether a column's population deviation exceeds floor in each group."""
     long = unpivot(df, group, values)

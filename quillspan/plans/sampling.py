@@ -118,6 +118,31 @@ def sample_plan(config: Config, layout: Layout, seeds: SeedPath) -> dict:
     return {"nodes": nodes, "sigma_multiplier": shift.sigma_multiplier}
 
 
+class CorrelatedSampler:
+    """Draws by name: all draws of a name share latent parameters, so they resemble each other; each is keyed by its number."""
+
+    def __init__(self, seeds: SeedPath):
+        self.seeds = seeds
+        self.draws: dict[tuple, int] = {}
+
+    def _next(self, *key: object) -> np.random.Generator:
+        n = self.draws[key] = self.draws.get(key, -1) + 1
+        return (self.seeds / "draw" / "/".join(map(str, key)) / n).generator()
+
+    def number(self, name: str, low: float, high: float, *, log: bool = False, whole: bool = False) -> float | int:
+        """A value between low and high from the name's Beta distribution, of a mean and a strength drawn once."""
+        latent = (self.seeds / "number" / name).generator()
+        mean, strength = latent.random(), float(np.exp(latent.uniform(np.log(0.1), np.log(1e4))))
+        u = self._next("number", name).beta(max(strength * mean, 1e-12), max(strength * (1 - mean), 1e-12))
+        value = float(low * (high / low) ** u) if log else low + u * (high - low)
+        return int(np.floor(value)) if whole else value
+
+    def category(self, name: str, n: int) -> int:
+        """One of n categories by weights drawn once for the name."""
+        raw = (self.seeds / "weights" / name / n).generator().random(n) + 1e-6
+        return int(self._next("category", name, n).choice(n, p=raw / raw.sum()))
+
+
 def plan_family_counts(plan: dict) -> dict[str, int]:
     out: dict[str, int] = {}
     for node in plan["nodes"]:
