@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .session import word_count
+from .session import materialize, word_count
 
 #: Permitted sequence lengths, and the cost of a sequence beside its tokens (in tokens).
 LENGTHS = (512, 1024, 2048, 4096)
@@ -112,7 +112,8 @@ def pack_documents(
     size = word_count(F.col(text_col)) if size is None else size
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(size, F.lit(0)).cast("long").alias("n"))
     # Copies of an id that are equal in size are alike, so counts stand for them until groups are made.
-    rows = rows.where("n > 0").groupBy("doc_id", "n").agg(F.count("*").alias("times"))
+    # They are written, small as they are, so that texts are read and counted once, not once for the total and again.
+    rows = materialize(rows.where("n > 0").groupBy("doc_id", "n").agg(F.count("*").alias("times")))
     pieces = F.ceil(F.col("n") / F.lit(top)).cast("long")
     total = rows.agg(F.sum(pieces * F.col("times"))).collect()[0][0] or 0
     groups = max(1, -(-total // group_pieces))
