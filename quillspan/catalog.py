@@ -768,6 +768,16 @@ def filter_yield(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gates.filter_yield(v, ["event_type"], ["wins_ratio"]).withColumns({"wins_ratio_mean": r("wins_ratio_mean", 5), "accepted_fraction": r("accepted_fraction")})
 
 
+@query(f"""WITH v AS (SELECT CASE WHEN o_orderkey % 11 > 0 THEN 0.75 + 0.25 * {uniform_sql(9, 'wins', 'o_orderkey')} END AS wins, CASE WHEN o_custkey % 32 < 8 THEN 0 WHEN o_custkey % 32 < 16 THEN 0.05 WHEN o_custkey % 32 < 24 THEN 0.10 ELSE 0.15 END AS relax FROM orders),
+s AS (SELECT wins, least(t, greatest(t - relax, 0.80))::DOUBLE AS lim, t::DOUBLE AS threshold FROM v, (SELECT unnest([0.80, 0.85, 0.90, 0.95, 0.99]) AS t))
+SELECT threshold, count(*) AS n, count(*) FILTER (wins >= lim) AS accepted, round(count(*) FILTER (wins >= lim) / count(*), 6) AS acceptance_rate FROM s GROUP BY threshold""")
+def filter_calibration(spark: SparkSession, sf_dir: str) -> DataFrame:
+    wins = F.when(F.col("o_orderkey") % 11 > 0, 0.75 + 0.25 * uniform(9, "wins", "o_orderkey"))
+    v = table(spark, sf_dir, "orders").select(wins.alias("wins_ratio"), gates.effective_threshold(F.lit(0.95), F.col("o_custkey") % 32 + 1).alias("threshold"))
+    swept = gates.calibrate_filter(v, (0.80, 0.85, 0.90, 0.95, 0.99), 0.95)
+    return swept.select("threshold", "n", "accepted", r("acceptance_rate").alias("acceptance_rate"))
+
+
 # ---- generated corpora and judged datasets: no SQL says these
 
 
@@ -784,7 +794,7 @@ def generate_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def generate_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, _ = generate.generate_corpus(spark, small_config(), 25)
-    return metrics.profile_datasets(rows, "classification", 7)
+    return metrics.profile_datasets(rows, "classification", 7, spearman=True, forest=True)
 
 
 def judged_rows(spark: SparkSession, sf_dir: str) -> DataFrame:

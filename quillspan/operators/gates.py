@@ -169,3 +169,18 @@ def filter_yield(verdicts: DataFrame, group: list[str], means: list[str]) -> Dat
     finite = lambda c: F.when(~F.isnan(c) & (F.abs(c) < float("inf")), F.col(c))
     out = verdicts.groupBy(*group).agg(F.count("*").alias("attempts"), F.count_if("accepted").alias("accepted"), *[F.avg(finite(c)).alias(f"{c}_mean") for c in means])
     return out.withColumn("rejected", F.col("attempts") - F.col("accepted")).withColumn("accepted_fraction", F.col("accepted") / F.col("attempts"))
+
+
+def calibrate_filter(verdicts: DataFrame, requested: tuple[float, ...], judged_at: float, elapsed: float | None = None) -> DataFrame:
+    """(threshold, n, accepted, acceptance_rate, accepted_per_minute) of verdicts judged once, at each requested threshold.
+
+    A dataset's own relaxation (``judged_at``, the threshold configured, less its own) is kept in a sweep; a verdict
+    without a wins ratio is never accepted.  accepted_per_minute is null without elapsed seconds.
+    """
+    t = F.explode(F.array(*map(F.lit, sorted(set(requested))))).alias("t")
+    each = verdicts.select("wins_ratio", (F.lit(judged_at) - F.col("threshold")).alias("relax"), t)
+    limit = F.least("t", F.greatest(F.round(F.col("t") - F.col("relax"), 9), F.lit(0.80)))
+    ok = F.coalesce(F.col("wins_ratio") >= limit, F.lit(False))
+    out = each.groupBy(F.col("t").alias("threshold")).agg(F.count("*").alias("n"), F.sum(ok.cast("long")).alias("accepted"))
+    rate = F.col("accepted") * 60 / F.lit(elapsed) if elapsed else F.lit(None).cast("double")
+    return out.withColumn("acceptance_rate", F.col("accepted") / F.col("n")).withColumn("accepted_per_minute", rate)

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.rng import SeedPath
+from .extra_trees import judge
 
 
 def class_structure(df: DataFrame, label: str, group: list[str]) -> DataFrame:
@@ -96,12 +95,36 @@ def snr_proxy_db(x_tr: np.ndarray, y_tr: np.ndarray, x: np.ndarray, y: np.ndarra
 PROFILE = "dataset_index long, metric string, value double"
 
 
-def profile_datasets(rows: DataFrame, task: str, seed: int, *, label: Callable | None = None) -> DataFrame:
-    """(dataset_index, metric, value): sizes, linearity and signal proxies, and class measures of packed rows."""
+def _pair_summary(x: np.ndarray) -> tuple[float, float] | None:
+    """Mean and largest absolute correlation over pairs of columns; constant columns take no part."""
+    with np.errstate(all="ignore"):
+        r = np.abs(np.corrcoef(x.T)[np.triu_indices(x.shape[1], 1)])
+    r = r[np.isfinite(r)]
+    return (float(r.mean()), float(r.max())) if len(r) else None
+
+
+def _mean_ranks(x: np.ndarray) -> np.ndarray:
+    """Each column's ranks from 1, ties at their mean."""
+    out = np.empty(x.shape)
+    for k in range(x.shape[1]):
+        _, at, n = np.unique(x[:, k], return_inverse=True, return_counts=True)
+        out[:, k] = (np.cumsum(n) - (n - 1) / 2)[at]
+    return out
+
+
+def profile_datasets(rows: DataFrame, task: str, seed: int, *, kinds: tuple[str, ...] | None = None, spearman: bool = False, forest: bool = False) -> DataFrame:
+    """(dataset_index, metric, value) of packed rows: sizes, linearity and signal proxies, correlations, class measures.
+
+    kinds adds counts and cardinalities of the categorical features, spearman rank correlations, and
+    forest the extra trees' wins ratio and what of it the linear fit leaves (both costly).
+    """
 
     def one(key: tuple, table: pa.Table) -> pa.Table:
         index = key[0].as_py()
-        x = np.nan_to_num(np.array(table.column("x").to_pylist(), dtype=np.float64))
+        order = np.lexsort((table.column("row_index").to_numpy(), np.array(table.column("split").to_pylist())))
+        table = table.take(order)
+        raw = np.array(table.column("x").to_pylist(), dtype=np.float64)
+        x = np.nan_to_num(raw)
         y, train = table.column("y").to_numpy(), np.array(table.column("split").to_pylist()) == "train"
         t = _targets(y, task)
         rng = (SeedPath(seed) / "profile" / index).generator()
@@ -109,16 +132,24 @@ def profile_datasets(rows: DataFrame, task: str, seed: int, *, label: Callable |
         if train.any() and not train.all():
             out["linearity_proxy"] = linearity_proxy(x[train], t[train], x[~train], t[~train], rng)
             out["snr_proxy_db"] = snr_proxy_db(x[train], t[train], x, t)
-        if x.shape[1] > 1:
-            with np.errstate(all="ignore"):
-                r = np.abs(np.corrcoef(x.T)[np.triu_indices(x.shape[1], 1)])
-            r = r[np.isfinite(r)]
-            if len(r):
-                out |= {"pearson_abs_mean": float(r.mean()), "pearson_abs_max": float(r.max())}
+        for name, v in (("pearson", x), *([("spearman", _mean_ranks(x))] if spearman else [])):
+            if x.shape[1] > 1 and (pair := _pair_summary(v)):
+                out |= {f"{name}_abs_mean": pair[0], f"{name}_abs_max": pair[1]}
+        if forest:
+            wins = judge(x, y, task, (SeedPath(seed) / "wins" / index).generator())["wins_ratio"]
+            if wins is not None:
+                out["wins_ratio_proxy"] = wins
+                if "linearity_proxy" in out:
+                    out["nonlinearity_proxy"] = max(0.0, wins - out["linearity_proxy"])
+        if kinds is not None:
+            held = [len(np.unique(raw[np.isfinite(raw[:, k]), k])) for k, kind in enumerate(kinds) if kind == "cat"]
+            out |= {"n_categorical_features": float(len(held)), "categorical_ratio": len(held) / max(1, len(kinds))}
+            if held:
+                out |= {"cat_cardinality_min": float(min(held)), "cat_cardinality_mean": float(np.mean(held)), "cat_cardinality_max": float(max(held))}
         if task == "classification":
             n = np.bincount(y.astype(int))
             p = n[n > 0] / n.sum()
-            out |= {"n_classes": float(len(p)), "class_entropy": float(-(p * np.log(p)).sum()), "class_imbalance": float(p.max() / p.min())}
+            out |= {"n_classes": float(len(p)), "class_entropy": float(-(p * np.log(p)).sum()), "majority_minority_ratio": float(p.max() / p.min())}
         return pa.table({"dataset_index": pa.array([index] * len(out), pa.int64()), "metric": list(out), "value": pa.array(list(out.values()), pa.float64())})
 
     return rows.groupBy("dataset_index").applyInArrow(one, PROFILE)

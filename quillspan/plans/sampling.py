@@ -45,6 +45,16 @@ def family_probabilities(tilt: float = 0.0, mix: dict[str, float] | None = None)
     return normalize_weights({f: w * math.exp(tilt * (FAMILY_LOGITS[f] - mean)) for f, w in base.items()})
 
 
+def shift_facts(config: Config) -> dict[str, float]:
+    """What the shift does, as metrics that each dataset of a corpus shares."""
+    s, p = config.shift, shift_params(config)
+    scales = (0, 0, 0) if s.mode == "off" else (d if x is None else x for d, x in zip(SHIFT_DEFAULTS[s.mode], (s.graph_scale, s.mechanism_scale, s.variance_scale), strict=True))
+    shares = family_probabilities(p.mechanism_tilt, config.mechanism.function_family_mix)
+    out = {"shift_enabled": s.mode != "off"} | dict(zip(("shift_graph_scale", "shift_mechanism_scale", "shift_variance_scale"), scales, strict=True))
+    out |= {"shift_edge_odds_multiplier": math.exp(p.edge_logit_bias), "shift_mechanism_nonlinear_mass": sum(w for f, w in shares.items() if f in NONLINEAR), "shift_noise_variance_multiplier": p.sigma_multiplier**2}
+    return {k: float(v) for k, v in out.items()}
+
+
 @dataclass(frozen=True)
 class Layout:
     n_features: int
