@@ -17,9 +17,13 @@ def shard_of(index: Column, size: int) -> Column:
 
 
 def write_packed(rows: DataFrame, meta: DataFrame, path: str, *, shard_size: int = 128, compression: str = "zstd") -> None:
-    """rows under path/rows/shard=N/split=S as Parquet and meta under path/metadata as JSON lines; a path in use is refused."""
+    """rows under path/rows/shard=N/split=S as Parquet and meta under path/metadata as JSON lines; a path in use is refused.
+
+    A shard's split is one task's and one file, in order.  Rows are dealt by hash: dealing by range
+    would sample them first, and so generate them twice.
+    """
     shard = shard_of(F.col("dataset_index"), shard_size)
-    out = rows.withColumn("shard", shard).repartitionByRange("shard", "split", "dataset_index").sortWithinPartitions("shard", "split", "dataset_index", "row_index")
+    out = rows.withColumn("shard", shard).repartition("shard", "split").sortWithinPartitions("shard", "split", "dataset_index", "row_index")
     out.write.mode("errorifexists").option("compression", compression).partitionBy("shard", "split").parquet(f"{path}/rows")
     write_records(meta.withColumn("shard", shard), f"{path}/metadata")
 

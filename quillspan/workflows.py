@@ -80,7 +80,7 @@ def run_filter(spark: SparkSession, config: Config, corpus: str, out: str) -> di
     rows = packed.read_packed(spark, corpus)
     packed.write_records(judge_corpus(rows, config), f"{out}/verdicts")
     verdicts = packed.read_records(spark, f"{out}/verdicts", extra_trees.VERDICT)
-    kept = extra_trees.curate(rows, verdicts).repartitionByRange("shard", "split", "dataset_index").sortWithinPartitions("shard", "split", "dataset_index", "row_index")
+    kept = extra_trees.curate(rows, verdicts).repartition("shard", "split").sortWithinPartitions("shard", "split", "dataset_index", "row_index")
     kept.write.mode("errorifexists").option("compression", config.output.compression).partitionBy("shard", "split").parquet(f"{out}/curated/rows")
     counts = {r["reason"]: r["count"] for r in verdicts.groupBy("reason").count().collect()}
     total, accepted = sum(counts.values()), counts.get("accepted", 0)
