@@ -155,7 +155,7 @@ class Parser:
         grid = np.ascontiguousarray(grid.T)
         many = len(self.languages)
         state = np.repeat(np.array(self.roots, dtype=np.int64)[:, None], lanes, axis=1)
-        slab = max(1, 16_000_000 // max(1, many * lanes))
+        slab = max(1, 4_000_000 // max(1, many * lanes))
         run = np.zeros((many, lanes), dtype=np.int64)
         total_at = np.zeros((many, len(texts)), dtype=np.int64)
         begin_at = np.zeros((many, len(texts)), dtype=np.int64)

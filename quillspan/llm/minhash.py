@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from hashlib import blake2b
-from itertools import combinations
+from itertools import combinations, islice
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +26,8 @@ PER_COLLECTION = 2
 #: Cells of a set's sketch, at least and at most, and members of a bucket compared in one group.
 CELLS = (64, 512)
 GROUP_MEMBERS = 2048
+#: Pairs of a group that are held before they are handed on.
+PAIRS_AT_ONCE = 65_536
 #: Low bits of a key that hold its table's number.
 TABLE_BITS = 7
 
@@ -131,20 +133,21 @@ def across_components(rest: DataFrame, tables: np.ndarray, percent: int) -> Data
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, members = None, []
 
-        def give() -> pa.RecordBatch:
+        def give() -> Iterator[pa.RecordBatch]:
             key, lo, hi = group
-            pairs = sorted(set(bucket_pairs(members, key & ((1 << TABLE_BITS) - 1), lo != hi, tables, percent)))
-            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in pairs], pa.int64()) for k in (0, 1)], ["a", "b"])
+            pairs = bucket_pairs(members, key & ((1 << TABLE_BITS) - 1), lo != hi, tables, percent)
+            while some := list(islice(pairs, PAIRS_AT_ONCE)):
+                yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in some], pa.int64()) for k in (0, 1)], ["a", "b"])
 
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if row[:3] != group:
                     if len(members) > 1:
-                        yield give()
+                        yield from give()
                     group, members = row[:3], []
                 members.append(row[3:])
         if len(members) > 1:
-            yield give()
+            yield from give()
 
     return spread.mapInArrow(run, "a long, b long").distinct()
 
@@ -189,13 +192,14 @@ def verified(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             # Rows come sorted by a, so that consecutive rows mostly share their first text.
-            first = batch.column(2).to_pylist()
+            first = batch.column(2)
             held: tuple = (None, None)
             keep, row = [], 0
             for block in blocks(batch.column(3)):
                 for s in shingle_sets(block, shingle):
-                    if held[0] is None or first[row] != held[0]:
-                        held = (first[row], next(shingle_sets(next(blocks(pa.array([first[row]], pa.large_string()))), shingle)))
+                    text = first[row].as_py()
+                    if held[0] is None or text != held[0]:
+                        held = (text, next(shingle_sets(next(blocks(pa.array([text], pa.large_string()))), shingle)))
                     t = held[1]
                     at = np.searchsorted(t, s)
                     both = int((t[np.minimum(at, len(t) - 1)] == s).sum()) if len(t) and len(s) else 0
