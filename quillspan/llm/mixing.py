@@ -19,6 +19,8 @@ MOST_SHARDS = 16_384
 #: A source is cut into the square root of its documents, so that neither blocks nor what they hold
 #: grow fast, but into blocks of about so many documents at least.
 BLOCK_DOCS = 64
+#: Above any block's position.
+NO_END = 2**31 - 1
 SEED = 0
 
 
@@ -109,19 +111,70 @@ def splitting_tree(quotas: list[int], shards: int, seed: int = SEED) -> list[lis
 
 
 def _fill(xs: Column, due: Column) -> Column:
-    """From a crossing block's (o, size) in order: end, the o up to which all are taken, and more, those after it that still fit."""
-    start = F.struct(F.lit(None).cast("long").alias("end"), due.cast("double").alias("left"), F.lit(False).alias("crossed"), F.array().cast("array<long>").alias("more"))
+    """From a crossing block's (o, size, n) in order: stop, the first not taken whole, left, and more, what from there on still fits.
+
+    n equal rows are one entry, of which as many are taken as fit.
+    """
+    kinds = "struct<o:bigint,size:bigint>", "array<struct<o:bigint,size:bigint,k:bigint,whole:boolean>>"
+    start = F.struct(F.lit(None).cast(kinds[0]).alias("stop"), due.cast("double").alias("left"), F.array().cast(kinds[1]).alias("more"))
 
     def step(a: Column, x: Column) -> Column:
-        fits = x["size"] <= a["left"]
-        left = F.when(fits, a["left"] - x["size"]).otherwise(a["left"])
-        end = F.when(fits & ~a["crossed"], x["o"]).otherwise(a["end"])
-        more = F.when(fits & a["crossed"], F.concat(a["more"], F.array(x["o"]))).otherwise(a["more"])
-        return F.struct(end.alias("end"), left.alias("left"), (a["crossed"] | ~fits).alias("crossed"), more.alias("more"))
+        k = F.when(x["size"] <= 0, x["n"]).otherwise(F.least(x["n"], F.floor(a["left"] / x["size"])))
+        whole, crossed = k == x["n"], a["stop"].isNotNull()
+        stop = F.when(crossed | whole, a["stop"]).otherwise(F.struct(x["o"].alias("o"), x["size"].alias("size")))
+        own = F.struct(x["o"].alias("o"), x["size"].alias("size"), k.alias("k"), whole.alias("whole"))
+        more = F.when((crossed | ~whole) & (k > 0), F.concat(a["more"], F.array(own))).otherwise(a["more"])
+        return F.struct(stop.alias("stop"), (a["left"] - k * x["size"]).alias("left"), more.alias("more"))
 
     return F.aggregate(xs, start, step)
 
 
+def _open(rows: DataFrame, gaps: list[tuple]) -> DataFrame:
+    """The rows (s, position, o, size) beyond each source's last crossing block that are no larger than its gap, with the gap."""
+    g = rows.sparkSession.createDataFrame(gaps, "g_s string, lo int, gap double, most long")
+    fits = F.col("most").isNull() | F.col("size").between(1, F.col("most"))
+    return rows.join(F.broadcast(g), rows["s"].cast("string").eqNullSafe(g["g_s"])).where((F.col("position") > F.col("lo")) & fits).select("s", "position", "o", "size", "gap")
+
+
+def _crossings(rows: DataFrame) -> DataFrame:
+    """For each source whose open rows exceed its gap, the block that crosses it, filled: (s, position, stop, left, more)."""
+    upto = F.sum("words").over(Window.partitionBy("s").orderBy("position"))
+    sums = rows.groupBy("s", "position", "gap").agg(F.sum("size").alias("words")).withColumn("upto", upto).withColumn("due", F.col("gap") - F.col("upto") + F.col("words"))
+    cross = sums.where((F.col("upto") > F.col("gap")) & (F.col("due") >= 0)).select(F.col("s").alias("c_s"), F.col("position").alias("c_position"), "due")
+    inner = rows.join(F.broadcast(cross), rows["s"].eqNullSafe(cross["c_s"]) & (rows["position"] == cross["c_position"]))
+    inner = inner.groupBy("s", "position", "due", "o", "size").agg(F.count("*").alias("n"))
+    filled = inner.groupBy("s", "position", "due").agg(F.array_sort(F.collect_list(F.struct("o", "size", "n"))).alias("xs"))
+    return filled.select("s", "position", _fill(F.col("xs"), F.col("due")).alias("e")).select("s", "position", "e.stop", "e.left", "e.more")
+
+
+def _rules(rows: DataFrame, rest: list[tuple]) -> list[tuple]:
+    """What the last, partial pass takes: (source, lo, hi, most, stop_o, stop_size, fills) for runs of blocks lo < position <= hi.
+
+    Of a run all rows are taken that are no larger than most (null: all), but in its last block, where
+    there is a stop, only those before it and the fills.  Each round sums the open rows by block
+    and fills the block that crosses; what is left goes on to later blocks, whose rows above it
+    are out for good, until no open row fits.  As rows come in hashed order, rounds are few.
+    """
+    rules, gaps = [], [(s, -1, float(n), None) for s, n in rest if n > 0]
+    first = True
+    while gaps:
+        open_ = _open(rows, gaps)
+        if not first:
+            # Only open rows can be open in later rounds.
+            open_ = materialize(open_)
+            rows = open_.drop("gap")
+        first, found, gaps_now, gaps = False, {r["s"]: r for r in _crossings(open_).collect()}, gaps, []
+        for s, lo, _, most in gaps_now:
+            r = found.get(s)
+            if r is None:
+                rules.append((s, lo, NO_END, most, None, None, []))
+                continue
+            rules.append((s, lo, r["position"], most, *r["stop"], [tuple(x) for x in r["more"]]))
+            if r["left"] >= 1:
+                gaps.append((s, r["position"], r["left"], int(r["left"])))
+    return rules
+
+
 @dataclass(frozen=True)
 class Mix:
     """rows: docs with size, source_size, target, copies, taken, shards (one entry for each copy); shards: their number."""
@@ -135,13 +188,15 @@ def plan_mix(docs: DataFrame, *, source_col: str = "source", id_col: str = "doc_
 
     Each source's documents are cut by hash into blocks, up to the square root of their number, and
     the blocks ordered by hash.  A source's target is met by whole passes over its blocks and then the
-    first blocks of one more pass; in the block that crosses the target, documents are taken in hashed
-    order while they fit, so that the sum ends just under the target.  The block draws of all sources are dealt to shards by the splitting
-    tree, as disjoint runs of each source's permuted blocks.
+    first blocks of one more pass; in the block that crosses the target, and then in all later blocks, documents
+    are taken in hashed order while they fit, so that what is missing to the target is less than the
+    smallest document left out.  The block draws of all sources are dealt to shards by the splitting
+    tree, as disjoint runs of each source's permuted blocks; what later blocks add goes with the crossing block.
 
     size is the number of words by default, 0 for null; negative or null sizes count as 0.  A null
     source is a source of its own, last in order.  Rows of size 0 are drawn once for each whole pass.
-    Equal rows are separate draws, tied in order, so that which of them is taken does not show.
+    Equal rows are separate draws, tied in order, so that which of them is taken does not show; as many are
+    taken as fit.
     Columns of docs pass through; those named like an added column are replaced.  An empty table
     gives an empty plan.
     """
@@ -170,24 +225,22 @@ def plan_mix(docs: DataFrame, *, source_col: str = "source", id_col: str = "doc_
         return df.join(plan, df[s].cast("string").eqNullSafe(plan["f_source"]))
 
     block_of = F.pmod(F.col("u"), F.col("blocks").cast("long")).cast("int")
-    stats = with_facts(slim, "s").withColumn("block", block_of).groupBy("s", "block", "rest", "full", "blocks").agg(F.sum("size").alias("words"))
+    blocked = with_facts(slim, "s").withColumn("block", block_of)
+    stats = blocked.groupBy("s", "block", "full").agg(F.count("*").alias("docs"))
     w = Window.partitionBy("s").orderBy(F.xxhash64(F.lit(seed), F.lit("permute"), "block"), "block")
     # Empty blocks are not drawn, so positions count those that hold documents.
-    placed = stats.withColumn("upto", F.sum("words").over(w)).withColumn("position", F.row_number().over(w) - 1)
-    before = F.col("upto") - F.col("words")
-    placed = placed.withColumn("place", F.when(F.col("upto") <= F.col("rest"), "in").when(before < F.col("rest"), "cross").otherwise("out")).withColumn("due", F.col("rest") - before)
-    placed = materialize(placed.select("s", "block", "position", "place", "due", "full"))
-    cross = placed.where("place = 'cross'").select(F.col("s").alias("c_s"), F.col("block").alias("c_block"), "due")
-    inner = with_facts(slim, "s").withColumn("block", block_of)
-    inner = inner.join(cross, inner["s"].eqNullSafe(cross["c_s"]) & (inner["block"] == cross["c_block"]))
-    inner = inner.groupBy("s", "block", "due", "o").agg(F.sum("size").alias("size"))
-    ends = inner.groupBy("s", "block", "due").agg(F.array_sort(F.collect_list(F.struct("o", "size"))).alias("xs")).select(F.col("s").alias("e_s"), F.col("block").alias("e_block"), _fill(F.col("xs"), F.col("due")).alias("e"))
-    placed = placed.join(ends, placed["s"].eqNullSafe(ends["e_s"]) & (placed["block"] == ends["e_block"]), "left").select(placed["*"], F.col("e.end").alias("end"), F.col("e.more").alias("more"))
-    placed = materialize(placed)
-
-    drawn = placed.groupBy("s").agg(F.count("*").alias("held"), F.sum(F.when(F.col("place") != "out", 1).otherwise(0)).alias("more"), F.first("full").alias("full")).collect()
+    placed = materialize(stats.select("s", "block", (F.row_number().over(w) - 1).alias("position"), "full"))
+    at = placed.select(F.col("s").alias("a_s"), F.col("block").alias("a_block"), "position")
+    rows = blocked.join(F.broadcast(at), blocked["s"].eqNullSafe(at["a_s"]) & (blocked["block"] == at["a_block"])).select("s", "position", "o", "size")
+    rules = _rules(rows, [(f[0], f[4]) for f in facts])
+    crossing = {s: hi for s, lo, hi, *_ in rules if lo < 0}
+    partly = any(not whole for *_, fills in rules for *_, whole in fills)
+    rule = spark.createDataFrame(rules, "r_s string, lo int, hi int, most long, stop_o long, stop_size long, fills array<struct<o:bigint,size:bigint,k:bigint,whole:boolean>>")
+
+    drawn = placed.groupBy("s").agg(F.count("*").alias("held"), F.first("full").alias("full")).collect()
     sources = sorted(drawn, key=lambda r: (r["s"] is None, r["s"] or ""))
-    quotas = [r["full"] * r["held"] + r["more"] for r in sources]
+    last = [min(crossing[r["s"]], r["held"] - 1) if r["s"] in crossing else None for r in sources]
+    quotas = [r["full"] * r["held"] + (0 if n is None else n + 1) for r, n in zip(sources, last, strict=True)]
     shards = max(1, min(sum(quotas), MOST_SHARDS, -(-int(sum(goal.values())) // shard_words))) if quotas else 1
     tree = splitting_tree(quotas, shards, seed)
     runs = []
@@ -196,20 +249,35 @@ def plan_mix(docs: DataFrame, *, source_col: str = "source", id_col: str = "doc_
         for k in range(shards):
             at += tree[k][i]
             upto.append(at)
-        runs.append((r["s"], upto, r["held"]))
-    deal = spark.createDataFrame(runs, "d_s string, upto array<int>, held int")
+        runs.append((r["s"], upto, r["held"], last[i]))
+    deal = spark.createDataFrame(runs, "d_s string, upto array<int>, held int, last int")
     # The shard of a draw is the first whose run of the source's draws reaches beyond its position.
     shard = F.transform(
-        F.filter(F.array(*(F.when((F.col("full") > e) | ((F.col("full") == e) & (F.col("place") != "out")), F.col("position") + e * F.col("held")) for e in range(MOST_COPIES))), lambda x: x.isNotNull()),
+        F.filter(F.array(*(F.when(F.col("full") > e, F.col("position") + e * F.col("held")).when((F.col("full") == e) & F.col("last").isNotNull(), F.least("position", "last") + e * F.col("held")) for e in range(MOST_COPIES))), lambda x: x.isNotNull()),
         lambda x: F.size(F.filter(F.col("upto"), lambda y: y <= x)),
     )
     placed = placed.join(deal, placed["s"].cast("string").eqNullSafe(deal["d_s"])).withColumn("b_shards", shard)
-    placed = materialize(placed.select(F.col("s").alias("p_s"), F.col("block").alias("p_block"), "place", "end", F.col("more").alias("fills"), "b_shards", F.col("full").alias("p_full")))
+    placed = placed.join(F.broadcast(rule), placed["s"].cast("string").eqNullSafe(rule["r_s"]) & (F.col("position") > F.col("lo")) & (F.col("position") <= F.col("hi")), "left")
+    crossed = F.col("hi").isNotNull() & (F.col("position") == F.col("hi"))
+    place = F.when(F.col("hi").isNull(), "out").when(crossed, "cross").otherwise("in")
+    placed = materialize(placed.select(F.col("s").alias("p_s"), F.col("block").alias("p_block"), place.alias("place"), "most", "stop_o", "stop_size", F.when(crossed, F.col("fills")).alias("fills"), "b_shards", F.col("full").alias("p_full")))
 
     own = with_facts(sized.withColumn(key, src), key).withColumn(blk, F.pmod(F.col(u), F.col("blocks").cast("long")).cast("int"))
     own = own.join(placed, own[key].eqNullSafe(placed["p_s"]) & (own[blk] == placed["p_block"]))
-    in_cross = (F.col(order) <= F.col("end")) | F.array_contains("fills", F.col(order))
-    inside = (F.col("place") == "in") | ((F.col("place") == "cross") & F.coalesce(in_cross, F.lit(False)))
+    before_stop = (F.col(order) < F.col("stop_o")) | ((F.col(order) == F.col("stop_o")) & (F.col("size") < F.col("stop_size")))
+    same = lambda x: (x["o"] == F.col(order)) & (x["size"] == F.col("size"))
+    in_cross = before_stop | F.exists("fills", lambda x: same(x) & x["whole"])
+    fits = F.col("most").isNull() | F.col("size").between(1, F.col("most"))
+    inside = fits & ((F.col("place") == "in") | ((F.col("place") == "cross") & in_cross))
+    if partly:
+        # Of equal rows that fit in part, the first so many; rows that differ elsewhere have an order of their own.
+        some = F.when(F.col("place") == "cross", F.get(F.filter("fills", lambda x: same(x) & ~x["whole"]), F.lit(0))["k"])
+        k, tie = spare_name(docs, "_k"), spare_name(docs, "_tie")
+        own = own.withColumn(k, some)
+        hashed = [F.col(c) for c, kind in docs.dtypes if "map<" not in kind and "variant" not in kind]
+        one = Window.partitionBy(key, order, "size").orderBy(F.xxhash64(*hashed))
+        own = own.where(F.col(k).isNull()).withColumn(tie, F.lit(0)).unionByName(own.where(F.col(k).isNotNull()).withColumn(tie, F.row_number().over(one)))
+        inside = F.coalesce(F.col(tie) <= F.col(k), inside)
     copies = (F.col("p_full") + F.when(inside, 1).otherwise(0)).cast("int")
     out = own.withColumn("copies", copies).withColumn("taken", F.col("copies") * F.col("size")).withColumn("shards", F.slice("b_shards", F.lit(1), F.col("copies")))
     return Mix(out.select(*docs.columns, "size", "source_size", "target", "copies", "taken", "shards"), shards)

@@ -287,6 +287,25 @@ def test_mix(spark, awkward):
     assert mx.plan_mix(df.limit(0)).rows.count() == 0
 
 
+@pytest.mark.parametrize("seed", [0, 1])
+def test_mix_leaves_nothing_out_that_fits(spark, seed):
+    rng = random.Random(10)
+    small = [(i, prose(rng, 20), "long") for i in range(300)]
+    # A document larger than what is due, one row that many share, and sizes far apart.
+    rows = [*small, (1000, prose(rng, 7000), "long"), *[(1001, prose(random.Random(11), 90), "same")] * 200, *[(2000 + i, prose(rng, 3 ** rng.randrange(7)), "mixed") for i in range(400)]]
+    got = mx.plan_mix(spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3), seed=seed).rows.collect()
+    assert len(got) == len(rows)
+    by = {}
+    for r in got:
+        by.setdefault(r["source"], []).append(r)
+    for rs in by.values():
+        gap = rs[0]["target"] - sum(r["taken"] for r in rs)
+        full = min(2, int(rs[0]["target"] // rs[0]["source_size"]))
+        left_out = [r["size"] for r in rs if r["copies"] == full and r["size"]]
+        assert gap >= 0 and {r["copies"] for r in rs} <= {full, full + 1} and all(len(r["shards"]) == r["copies"] for r in rs)
+        assert full == 2 or gap < min(left_out)
+
+
 def test_packing(spark, awkward):
     df = spark.createDataFrame(awkward, SCHEMA).withColumn("bin", F.lit("clash"))
     got = pack_documents(df, lengths=(64, 128, 512), group_pieces=50).collect()
