@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 #: Bound of the labelled sample: pieces for each language, and characters in a piece.
 SAMPLE_PIECES = 48
 PIECE_CHARS = 500
-#: Different letters that an automaton tells apart; rarer ones never match.
+#: Letters with a column of their own in the table; rarer ones of the references are looked up among sorted transitions.
 LETTERS = 126
 #: Characters parsed at once, and texts parsed side by side.
 BLOCK_CHARS = 6_000_000
@@ -22,10 +22,12 @@ LANES = 512
 UNDECIDED = "und"
 
 
-def suffix_automaton(text: np.ndarray, letters: int) -> np.ndarray:
-    """Transitions [state, letter] of the suffix automaton of a text of letter numbers; -1 where none. 0 is the root."""
-    most = 2 * len(text) + 2
-    go = np.full((most, letters), -1, dtype=np.int32)
+def suffix_automaton(text: np.ndarray, letters: int) -> tuple[np.ndarray, np.ndarray]:
+    """Transitions [state, letter] of the suffix automaton of a text of letter numbers; -1 where none. 0 is the root.
+
+    Those by numbers from ``letters`` on come apart, as rows (state, number, to).
+    """
+    rare: list[tuple[int, int, int]] = []
     link, length = [-1], [0]
     step: list[dict[int, int]] = [{}]
     last = 0
@@ -52,14 +54,21 @@ def suffix_automaton(text: np.ndarray, letters: int) -> np.ndarray:
                     p = link[p]
                 link[q] = link[cur] = copy
         last = cur
+    go = np.full((len(link), letters), -1, dtype=np.int32)
     for state, edges in enumerate(step):
         for c, to in edges.items():
-            go[state, c] = to
-    return go[: len(link)]
+            if c < letters:
+                go[state, c] = to
+            else:
+                rare.append((state, c, to))
+    return go, np.array(rare, dtype=np.int64).reshape(-1, 3)
 
 
 class Alphabet:
-    """Numbers of characters: 0 ends a text, 1 is any run of other characters than letters, the rest are lower-cased letters."""
+    """Numbers of characters: 0 ends a text, 1 is any run of other characters than letters, the rest are lower-cased letters.
+
+    All letters beyond the first LETTERS share a number with those not seen; rare numbers them, 0 for any other character.
+    """
 
     def __init__(self, letters: str):
         self.number = np.full(0x110000, 255, dtype=np.uint8)
@@ -70,9 +79,16 @@ class Alphabet:
                 self.number[ord(c.upper())] = i + 2
         self.size = len(letters[:LETTERS]) + 3
         self.number[self.number == 255] = self.size - 1  # letters not seen: these never match
+        self.rare = None
+        if len(letters) > LETTERS:
+            self.rare = np.zeros(0x110000, dtype=np.int32)
+            for i, c in enumerate(letters[LETTERS:]):
+                for x in {c, c.upper()}:
+                    if len(x) == 1 and self.number[ord(x)] == self.size - 1:
+                        self.rare[ord(x)] = i + 1
 
-    def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Numbers of all texts, each followed by 0, and where each ends; runs of other characters count once."""
+    def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
+        """Numbers of all texts, each followed by 0, where each ends, and the rare letters; runs of other characters count once."""
         sizes = np.array([len(t) + 1 for t in texts], dtype=np.int64)
         code = np.frombuffer("\0".join([*texts, ""]).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
         n = self.number[code]
@@ -80,7 +96,7 @@ class Alphabet:
         n[ends] = 0
         keep = np.ones(len(n), dtype=bool)
         keep[1:] = (n[1:] != 1) | (n[:-1] != 1)
-        return n[keep], np.cumsum(keep)[ends]
+        return n[keep], np.cumsum(keep)[ends], None if self.rare is None else self.rare[code[keep]]
 
 
 def _not_letters() -> np.ndarray:
@@ -93,7 +109,8 @@ class Parser:
     A phrase is the longest match, from where the last one ended, of the text in the reference; the
     automaton follows it letter by letter.  A letter that no match can take ends the phrase and begins the
     next.  All languages' automata lie in one table, so that a step is one look-up for each
-    text and language; texts are parsed side by side.
+    text and language; texts are parsed side by side.  Letters beyond the table's columns are looked
+    up in the sorted list of their transitions, with the same result.
     """
 
     def __init__(self, references: dict[str, list[str]]):
@@ -106,9 +123,14 @@ class Parser:
         self.alphabet = Alphabet("".join(sorted(seen, key=lambda c: (-seen[c], c))))
         self.languages = sorted(references)
         width, tables, self.roots, base = self.alphabet.size, [], [], 0
+        self.many_rare = max(0, len(seen) - LETTERS) + 1
+        keys, to = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for lang in self.languages:
-            text, _ = self.alphabet(references[lang])
-            go = suffix_automaton(text, width)
+            text, _, more = self.alphabet(references[lang])
+            text = text if more is None else np.where(more > 0, width - 1 + more, text)
+            go, rare = suffix_automaton(text, width)
+            keys.append((rare[:, 0] + base) * self.many_rare + rare[:, 1] - (width - 1))
+            to.append(rare[:, 2] + base)
             go[:, [0, width - 1]] = -1  # no match runs over a text's end or an unknown letter
             root = go[0]
             # Phrases that end at each step: one that was under way, and a letter that matches nowhere.
@@ -122,6 +144,22 @@ class Parser:
             tables.append(table)
         self.table = np.concatenate(tables).astype(np.int32).ravel() if tables else np.zeros(0, np.int32)
         self.width = width
+        keys, to = np.concatenate(keys), np.concatenate(to)
+        order = np.argsort(keys)
+        self.rare_keys, self.rare_to = keys[order], to[order]
+
+    def _rare(self, state: np.ndarray, letter: np.ndarray) -> np.ndarray:
+        """What the table would hold for the states [language, lane] and the rare letters [lane]."""
+
+        def find(at: np.ndarray) -> np.ndarray:
+            key = at * self.many_rare + letter
+            i = np.minimum(np.searchsorted(self.rare_keys, key), len(self.rare_keys) - 1)
+            return np.where(self.rare_keys[i] == key, self.rare_to[i], -1)
+
+        root = np.array(self.roots, dtype=np.int64)[:, None]
+        on, anew = find(state), find(np.broadcast_to(root, state.shape))
+        miss = np.where(anew >= 0, anew, root) * 4 + (state != root) + (anew < 0)
+        return np.where(on >= 0, on * 4, miss)
 
     def phrases(self, texts: list[str]) -> np.ndarray:
         """Phrases [text, language], and the normalised length of each text."""
@@ -138,7 +176,7 @@ class Parser:
         return out, size
 
     def _block(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        n, ends = self.alphabet(texts)
+        n, ends, rare = self.alphabet(texts)
         sizes = np.diff(ends, prepend=0)
         deep = max(int(sizes.max()), -(-len(n) // LANES))
         # Texts fill lanes one after another, the longest first.
@@ -153,6 +191,14 @@ class Parser:
         to = np.repeat(lane * deep + place - (ends - sizes), sizes) + np.arange(len(n))
         grid.ravel()[to] = n
         grid = np.ascontiguousarray(grid.T)
+        if rare is not None and rare.any():
+            # The rare letters by step: (lane, letter) of step s lie from begins[s] to begins[s + 1].
+            which = np.flatnonzero(rare)
+            which = which[np.argsort(to[which] % deep, kind="stable")]
+            rare_lane, rare_letter = to[which] // deep, rare[which].astype(np.int64)
+            begins = np.searchsorted(to[which] % deep, np.arange(deep + 1))
+        else:
+            rare = None
         many = len(self.languages)
         state = np.repeat(np.array(self.roots, dtype=np.int64)[:, None], lanes, axis=1)
         slab = max(1, 4_000_000 // max(1, many * lanes))
@@ -165,6 +211,9 @@ class Parser:
             cut = np.empty((hi - lo, many, lanes), dtype=np.uint8)
             for s in range(lo, hi):
                 v = self.table[state * self.width + grid[s]]
+                if rare is not None and begins[s] < begins[s + 1]:
+                    own = slice(begins[s], begins[s + 1])
+                    v[:, rare_lane[own]] = self._rare(state[:, rare_lane[own]], rare_letter[own])
                 state = (v >> 2).astype(np.int64)
                 cut[s - lo] = v & 3
             sums = np.cumsum(cut, axis=0, dtype=np.int32)
@@ -214,16 +263,17 @@ def identify_language(docs: DataFrame, *, lang_col: str = "lang", text_col: str
     train = F.lit(True) if train is None else train
     key = F.col(text_col) if key is None else key
     parser = Parser(learned(docs, F.col(lang_col), train, text_col, key))
-    shared = docs.sparkSession.sparkContext.broadcast((parser.languages, parser.table, parser.roots, parser.width, parser.alphabet.number))
+    shared = docs.sparkSession.sparkContext.broadcast((parser.languages, parser.table, parser.roots, parser.width, parser.alphabet.number, parser.alphabet.rare, parser.many_rare, parser.rare_keys, parser.rare_to))
     names, at = docs.columns, docs.columns.index(text_col)
     schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        languages, table, roots, width, number = shared.value
+        languages, table, roots, width, number, rare, *more = shared.value
         own = Parser.__new__(Parser)
         own.languages, own.table, own.roots, own.width = languages, table, roots, width
         own.alphabet = Alphabet.__new__(Alphabet)
-        own.alphabet.number, own.alphabet.size = number, width
+        own.alphabet.number, own.alphabet.size, own.alphabet.rare = number, width, rare
+        own.many_rare, own.rare_keys, own.rare_to = more
         for batch in batches:
             n = batch.num_rows
             texts = [t or "" for t in batch.column(at).to_pylist()]

@@ -207,6 +207,21 @@ def test_cross_parsing_equals_brute_force(monkeypatch):
         assert got.tolist() == [[phrases(t, refs["x"]), phrases(t, refs["y"])] for t in texts]
 
 
+def test_letters_beyond_the_table_match_too(spark):
+    rng = random.Random(12)
+    signs = [chr(0x4E00 + i) for i in range(400)] + list("abcdeàéÉB ")
+    made = lambda of, n: "".join(rng.choice(of) for _ in range(n))
+    refs = {"x": [made(signs[:300], 200) for _ in range(4)], "y": [made(signs[150:], 200) for _ in range(4)]}
+    texts = ["", *[made(signs, rng.randrange(60)) for _ in range(60)], *[r[i : i + 40] for rs in refs.values() for r in rs for i in (0, 50)]]
+    got, _ = Parser(refs).phrases(texts)
+    assert got.tolist() == [[phrases(t, refs["x"]), phrases(t, refs["y"])] for t in texts]
+    # Two languages that only letters rarer than the first ones tell apart.
+    common, one, two = signs[:130], signs[130:190], signs[190:250]
+    rows = [(i, made(common, 400) + made((one, two)[i % 2], 90), "ab"[i % 2]) for i in range(20)] + [(20 + i, made((one, two)[i % 2], 90), None) for i in range(8)]
+    out = identify_language(spark.createDataFrame(rows, "doc_id long, text string, lang string"), key=F.col("doc_id"))
+    assert all(r["lang_pred"] == "ab"[r["doc_id"] % 2] for r in out.where("lang is null").collect())
+
+
 def test_language_awkward_and_accuracy(spark, awkward):
     df = spark.createDataFrame(awkward, SCHEMA).withColumn("Score", F.lit("clash"))
     out = identify_language(df, key=F.col("doc_id"))
