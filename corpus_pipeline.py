@@ -9,7 +9,7 @@ from quillspan.llm.language import UNDECIDED, identify_language
 from quillspan.llm.minhash import near_duplicates
 from quillspan.llm.mixing import mix_sources
 from quillspan.llm.packing import pack_documents
-from quillspan.llm.session import materialize
+from quillspan.llm.session import WORD, materialize
 from quillspan.llm.suffix_trees import dedup_substrings
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -22,8 +22,20 @@ def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, the one of least id, of each group of near copies."""
-    return near_duplicates(docs).where("kept").select(*COLUMNS)
+    """One document, the one of least id, of each group of near copies.
+
+    A document with words but no id stands under a key made of its text, above usual ids, and once
+    however many copies it has.  Rows that share id and text are one document, and stay.
+    """
+    bare = docs.where(F.col("doc_id").isNull() & F.col("text").rlike(WORD))
+    if not bare.take(1):
+        return near_duplicates(docs).where("kept").select(*COLUMNS)
+    bare = bare.groupBy("text").agg(F.min(F.struct("lang", "source", "n_chars")).alias("rest")).select(F.lit(None).cast("long").alias("doc_id"), "text", "rest.*")
+    high = F.lit(1 << 62)
+    key = F.xxhash64("text").bitwiseAND(high - 1).bitwiseOR(high)
+    rest = docs.where(F.col("doc_id").isNotNull() | ~F.coalesce(F.col("text").rlike(WORD), F.lit(False)))
+    both = rest.select(*COLUMNS, F.col("doc_id").alias("node")).unionByName(bare.select(*COLUMNS, key.alias("node")))
+    return near_duplicates(materialize(both), id_col="node").where("kept").select(*COLUMNS)
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

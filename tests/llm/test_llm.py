@@ -448,6 +448,19 @@ def test_pipeline(spark, awkward, tmp_path):
             assert got == g
 
 
+def test_pipeline_leaves_one_of_copies_without_id(spark):
+    import corpus_pipeline as cp
+
+    rng = random.Random(13)
+    a, b, c = (prose(rng, 100) for _ in range(3))
+    near = f"{b} {prose(rng, 3)}"
+    rows = [(5, a), (9, a), *[(None, a)] * 2, *[(None, b)] * 3, (None, near), (None, c), (None, None), (7, "x y")]
+    df = spark.createDataFrame([(i, t, "en", "s", k) for k, (i, t) in enumerate(rows)], SCHEMA).repartition(3)
+    got = Counter((r["doc_id"], r["text"]) for r in cp.drop_near_duplicates(spark, df, "").collect())
+    assert got[5, a] == got[None, c] == got[7, "x y"] == got[None, None] == 1
+    assert got[None, b] + got[None, near] == 1 and sum(got.values()) == 5
+
+
 def test_pipeline_of_nothing(spark, tmp_path):
     import corpus_pipeline as cp
 
