@@ -1,4 +1,4 @@
-"""Substring dedup with prefix-partitioned suffix trees."""
+"""Substring dedup by prefix-partitioned, sorted windows: the nodes of suffix trees at one depth."""
 
 from __future__ import annotations
 
@@ -13,11 +13,11 @@ GRAM = 8
 
 
 def tree_spans(rows: list[tuple], window: int) -> Iterator[tuple]:
-    """Spans to remove, from the suffix tree of one group of stretches.
+    """Spans to remove, from the sorted windows of one group of stretches.
 
-    The leaves are the suffixes that begin the stretches' runs, laid out in sorted order.  Two
-    neighbouring leaves meet in an internal node whose depth is the length of their common prefix;
-    leaves under one node of depth ``window`` or more are a repeat.  All but its earliest leaf go.
+    The leaves are the suffixes that begin the stretches' runs, cut to ``window`` words and sorted.
+    Equal neighbours are the leaves under one node of a suffix tree at depth ``window``, and so a
+    repeat; deeper nodes are not built.  All but its earliest leaf go.
     """
     same: dict[tuple, list] = {}
     for _, doc, tie, start, runs, _, words in rows:
@@ -63,9 +63,9 @@ def dedup_substrings(docs: DataFrame, *, window: int = WINDOW, gram: int = GRAM,
     input.  Returns docs with n_words, n_removed, kept_text (the words left, joined by one space)
     and removed (the spans taken out, in words).
 
-    Suffixes that begin a possible repeat (see anchors.py) are split by prefixes of two lengths into
-    groups that fit in memory; each group's suffix tree is built on its own, and its internal nodes
-    at depth ``window`` or more give the maximal repeats.
+    Suffixes that begin a possible repeat (see anchors.py) are dealt by prefixes of two lengths; each
+    group's windows are sorted on their own, and equal neighbours are repeats.  A prefix is not split
+    further by the size of its group.
 
     A null text has no words (0, 0, '').  Rows with a null id come after all others.  Rows that share
     id and text count as one document and get equal results; rows that share an id only are ordered
