@@ -204,7 +204,8 @@ def classify_quality(
     Two views of a document are learnt apart and teach each other (see cotrain): its words, and its page
     metadata, which are its source, language, size, and the shares of symbols, capitals, digits,
     repeated words and repeated lines.  Models are fitted on bounded hashed samples, LABELLED_ROWS
-    labelled and POOL_ROWS unlabelled documents; every document is then scored over its whole text.
+    labelled and POOL_ROWS unlabelled documents, and pseudo-labels go to the latter only; every document
+    is then scored over its whole text.
 
     A null or empty text has no words and is scored by its metadata and the rest of the model; null
     names have a bin of their own.  Labels other than 0 and 1, or null, are not used; a repeated label
