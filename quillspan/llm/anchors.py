@@ -5,14 +5,16 @@ run's anchor.  Equal runs have equal anchors, so a run whose anchor occurs once
 unique.  The steps, all keyed by hashes and so evenly dealt:
 
 1. hashes of all anchors are grouped; those that occur twice or more mark candidate stretches;
-2. each candidate stretch is sent, with its words, to the group that its prefix names;
+2. each candidate stretch is sent, with its words, to the group that its anchor names;
 3. a caller's function turns each group into spans (start, length) to be marked in a document;
-4. the spans go back to their documents.
-
-Prefixes have two lengths.  Usually the prefix is the anchor gram.  An anchor that a fixed share of
-all documents holds would gather too many stretches, so its runs are prefixed by all their words;
-equal runs of one batch are then represented by the earliest.  Which anchors are so common is
-estimated on a sample; both ways are exact, so the estimate moves work and never results.
+4. a group of more than GROUP_ROWS stretches is not held: its suffixes, one for each run, are dealt
+   again by a longer prefix (see spans_of), in rounds, until groups fit;
+5. the spans go back to their documents.
+
+An anchor that a fixed share of all documents holds would gather very many stretches in step 1 already,
+so its runs are dealt by their first ``window`` words from the start; equal runs of one batch are
+then represented by the earliest.  Which anchors are so common is estimated on a sample; both ways
+are exact, and step 4 holds for both, so the estimate moves work and never results.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .session import spare_name
+from .session import materialize, spare_name
 from .words import Block, argmin_windows, blocks, gram_hashes
 
 #: Documents in the sample that finds common anchors, and the share of them that makes one common.
@@ -33,8 +35,13 @@ SAMPLE_DOCS = 4096
 COMMON_SHARE = 1 / 256
 #: Common anchors kept at most (8 bytes each); the rest take the ordinary way.
 MOST_COMMON = 50_000
-#: Stretches that a group function gets at once, but for the rows of a single key.
-CHUNK_ROWS = 20_000
+#: Stretches that a group function gets at once, about; and those of a single key, at most.
+CHUNK_ROWS = 10_000
+GROUP_ROWS = 10_000
+#: Different runs of common anchors, and their places, that are held before they are handed on.
+HELD_RUNS, HELD_PLACES = 20_000, 200_000
+#: Shares of the places of one run in which its earliest is found, before all are compared.
+SALTS = 256
 
 STRETCH = "key long, doc long, tie long, start int, runs int, at int, words binary"
 _STRETCH = ["key", "doc", "tie", "start", "runs", "at", "words"]
@@ -168,6 +175,7 @@ def repeat_stretches(texts: Texts, window: int, gram: int) -> DataFrame:
             doc, tie = batch.column(n).to_pylist(), batch.column(n + 1).to_pylist()
             numbers = batch.column(n + 3)
             full: dict[bytes, list] = {}
+            places = 0
             for block in blocks(batch.column(text_at)):
                 found = Runs(block, window, gram)
                 part = numbers.slice(block.row0, len(block))
@@ -200,8 +208,12 @@ def repeat_stretches(texts: Texts, window: int, gram: int) -> DataFrame:
                     base, who = int(block.first[row]), (doc[row + block.row0], tie[row + block.row0])
                     for j in range(i, i + int(found.runs[a])):
                         full.setdefault(block.span(j, j + window), []).append((*who, j - base))
+                    places += int(found.runs[a])
+                    if len(full) > HELD_RUNS or places > HELD_PLACES:
+                        yield from _represented(full)
+                        places = 0
             if full:
-                yield from _represented(full, window)
+                yield from _represented(full)
 
     return joined.mapInArrow(stretches, STRETCH)
 
@@ -211,8 +223,15 @@ def earliest(place: tuple) -> tuple:
     return (place[0] is None, place[0] or 0, *place[1:])
 
 
-def _represented(full: dict[bytes, list], window: int) -> Iterator[pa.RecordBatch]:
-    """One row with words for each distinct run, one without for each of its later places."""
+def _stretch_batches(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+    types = [*[pa.int64()] * 3, *[pa.int32()] * 3, pa.binary()]
+    for i in range(0, len(rows), CHUNK_ROWS):
+        cols = list(zip(*rows[i : i + CHUNK_ROWS], strict=True))
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], _STRETCH)
+
+
+def _represented(full: dict[bytes, list]) -> Iterator[pa.RecordBatch]:
+    """One row with words for each distinct run, one without for each of its later places; full is emptied."""
     keys = _hash_texts(list(full))
     out: list[tuple] = []
     for key, (words, places) in zip(keys, full.items(), strict=True):
@@ -220,10 +239,7 @@ def _represented(full: dict[bytes, list], window: int) -> Iterator[pa.RecordBatc
         out.append((key, *lead, 1, 0, words))
         out += ((key ^ ((i + 1) * 0x51ED27), *p, 1, 0, None) for i, p in enumerate(places) if p != lead)
     full.clear()
-    for i in range(0, len(out), CHUNK_ROWS):
-        cols = list(zip(*out[i : i + CHUNK_ROWS], strict=True))
-        types = [*[pa.int64()] * 3, *[pa.int32()] * 3, pa.binary()]
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], _STRETCH)
+    yield from _stretch_batches(out)
 
 
 def _hash_texts(texts: list[bytes]) -> list[int]:
@@ -232,32 +248,165 @@ def _hash_texts(texts: list[bytes]) -> list[int]:
     return [int.from_bytes(blake2b(t, digest_size=8).digest(), "little", signed=True) for t in texts]
 
 
-def spans_of(stretches: DataFrame, window: int, of_group: Callable[[list[tuple], int], Iterator[tuple]]) -> DataFrame:
-    """SPANS rows from of_group(rows of whole keys, window) over all stretches, and for those without words."""
+def _span_batch(spans: list[tuple]) -> pa.RecordBatch:
+    cols = list(zip(*spans, strict=True)) or [()] * 4
+    n = len(spans)
+    types = [pa.int64(), pa.int64(), pa.int32(), pa.int32()]
+    arrays = [pa.array(c, t) for c, t in zip(cols, types, strict=True)]
+    return pa.RecordBatch.from_arrays([*arrays, pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], _ROUND)
+
+
+def _left_over(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """Stretches as rows of a round's result: those with words are to be dealt again."""
+    key, doc, tie, start, runs, at, words = batch.columns
+    return pa.RecordBatch.from_arrays([doc, tie, start, pa.nulls(batch.num_rows, pa.int32()), key, runs, at, words], _ROUND)
+
+
+_ROUND = ["doc", "tie", "start", "length", "key", "runs", "at", "words"]
+ROUND = "doc long, tie long, start int, length int, key long, runs int, at int, words binary"
+
+
+def suffix_rows(rows: list[tuple], prefix: int) -> list[tuple]:
+    """The suffixes that begin the rows' runs, each a row of its own, dealt by its first ``prefix`` words."""
+    out, begins = [], []
+    for _, doc, tie, start, runs, _, text in rows:
+        words = text.split()
+        for k in range(runs):
+            begins.append(b" ".join(words[k : k + prefix]))
+            out.append((doc, tie, start + k, 1, 0, b" ".join(words[k:])))
+    return [(key, *row) for key, row in zip(_hash_texts(begins), out, strict=True)]
+
+
+def grouped(stretches: DataFrame, window: int, of_group: Callable[[list[tuple], int], Iterator[tuple]], longer: int, most: int) -> DataFrame:
+    """One round: ROUND rows, which are spans from of_group(rows of whole keys, window), and what is left over.
+
+    A key of more than ``most`` stretches is left over, as suffixes dealt by ``longer`` words. No more
+    than that many of its rows are held.
+    """
+    chunk = min(CHUNK_ROWS, most)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
+        crowded = None  # the key, if there is one, whose rows are being passed on
 
         def give(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
-            known = [(d, t, s, window) for _, d, t, s, _, _, w in rows if w is None]
-            found = known + list(of_group([r for r in rows if r[6] is not None], window))
-            if found:
-                cols = list(zip(*found, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int32()), pa.array(cols[3], pa.int32())], ["doc", "tie", "start", "length"])
+            if rows and (found := list(of_group(rows, window))):
+                yield _span_batch(found)
+
+        def pass_on(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+            for i in range(0, len(rows), 1000):
+                for made in _stretch_batches(suffix_rows(rows[i : i + 1000], longer)):
+                    yield _left_over(made)
 
         for batch in batches:
-            held += zip(*(c.to_pylist() for c in batch.columns), strict=True)
-            if len(held) >= CHUNK_ROWS:
+            rows = list(zip(*(c.to_pylist() for c in batch.columns), strict=True))
+            known = [(d, t, s, window) for _, d, t, s, _, _, w in rows if w is None]
+            if known:
+                yield _span_batch(known)
+            held += [r for r in rows if r[6] is not None]
+            if crowded is not None:
+                cut = next((i for i, r in enumerate(held) if r[0] != crowded), len(held))
+                yield from pass_on(held[:cut])
+                held = held[cut:]
+                crowded = crowded if not held else None
+            if len(held) >= chunk:
                 cut, last = len(held), held[-1][0]
                 while cut and held[cut - 1][0] == last:
                     cut -= 1
-                if cut:
-                    yield from give(held[:cut])
-                    held = held[cut:]
-        if held:
-            yield from give(held)
+                for part, too_large in _whole_keys(held[:cut], most):
+                    yield from (pass_on if too_large else give)(part)
+                held = held[cut:]
+                if len(held) > most:
+                    yield from pass_on(held)
+                    held, crowded = [], last
+        for part, too_large in _whole_keys(held, most):
+            yield from (pass_on if too_large else give)(part)
+
+    return stretches.repartition(F.col("key")).sortWithinPartitions("key").mapInArrow(run, ROUND)
+
+
+def _whole_keys(rows: list[tuple], most: int) -> Iterator[tuple[list[tuple], bool]]:
+    """Parts of rows sorted by key, each of whole keys: some that together are about a chunk, or one of more than ``most`` rows (True)."""
+    begin = at = 0
+    while at < len(rows):
+        end = at
+        while end < len(rows) and rows[end][0] == rows[at][0]:
+            end += 1
+        if end - at > most:
+            if at > begin:
+                yield rows[begin:at], False
+            yield rows[at:end], True
+            begin = end
+        elif end - begin > CHUNK_ROWS and at > begin:
+            yield rows[begin:at], False
+            begin = at
+        at = end
+    if begin < len(rows):
+        yield rows[begin:], False
+
+
+def earliest_of_shares(suffixes: DataFrame, window: int) -> DataFrame:
+    """ROUND rows: of each run's places in each of SALTS shares all but the earliest as spans, and that one left over.
+
+    What is left of a run is at most SALTS rows.  Rows come sorted, and one is held.
+    """
+    salt = F.pmod(F.xxhash64("doc", "tie", "start"), F.lit(SALTS))
+    dealt = suffixes.withColumn("salt", salt).repartition("key", "salt").sortWithinPartitions("key", "salt", "words")
 
-    return stretches.repartition(F.col("key")).sortWithinPartitions("key").mapInArrow(run, SPANS)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, best, out = None, None, []
+        for batch in batches:
+            spans = []
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                key, doc, tie, start, _, _, text, salted = row
+                words = b" ".join(text.split()[:window])
+                place = (doc, tie, start)
+                if (salted, words) != group:
+                    if group is not None:
+                        out.append((best[1], *best[0], 1, 0, group[1]))
+                    group, best = (salted, words), (place, key)
+                elif earliest(place) < earliest(best[0]):
+                    spans.append((*best[0], window))
+                    best = (place, key)
+                elif place != best[0]:
+                    spans.append((*place, window))
+            if spans:
+                yield _span_batch(spans)
+            for made in _stretch_batches(out):
+                yield _left_over(made)
+            out = []
+        if group is not None:
+            for made in _stretch_batches([(best[1], *best[0], 1, 0, group[1])]):
+                yield _left_over(made)
+
+    return dealt.mapInArrow(run, ROUND)
+
+
+def spans_of(stretches: DataFrame, window: int, gram: int, of_group: Callable[[list[tuple], int], Iterator[tuple]]) -> DataFrame:
+    """SPANS rows from of_group(rows of whole keys, window) over all stretches, and for those without words.
+
+    Keys that are too large for one group are dealt again by the suffixes' first words: (gram + window) / 2
+    of them, then ``window``.  What shares ``window`` words is one run at many places, of which only the earliest
+    matters: it is found in SALTS shares first, so that no task gets all places of a run.  Later rounds
+    see only what was left over, and are not made where nothing was.
+    """
+    done = []
+    rows = stretches
+    for longer in ((gram + window) // 2, window, window):
+        made = materialize(grouped(rows, window, of_group, longer, GROUP_ROWS))
+        done.append(made.where("words IS NULL"))
+        left = made.where("words IS NOT NULL").select(*_STRETCH)
+        if not left.take(1):
+            break
+        rows = left
+    else:
+        made = materialize(earliest_of_shares(rows, window))
+        done.append(made.where("words IS NULL"))
+        done.append(grouped(made.where("words IS NOT NULL").select(*_STRETCH), window, of_group, window, 1 << 62))
+    out = done[0]
+    for more in done[1:]:
+        out = out.unionByName(more)
+    return out.select("doc", "tie", "start", "length")
 
 
 def apply_spans(texts: Texts, spans: DataFrame) -> DataFrame:

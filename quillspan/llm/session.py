@@ -13,11 +13,16 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; a temporary one only where the session names none."""
+    """The folder that all executors share, as the session names it; a temporary one where driver and executors are one process.
+
+    On a cluster a session without spark.checkpoint.dir is refused: a folder of this machine is not seen by others.
+    """
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not path:
         path = spark.sparkContext.getCheckpointDir()
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="quillspan-")
         spark.sparkContext.setCheckpointDir(path)
     return path.rstrip("/")

@@ -3,67 +3,51 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import groupby
 
+import numpy as np
 from pyspark.sql import DataFrame
 
-from .anchors import Texts, apply_spans, earliest, repeat_stretches, spans_of
-from .suffix_trees import tree_spans
+from .anchors import Texts, apply_spans, repeat_stretches, spans_of
+from .suffixes import Stretches, adjacent_common, merged, sorted_rows
 
 WINDOW = 50
 GRAM = 10
-#: Different stretches of one minimiser whose matches are extended pair by pair.
-ARRAY_ROWS = 32
-
-
-def common_length(a: list, b: list) -> int:
-    n = 0
-    for x, y in zip(a, b, strict=False):
-        if x != y:
-            break
-        n += 1
-    return n
 
 
 def array_spans(rows: list[tuple], window: int) -> Iterator[tuple]:
     """Spans to remove, from the sparse suffix arrays of some minimisers.
 
-    For each minimiser the suffixes that begin at it are sorted.  Matches of neighbours, and on from
-    neighbour to neighbour while the common prefix may still do, are extended to the left; those
-    of ``window`` words or more mark the later place.  A minimiser with more than ARRAY_ROWS
-    different surroundings has each of its runs sorted on its own instead, which is as exact and
-    takes time in proportion.
+    The suffixes that begin at the minimisers are sorted, and neighbours compared.  A match that reaches
+    l words to the left of the minimiser must reach ``window`` - l to the right: for each l, suffixes
+    of one run of neighbours with so long common prefixes whose l words to the left are equal too match, and
+    all but the earliest go.  The words to the left are compared one further for each l, and so the whole
+    takes time in proportion to the runs of words, however many surroundings a minimiser has.
     """
-    for _, group in groupby(rows, key=lambda r: r[0]):
-        same: dict[tuple, list] = {}
-        listed = list(group)
-        for row in listed:
-            _, doc, tie, start, runs, at, words = row
-            same.setdefault((b" ".join(words.split()), runs, at), []).append((doc, tie, start))
-        if len(same) > ARRAY_ROWS:
-            yield from tree_spans(listed, window)
-            continue
-        array = []
-        for (text, runs, at), places in same.items():
-            first = min(places, key=earliest) if len(places) > 1 else places[0]
-            for p in places:
-                if p != first:
-                    yield (*p, runs + window - 1)
-            words = text.split(b" ")
-            array.append((words[at:], words[:at][::-1], first))
-        array.sort(key=lambda x: (x[0], x[1]))
-        right = [common_length(a[0], b[0]) for a, b in zip(array, array[1:], strict=False)]
-        for i, (_, left, place) in enumerate(array):
-            r = 10**9
-            for j in range(i + 1, len(array)):
-                r = min(r, right[j - 1])
-                if r + len(left) < window:
-                    break
-                other, there = array[j][1], array[j][2]
-                size = common_length(left, other)
-                if size + r >= window:
-                    later, own = (there, other) if earliest(place) < earliest(there) else (place, left)
-                    yield (*later[:2], later[2] + len(own) - size, size + r)
+    s = Stretches(rows, window)
+    yield from s.later_copies()
+    every = np.arange(len(s.sizes))
+    right = s.matrix(every, s.at)
+    order = sorted_rows(right)
+    right, owner = right[order], every[order]
+    at, room = s.at[owner], (s.sizes - s.at)[owner]
+    common = np.minimum(adjacent_common(right), np.minimum(room[1:], room[:-1]))
+    left = s.matrix(owner, at, backwards=True)
+    words, alike = int(s.words.max(initial=0)) + 1, np.zeros(len(owner), dtype=np.int64)
+    found: list[tuple[np.ndarray, np.ndarray]] = []
+    for reach in range(left.shape[1] + 1):
+        if reach:
+            alike = np.unique(alike * words + left[:, reach - 1], return_inverse=True)[1]
+        begin = at - reach
+        own = np.flatnonzero((begin >= 0) & (begin < s.runs[owner]))
+        segment = np.cumsum(np.append(0, common < window - reach))[own] if len(own) else own
+        # Sorted by segment and left side, and then by place, the first of each class stays.
+        first_word = s.place_order(owner[own], begin[own])
+        by = np.lexsort((first_word, alike[own], segment))
+        later = (segment[by][1:] == segment[by][:-1]) & (alike[own][by][1:] == alike[own][by][:-1])
+        gone = own[by[1:][later]]
+        found.append((owner[gone], begin[gone]))
+    owner_gone, begin_gone = (np.concatenate([f[k] for f in found]) for k in (0, 1))
+    yield from merged(s, owner_gone, begin_gone, np.full(len(owner_gone), window, dtype=np.int64))
 
 
 def dedup_suffix_array(docs: DataFrame, *, window: int = WINDOW, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -72,12 +56,14 @@ def dedup_suffix_array(docs: DataFrame, *, window: int = WINDOW, gram: int = GRA
     Suffixes are retained at minimisers only (the least-hashed of the grams in each run of
     ``window`` words), so any repeat of that length keeps a suffix at the same place of its content in
     every copy.  Retained suffixes are dealt by their minimiser, sorted, compared with their
-    neighbours, and matches are extended to the left and right.
+    neighbours, and matches are extended to the left and right.  Runs of a minimiser that is common in a
+    sample, or has more surroundings than a group may hold, are dealt by their first words, and their
+    suffix begins there (see anchors.py).
 
     Order, nulls, equal rows, extra columns and the columns added (n_words, n_removed, kept_text,
     removed) are as in suffix_trees.dedup_substrings.
     """
     docs = docs.drop(*[c for c in docs.columns if c.lower() in ("n_words", "n_removed", "kept_text", "removed") and c not in (id_col, text_col)])
     texts = Texts(docs, id_col, text_col)
-    spans = spans_of(repeat_stretches(texts, window, gram), window, array_spans)
+    spans = spans_of(repeat_stretches(texts, window, gram), window, gram, array_spans)
     return apply_spans(texts, spans)
