@@ -45,7 +45,7 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = quality_report(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    out = quality_report(_table(spark, sf_dir, "documents").select("doc_id", "text"), key=F.col("doc_id"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
@@ -114,18 +114,22 @@ ORACLE: dict[str, str] = {
     "op5_quality_rules": rf"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text, {_WORDS} AS ws FROM documents),
 l AS (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM d),
+e AS (SELECT doc_id, len(list_filter(ls, lambda x: regexp_matches(x, '(\.\.\.|…)[\x20\x09-\x0D]*\z'))) AS n_trailing,
+  len(list_filter(ls, lambda x: regexp_matches(x, '^[\x20\x09-\x0D]*[-*•]'))) AS n_bullets FROM l),
 w AS (SELECT doc_id, ws, unnest(range(1, len(ws) - 6)) AS i FROM d WHERE len(ws) >= 8),
 k AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, ws[i:i + 7]) AS n FROM w),
 rep AS (SELECT doc_id, count(DISTINCT i + j) AS n FROM k, (SELECT unnest(range(0, 8)) AS j) WHERE k.n > 1 GROUP BY doc_id),
 b AS (
   SELECT d.doc_id, len(ws)::BIGINT AS n_words, length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g'))::BIGINT AS word_chars,
     (length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
-    (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, coalesce(rep.n, 0)::BIGINT AS n_repeat_words, len(ls) AS n_lines
-  FROM d JOIN l USING (doc_id) LEFT JOIN rep USING (doc_id)),
+    (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, coalesce(rep.n, 0)::BIGINT AS n_repeat_words, len(ls) AS n_lines, n_trailing, n_bullets,
+    len(list_filter(ws, lambda x: regexp_full_match(x, '[\x00-\x40\x5B-\x60\x7B-\x7F]+'))) AS n_letterless
+  FROM d JOIN l USING (doc_id) JOIN e USING (doc_id) LEFT JOIN rep USING (doc_id)),
 f AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM b)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
   NOT base_failed AND n_words <= 100000 AND word_chars >= 2 * n_words AND word_chars <= 20 * n_words
-  AND 10 * n_symbols <= n_words AND 10 * n_dup_lines <= 3 * n_lines AS kept
+  AND 10 * n_symbols <= n_words AND 10 * n_dup_lines <= 3 * n_lines
+  AND 10 * n_trailing <= 3 * n_lines AND 10 * n_bullets <= 9 * n_lines AND 10 * n_letterless <= 3 * n_words AS kept
 FROM f""",
     "op8_minhash_near_dedup": rf"""
 WITH RECURSIVE d AS (SELECT doc_id, list_transform({_WORDS}, lambda x: translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS ws FROM documents),
