@@ -194,7 +194,7 @@ def plan_mix(docs: DataFrame, *, source_col: str = "source", id_col: str = "doc_
     tree, as disjoint runs of each source's permuted blocks; what later blocks add goes with the crossing block.
 
     size is the number of words by default, 0 for null; negative or null sizes count as 0.  A null
-    source is a source of its own, last in order.  Rows of size 0 are drawn once for each whole pass.
+    source is a source of its own, last in order.  Rows of size 0 come with the block that holds them, and take nothing.
     Equal rows are separate draws, tied in order, so that which of them is taken does not show; as many are
     taken as fit.
     Columns of docs pass through; those named like an added column are replaced.  An empty table

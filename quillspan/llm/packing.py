@@ -6,10 +6,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .session import materialize, word_count
+from .session import WORD, materialize, word_count
 
 #: Permitted sequence lengths, and the cost of a sequence beside its tokens (in tokens).
 LENGTHS = (512, 1024, 2048, 4096)
@@ -107,6 +107,12 @@ def pack_documents(
     id are told apart by copy, from 0.  A null id keeps its pieces, under a null id.  Extra columns
     are ignored.  An empty table gives no rows.
     """
+    placed = _placed(docs, size=size, id_col=id_col, text_col=text_col, lengths=lengths, overhead=overhead, quadratic=quadratic, group_pieces=group_pieces)
+    return placed.drop("n")
+
+
+def _placed(docs: DataFrame, *, size: Column | None = None, id_col: str, text_col: str, lengths: tuple[int, ...] = LENGTHS, overhead: float = OVERHEAD, quadratic: float = 0.0, group_pieces: int = GROUP_PIECES) -> DataFrame:
+    """The rows of pack_documents with n, the size of the piece's document; copies are numbered within doc_id and n."""
     lengths = tuple(sorted(set(lengths)))
     top, cost = lengths[-1], {c: bin_cost(c, overhead, quadratic) for c in lengths}
     size = word_count(F.col(text_col)) if size is None else size
@@ -129,9 +135,36 @@ def pack_documents(
         where, offset, fitted, _ = pack(sizes, lengths, cost)
         used = np.bincount(where, weights=sizes, minlength=len(fitted)).astype(np.int64) if sizes else np.zeros(0, np.int64)
         at = np.array(where, dtype=np.int64)
-        cols = [order.column(c) for c in ("doc_id", "copy", "piece", "first", "n_tokens", "group")]
+        cols = [order.column(c) for c in ("doc_id", "n", "copy", "piece", "first", "n_tokens", "group")]
         cols += [pa.array(at), pa.array(offset, pa.int32()), pa.array(np.array(fitted, dtype=np.int32)[at]), pa.array(used[at].astype(np.int32))]
-        return pa.Table.from_arrays(cols, ["doc_id", "copy", "piece", "first", "n_tokens", "group", "bin", "bin_offset", "bin_length", "bin_used"])
+        return pa.Table.from_arrays(cols, ["doc_id", "n", "copy", "piece", "first", "n_tokens", "group", "bin", "bin_offset", "bin_length", "bin_used"])
 
-    out = "doc_id long, copy int, piece int, first long, n_tokens int, group long, bin long, bin_offset int, bin_length int, bin_used int"
+    out = "doc_id long, n long, copy int, piece int, first long, n_tokens int, group long, bin long, bin_offset int, bin_length int, bin_used int"
     return each.select("doc_id", "n", "copy", "piece", "first", "n_tokens", "group").groupBy("group").applyInArrow(run, out)
+
+
+def assemble(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The packed sequences: group, bin, bin_length, bin_used, pieces (doc_id, copy, piece, n_tokens in order) and text.
+
+    Tokens are words; the text of a sequence is the words of its pieces, joined by one space, in the order of
+    their offsets.  options are those of pack_documents, but for size.  Each piece is cut out of its document where
+    that lies, and what is brought together is no more than a sequence holds.
+
+    Rows that share an id are told apart by copy, in order of their words' number and a hash of the text; null ids
+    likewise.  Texts without words give no sequence; an empty table gives none.
+    """
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    rows = rows.withColumn("n", word_count(F.col("text"))).where("n > 0")
+    top = max(options.get("lengths", LENGTHS))
+    alike = Window.partitionBy("doc_id", "n").orderBy(F.xxhash64("text"), "text")
+    # pack_documents numbers copies among rows of one id and one size.
+    rows = rows.withColumn("copy", F.row_number().over(alike) - 1)
+    words = F.regexp_extract_all("text", F.lit(WORD), F.lit(0))
+    cut = F.transform(F.sequence(F.lit(0), ((F.col("n") - 1) / top).cast("int")), lambda i: F.struct(i.alias("piece"), F.array_join(F.slice("words", i * top + 1, F.lit(top)), " ").alias("said")))
+    pieces = rows.withColumn("words", words).select("doc_id", "n", "copy", F.explode(cut).alias("p")).select("doc_id", "n", "copy", "p.piece", "p.said")
+    placed = _placed(docs, id_col=id_col, text_col=text_col, **options)
+    same = placed["doc_id"].eqNullSafe(pieces["doc_id"]) & (placed["n"] == pieces["n"]) & (placed["copy"] == pieces["copy"]) & (placed["piece"] == pieces["piece"])
+    both = placed.join(pieces, same).select("group", "bin", "bin_length", "bin_used", F.struct("bin_offset", placed["doc_id"], placed["copy"], placed["piece"], "n_tokens", "said").alias("x"))
+    bins = both.groupBy("group", "bin", "bin_length", "bin_used").agg(F.array_sort(F.collect_list("x")).alias("xs"))
+    inner = F.transform("xs", lambda x: F.struct(*(x[c].alias(c) for c in ("doc_id", "copy", "piece", "n_tokens"))))
+    return bins.select("group", "bin", "bin_length", "bin_used", inner.alias("pieces"), F.array_join(F.transform("xs", lambda x: x["said"]), " ").alias("text"))

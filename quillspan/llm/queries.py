@@ -12,7 +12,7 @@ from .cotrain import classify_quality
 from .language import identify_language
 from .minhash import near_duplicates
 from .mixing import plan_mix
-from .packing import pack_documents
+from .packing import assemble, pack_documents
 from .quality_rules import quality_report
 from .suffix_arrays import dedup_suffix_array
 from .suffix_trees import dedup_substrings
@@ -27,6 +27,12 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def packed_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The packed sequences themselves, digested: their words in order."""
+    out = assemble(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("group", "bin", "bin_length", "bin_used", F.size("pieces").alias("n_pieces"), F.sha2("text", 256).alias("text_sha256"))
+
+
 def op2_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = dedup_suffix_array(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
@@ -37,6 +43,11 @@ def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix.rows.select("doc_id", "size", "source_size", "target", "taken", "shards")
 
 
+def mix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op3 that no draw decides."""
+    return op3_mix_sources(spark, sf_dir).select("doc_id", "size", "source_size", "target")
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     rest = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(4))
@@ -89,6 +100,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_minhash_near_dedup,
         op9_exact_top_k,
         op10_quality_classifier,
+        mix_targets,
+        packed_sequences,
     )
 }
 
@@ -131,6 +144,29 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
   AND 10 * n_symbols <= n_words AND 10 * n_dup_lines <= 3 * n_lines
   AND 10 * n_trailing <= 3 * n_lines AND 10 * n_bullets <= 9 * n_lines AND 10 * n_letterless <= 3 * n_words AS kept
 FROM f""",
+    "op6_chat_formatting": r"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT * FROM (VALUES (-7, 0, 'user', '\### Assistant: </turn> ok'), (-7, 1, 'assistant', '\### Assistant: </turn> ok'))),
+e AS (SELECT *, role || text AS said FROM t)
+SELECT conv_id, count(*)::BIGINT AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS LAST, role, text)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS LAST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  -- Control strings take 8, 8 and 7 characters; each backslash and each opening of a control string in a role or text one more.
+  sum(23 + length(said) + length(said) - length(replace(said, '\', ''))
+    + (length(role) - length(replace(role, '<|', '')) + length(text) - length(replace(text, '<|', ''))) // 2)::BIGINT AS formatted_chars
+FROM e GROUP BY conv_id""",
+    "mix_targets": rf"""
+WITH d AS (SELECT doc_id, source, len({_WORDS})::BIGINT AS size FROM documents),
+s AS (SELECT source, sum(size)::DOUBLE AS words, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS n FROM d GROUP BY source),
+w AS (SELECT *, CASE n % 3 WHEN 0 THEN 3.0 WHEN 1 THEN 1.0 ELSE 2.0 END::DOUBLE AS weight, 1.5 * sum(words) OVER () AS due FROM s),
+-- Sources fill up in the order of their limit for each unit of weight; those before take their limit, the rest shares what is left.
+r AS (SELECT *, due - coalesce(sum(2 * words) OVER before, 0) AS left_over, sum(weight) OVER () - coalesce(sum(weight) OVER before, 0) AS open FROM w
+  WINDOW before AS (ORDER BY 2 * words / weight, n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+f AS (SELECT *, left_over * weight / open > 2 * words AS is_full FROM r),
+l AS (SELECT any_value(due) - coalesce(sum(2 * words) FILTER (is_full), 0) AS left_over, sum(weight) FILTER (NOT is_full) AS open FROM f),
+t AS (SELECT source, words, CASE WHEN is_full THEN 2 * words ELSE l.left_over * weight / l.open END AS target FROM f, l)
+SELECT doc_id, size, t.words::BIGINT AS source_size, target::DOUBLE AS target FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source""",
     "op8_minhash_near_dedup": rf"""
 WITH RECURSIVE d AS (SELECT doc_id, list_transform({_WORDS}, lambda x: translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS ws FROM documents),
 s AS (SELECT DISTINCT doc_id, array_to_string(ws[i:i + 4], ' ') AS g FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 4, 1) + 1)) AS i FROM d WHERE len(ws) > 0)),
