@@ -81,7 +81,7 @@ def op9_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang", "n_chars")
     out = classify_quality(docs, _table(spark, sf_dir, "labels"))
     kept = (F.col("quality_score") >= 0.5) & (F.col("toxic_score") < 0.5)
     return out.select("doc_id", "quality_score", "toxic_score", kept.alias("kept"))
