@@ -4,16 +4,19 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .functions import activations as act
+from .functions import kernels
 from .functions import vectors as vec
 from .functions.rng import SeedPath, component, laplace, log_uniform, mixture_noise, normalize_weights, uniform, uniform_sql
 from .operators import audit, coverage, extra_trees, gates, generate, graphs, metrics, postprocess, reshape
 from .plans.config import Config
-from .plans.sampling import FAMILY_LOGITS, family_probabilities, plan_family_counts, sample_layout, sample_plan
+from .plans.sampling import FAMILY_LOGITS, Layout, family_probabilities, plan_rows, sample_layout, sample_plan
 from .sources import packed
 from .streaming.coverage import windowed_coverage
 
@@ -814,27 +817,78 @@ def ridge_linearity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.profile_datasets(judged_rows(spark, sf_dir), "classification", 3).where("metric IN ('linearity_proxy', 'snr_proxy_db')")
 
 
-@query()
+@query("""SELECT floor(vec_id / 250)::BIGINT AS dataset_index, split, count(*) AS n, (64 * count(*))::BIGINT AS n_cells, true AS near_rate
+FROM (SELECT vec_id, CASE WHEN """ + uniform_sql(5, "split", "vec_id") + """ < 0.7 THEN 'train' ELSE 'test' END AS split FROM embeddings) GROUP BY ALL""")
 def inject_missing_mar(spark: SparkSession, sf_dir: str) -> DataFrame:
     hidden = postprocess.inject_missing(judged_rows(spark, sf_dir), "mar", 0.2, 3)
     gone = F.size(F.filter("x", lambda v: F.isnan(v)))
-    return hidden.groupBy("dataset_index", "split").agg(F.count("*").alias("n"), F.sum(gone).alias("n_missing"), F.sum(F.size("x")).alias("n_cells"))
+    out = hidden.groupBy("dataset_index", "split").agg(F.count("*").alias("n"), F.sum(F.size("x")).cast("long").alias("n_cells"), F.sum(gone).alias("n_missing"))
+    # The draws differ from engine to engine, their share does not.
+    return out.select("dataset_index", "split", "n", "n_cells", (F.abs(F.col("n_missing") / F.col("n_cells") - 0.2) < 0.03).alias("near_rate"))
 
 
-@query()
+_RANGE = "(SELECT unnest(range(25)) AS dataset_index) CROSS JOIN (VALUES ('train', 256), ('test', 128)) AS s(split, n)"
+
+
+@query(f"SELECT dataset_index, split, n::BIGINT AS n, true AS several_classes, 0::BIGINT AS n_features_made FROM {_RANGE}")
 def label_only_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, _ = generate.generate_corpus(spark, small_config(), 25, labels_only=True)
-    return rows.groupBy("dataset_index", "split").agg(F.count("*").alias("n"), F.count_distinct("y").alias("n_classes"), F.count("x").alias("n_features_made"))
+    return rows.groupBy("dataset_index", "split").agg(F.count("*").alias("n"), (F.count_distinct("y") > 1).alias("several_classes"), F.count("x").alias("n_features_made"))
 
 
-@query()
+def _small_layout() -> Layout:
+    return sample_layout(small_config(), SeedPath(7))
+
+
+@query(f"""SELECT dataset_index, split, n::BIGINT AS n, 0::BIGINT AS first_row, (n - 1)::BIGINT AS last_row, n::BIGINT AS n_distinct, {_small_layout().n_features} AS least_width, {_small_layout().n_features} AS most_width, true AS finite
+FROM {_RANGE}""")
+def corpus_contract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What holds for each split of a generated corpus: rows numbered without gap, of one width, all finite."""
+    rows, _ = generate.generate_corpus(spark, small_config(), 25)
+    i, odd = F.col("row_index"), F.exists("x", lambda v: F.isnan(v) | (F.abs(v) == float("inf")))
+    per = rows.groupBy("dataset_index", "split")
+    return per.agg(F.count("*").alias("n"), F.min(i).alias("first_row"), F.max(i).alias("last_row"), F.count_distinct(i).alias("n_distinct"), F.min(F.size("x")).alias("least_width"), F.max(F.size("x")).alias("most_width"), (~F.bool_or(odd)).alias("finite"))
+
+
+def _small_plan() -> list[tuple]:
+    return plan_rows(sample_plan(small_config(), _small_layout(), SeedPath(7)))
+
+
+@query("SELECT family, variant, count(*) AS n, count(*) FILTER (depth > 0) AS nested FROM (VALUES " + ", ".join(f"('{f}', {'NULL' if v is None else repr(v)}, {d})" for f, v, d in _small_plan()) + ") AS p(family, variant, depth) GROUP BY family, variant")
 def plan_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    config, seeds = small_config(), SeedPath(7)
-    counts = plan_family_counts(sample_plan(config, sample_layout(config, seeds), seeds))
-    return spark.createDataFrame(sorted(counts.items()), "family string, n long")
+    plan = spark.createDataFrame(_small_plan(), "family string, variant string, depth int")
+    return plan.groupBy("family", "variant").agg(F.count("*").alias("n"), F.count(F.when(F.col("depth") > 0, 1)).alias("nested"))
 
 
-@query()
+@query(f"""WITH g AS (SELECT {_small_layout().n_nodes} AS n_nodes, {len(_small_layout().edges)} AS n_edges),
+b AS (SELECT unnest(range(25)) AS dataset_index, *, ceil(n_nodes * (n_nodes - 1) / 16)::INTEGER AS size FROM g)
+SELECT dataset_index, n_nodes, n_edges, floor(dataset_index / 8)::BIGINT AS shard, size, ((dataset_index % 8) * size)::BIGINT AS "offset" FROM b""")
 def lineage_blobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, meta = generate.generate_corpus(spark, small_config(), 25)
-    return audit.lineage(meta, 8)
+    return audit.lineage(meta, 8).select("dataset_index", "n_nodes", "n_edges", "shard", "size", "offset")
+
+
+@query("SELECT kind, 40 AS n_rows, 1.0::DOUBLE AS least, 1.0::DOUBLE AS most FROM (VALUES ('gaussian'), ('weights'), ('singular_values'), ('kernel'), ('activation')) AS m(kind)")
+def matrix_row_norms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each kind of random matrix has rows of length one; one matrix a kind, made on the executors."""
+    kinds = spark.createDataFrame([(k,) for k in kernels.MATRICES], "kind string")
+
+    def run(batches):
+        for batch in batches:
+            for kind in batch.column(0).to_pylist():
+                m = kernels.random_matrix((SeedPath(7) / "matrix" / kind).generator(), 40, 9, kind)
+                yield pa.RecordBatch.from_arrays([pa.array([kind] * 40), pa.array(np.linalg.norm(m, axis=1))], ["kind", "norm"])
+
+    return kinds.mapInArrow(run, "kind string, norm double").groupBy("kind").agg(F.count("*").cast("int").alias("n_rows"), r(F.min("norm")).alias("least"), r(F.max("norm")).alias("most"))
+
+
+_GUMBEL_SQL = "[" + ", ".join(uniform_sql(7, f"gumbel/{i}", "vec_id") for i in range(4)) + "]"
+
+
+@query(f"""WITH e AS (SELECT vec_id, unnest(range(4))::INTEGER AS i, unnest(x) AS v, unnest({_GUMBEL_SQL}) AS u FROM {x_sql(4)}),
+z AS (SELECT vec_id, i, exp((v - ln(-ln(greatest(1e-9, least(1 - 1e-9, u))))) / 0.7) AS w FROM e)
+SELECT vec_id, i, round(w / sum(w) OVER (PARTITION BY vec_id), 6) AS share FROM z""")
+def gumbel_softmax(spark: SparkSession, sf_dir: str) -> DataFrame:
+    u = F.array(*(uniform(7, f"gumbel/{i}", "vec_id") for i in range(4)))
+    shares = act.gumbel_softmax(F.col("x"), u, 0.7)
+    return x64(spark, sf_dir, 4).select("vec_id", F.posexplode(shares).alias("i", "share")).withColumn("share", r("share"))

@@ -83,7 +83,8 @@ def best_candidate(df: DataFrame, group: list[str], value: str, name: str) -> Da
 def digest(df: DataFrame, columns: list[str], group: list[str]) -> DataFrame:
     """(group, n, digest): a digest of a group's rows that does not depend on their order.
 
-    Row hashes are added up in two halves of their md5, so that nothing is collected or sorted.
+    Row hashes are added up in two halves of their md5, so that nothing is collected or sorted.  What order rows have is
+    told by a column that numbers them, which is to be among the columns.
     """
     h = F.md5(F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("~")) for c in columns]))
     part = lambda i: F.sum(F.conv(F.substring(h, i, 8), 16, 10).cast("decimal(38,0)"))

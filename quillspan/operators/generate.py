@@ -1,8 +1,9 @@
-"""Corpus generation: one group of a distributed table for each dataset."""
+"""Corpus generation: ranges of datasets, each made whole in one task."""
 
 from __future__ import annotations
 
 import json
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -12,9 +13,9 @@ from pyspark.sql import functions as F
 from ..functions import kernels as K
 from ..functions.rng import SeedPath, derive_seed, sample_noise
 from ..plans.config import Config
-from ..plans.sampling import dataset_id, longest_path, sample_layout, sample_plan, shift_params
+from ..plans.sampling import dataset_id, longest_path, sample_layout, sample_plan, shift_params, stable_hash
 
-ROWS = "dataset_index long, split string, row_index long, x array<float>, y double"
+ROWS = "dataset_index long, split string, row_index long, x array<float>, y double, attempt int"
 
 
 def make_dataset(config: Config, layout, plan: dict, seed: int, n: int, labels_only: bool = False) -> tuple[np.ndarray | None, np.ndarray]:
@@ -30,13 +31,14 @@ def make_dataset(config: Config, layout, plan: dict, seed: int, n: int, labels_o
     for node in plan["nodes"]:
         rng = (seeds / "node" / node["node"]).generator()
         width = node["width"]
+        f = node["functions"]
         if node["source"] == "root":
-            h = K.root_points(rng, n, width)
-            h = K.apply_family(rng, node["families"][0], h, width, noise)
+            h = K.root_points(rng, n, width, node["base"])
+            h = K.apply_family(rng, f[0]["family"], h, width, noise, f[0], sigma)
         elif node["source"] == "concat":
-            h = K.apply_family(rng, node["families"][0], np.hstack([latent[p] for p in node["parents"]]), width, noise)
+            h = K.apply_family(rng, f[0]["family"], np.hstack([latent[p] for p in node["parents"]]), width, noise, f[0], sigma)
         else:
-            h = K.combine([K.standardize(K.apply_family(rng, f, latent[p], width, noise)) for f, p in zip(node["families"], node["parents"], strict=True)], node["aggregation"])
+            h = K.combine([K.standardize(K.apply_family(rng, g["family"], latent[p], width, noise, g, sigma)) for g, p in zip(f, node["parents"], strict=True)], node["aggregation"])
         h = h + 0.01 * sigma * config.noise.scale * sample_noise(rng, h.shape, **noise)
         h = K.standardize(h) * K.random_weights(rng, width, sigma)
         h = h / max(float(np.linalg.norm(h, axis=1).mean()), 1e-12)
@@ -44,9 +46,9 @@ def make_dataset(config: Config, layout, plan: dict, seed: int, n: int, labels_o
         for c in node["converters"]:
             part = h[:, at : at + c["width"]]
             if c["cardinality"]:
-                value, part = K.categorical_converter(rng, part, c["cardinality"])
+                value, part = K.categorical_converter(rng, part, c["cardinality"], c["plan"], noise)
             else:
-                value, part = K.numeric_converter(rng, part)
+                value, part = K.numeric_converter(rng, part, c["plan"]["warp"])
             h[:, at : at + c["width"]] = part
             at += c["width"]
             if c["feature"] < 0:
@@ -86,60 +88,100 @@ def stratified_order(y: np.ndarray, n_train: int, rng: np.random.Generator) -> n
     return out
 
 
-def generate_corpus(spark: SparkSession, config: Config, n_datasets: int, *, attempts: int = 8, labels_only: bool = False) -> tuple[DataFrame, DataFrame]:
+def split_sizes(config: Config) -> tuple[int, int]:
+    """Rows of train and test, resolved once for a run."""
+    d = config.dataset
+    if d.rows is None:
+        return d.n_train, d.n_test
+    total = d.rows.resolve((SeedPath(config.seed) / "rows").generator())
+    n_test = total * d.n_test // (d.n_train + d.n_test)
+    return total - n_test, n_test
+
+
+def one_dataset(config: Config, layout, plan: dict, index: int, attempts: int, labels_only: bool = False) -> tuple[np.ndarray | None, np.ndarray, int, int]:
+    """(x, y, rows of train, attempt): the rows of train first.  attempt is the one kept, or -1 where the last one is invalid too."""
+    n_train, n_test = split_sizes(config)
+    n, sorting = n_train + n_test, config.dataset.task == "classification"
+    for attempt in range(attempts):
+        seed = attempt_seed(config, index, attempt)
+        x, y = make_dataset(config, layout, plan, seed, n, labels_only)
+        rng = SeedPath(seed, "split").generator()
+        train = stratified_order(y, n_train, rng) if sorting else np.isin(np.arange(n), rng.permutation(n)[:n_train])
+        if not sorting or split_is_valid(y[train], y[~train]):
+            break
+    else:
+        attempt = -1
+    order = np.concatenate([np.flatnonzero(train), np.flatnonzero(~train)])
+    if sorting:
+        y = np.unique(y, return_inverse=True)[1].astype(np.float64)
+    return None if x is None else x[order], y[order], int(train.sum()), attempt
+
+
+def attempt_seed(config: Config, index: int, attempt: int) -> int:
+    return derive_seed(config.seed, "dataset", index, attempt)
+
+
+def packed_batch(index: int, x: np.ndarray | None, y: np.ndarray, n_train: int, attempt: int) -> pa.RecordBatch:
+    n = len(y)
+    if x is None:
+        lists = pa.nulls(n, pa.list_(pa.float32()))
+    else:
+        flat = np.ascontiguousarray(x, dtype=np.float32).ravel()
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * x.shape[1]), pa.array(flat))
+    split = pa.DictionaryArray.from_arrays(pa.array((np.arange(n) >= n_train).astype(np.int32)), ["train", "test"]).cast(pa.string())
+    row = np.arange(n) - np.where(np.arange(n) >= n_train, n_train, 0)
+    cols = [pa.array(np.full(n, index)), split, pa.array(row), lists, pa.array(y.astype(np.float64)), pa.array(np.full(n, attempt, dtype=np.int32))]
+    return pa.RecordBatch.from_arrays(cols, ["dataset_index", "split", "row_index", "x", "y", "attempt"])
+
+
+def generate_corpus(
+    spark: SparkSession, config: Config, n_datasets: int, *, attempts: int = 8, labels_only: bool = False, finish: Callable[[int, np.ndarray, np.ndarray, int], tuple[np.ndarray, np.ndarray]] | None = None
+) -> tuple[DataFrame, DataFrame]:
     """(rows, metadata) of a corpus whose datasets share one layout and plan.
 
-    Each dataset is seeded by its index and made in a group of its own, so results do not depend on
-    partitions.  A classification dataset whose splits lack classes is made again from another seed,
-    up to ``attempts`` times, and its last attempt stands marked as invalid.
+    Each dataset is seeded by its index and made whole in one task, so results do not depend on
+    partitions; a partition makes a range of indices, one dataset after another in order, and nothing is shuffled.
+    A classification dataset whose splits lack classes is made again from another seed, up to ``attempts`` times;
+    rows tell the attempt that was kept, -1 if the last one is invalid too.  finish(index, x, y, rows of train) may
+    change a dataset before it leaves the task.  metadata is what describe() reads off the rows.
     """
     seeds = SeedPath(config.seed)
     layout = sample_layout(config, seeds)
     plan = sample_plan(config, layout, seeds)
-    d = config.dataset
-    n_train, n_test = d.n_train, d.n_test
-    if d.rows is not None:
-        total = d.rows.resolve((seeds / "rows").generator())
-        n_test = total * d.n_test // (d.n_train + d.n_test)
-        n_train = total - n_test
-    run_id = layout.signature()
-
-    def one(key: tuple, _: pa.Table) -> pa.Table:
-        index = key[0].as_py()
-        n = n_train + n_test
-        for attempt in range(attempts):
-            seed = derive_seed(config.seed, "dataset", index, attempt)
-            x, y = make_dataset(config, layout, plan, seed, n, labels_only)
-            rng = SeedPath(seed, "split").generator()
-            train = stratified_order(y, n_train, rng) if d.task == "classification" else np.isin(np.arange(n), rng.permutation(n)[:n_train])
-            if d.task == "regression" or split_is_valid(y[train], y[~train]):
-                break
-        order = np.concatenate([np.flatnonzero(train), np.flatnonzero(~train)])
-        sizes = (int(train.sum()), int(n - train.sum()))
-        if d.task == "classification":
-            y = np.unique(y, return_inverse=True)[1].astype(np.float64)
-        lists = [None] * n if labels_only else list(x[order])
-        return pa.table(
-            {
-                "dataset_index": pa.array(np.full(n, index)),
-                "split": pa.array(["train"] * sizes[0] + ["test"] * sizes[1]),
-                "row_index": pa.array(np.concatenate([np.arange(s) for s in sizes])),
-                "x": pa.array(lists, pa.list_(pa.float32())),
-                "y": pa.array(y[order]),
-            }
-        )
-
-    ids = spark.range(n_datasets).withColumnRenamed("id", "dataset_index")
-    rows = ids.repartition("dataset_index").groupBy("dataset_index").applyInArrow(one, ROWS)
-    shift = shift_params(config)
-    facts = {"kinds": layout.kinds, "n_features": layout.n_features, "n_classes": layout.n_classes, "n_nodes": layout.n_nodes, "edges": layout.edges, "depth": longest_path(list(layout.edges), layout.n_nodes), "shift": vars(shift), "noise": config.noise.family, "layout": run_id}
-    text = json.dumps(facts, sort_keys=True)
 
-    def described(batches):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            i = batch.column(0).to_pylist()
-            made = [derive_seed(config.seed, "dataset", k, 0) for k in i]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.int64()), pa.array([dataset_id(run_id, run_id, k, s) for k, s in zip(i, made, strict=True)]), pa.array([text] * len(i))], ["dataset_index", "seed", "dataset_id", "metadata"])
+            for index in batch.column(0).to_pylist():
+                x, y, n_train, attempt = one_dataset(config, layout, plan, index, attempts, labels_only)
+                if finish is not None:
+                    x, y = finish(index, x, y, n_train)
+                yield packed_batch(index, x, y, n_train, attempt)
+
+    # A range for each core, as datasets of one plan take about the same time, and no more than a shard's worth of datasets in one.
+    ranges = min(max(n_datasets, 1), max(spark.sparkContext.defaultParallelism, -(-n_datasets // 128)))
+    rows = spark.range(0, n_datasets, 1, ranges).withColumnRenamed("id", "dataset_index").mapInArrow(run, ROWS)
+    return rows, describe(rows, config, attempts)
+
 
-    meta = ids.mapInArrow(described, "dataset_index long, seed long, dataset_id string, metadata string")
-    return rows, meta.withColumn("n_train", F.lit(n_train)).withColumn("n_test", F.lit(n_test))
+def describe(rows: DataFrame, config: Config, attempts: int = 8) -> DataFrame:
+    """One row a dataset of the rows: dataset_index, attempts, valid, seed and dataset_id of the attempt kept, and what the plan fixes for all."""
+    seeds = SeedPath(config.seed)
+    layout = sample_layout(config, seeds)
+    n_train, n_test = split_sizes(config)
+    run_id = stable_hash({"config": config.to_dict()})
+    group = layout.signature()
+    facts = {"kinds": layout.kinds, "n_features": layout.n_features, "n_classes": layout.n_classes, "n_nodes": layout.n_nodes, "edges": layout.edges, "depth": longest_path(list(layout.edges), layout.n_nodes), "shift": vars(shift_params(config)), "noise": config.noise.family, "layout": group, "run": run_id}
+    text = json.dumps(facts, sort_keys=True)
+
+    def described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            index, kept = (batch.column(c).to_pylist() for c in (0, 1))
+            made = [attempt_seed(config, i, attempts - 1 if a < 0 else a) for i, a in zip(index, kept, strict=True)]
+            names = [dataset_id(run_id, group, i, s) for i, s in zip(index, made, strict=True)]
+            tries = [attempts if a < 0 else a + 1 for a in kept]
+            cols = [batch.column(0), pa.array(tries, pa.int32()), pa.array([a >= 0 for a in kept]), pa.array(made, pa.int64()), pa.array(names), pa.array([text] * len(index))]
+            yield pa.RecordBatch.from_arrays(cols, ["dataset_index", "attempts", "valid", "seed", "dataset_id", "metadata"])
+
+    first = rows.where("split = 'train' AND row_index = 0").select("dataset_index", "attempt")
+    meta = first.mapInArrow(described, "dataset_index long, attempts int, valid boolean, seed long, dataset_id string, metadata string")
+    return meta.withColumn("n_train", F.lit(n_train)).withColumn("n_test", F.lit(n_test))

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -158,10 +159,10 @@ def inject_missing(rows: DataFrame, mechanism: str, rate: float, seed: int, *, o
     def one(key: tuple, table: pa.Table) -> pa.Table:
         index, split = (k.as_py() for k in key)
         table = table.sort_by("row_index").combine_chunks()
-        x = np.array(table.column("x").to_pylist(), dtype=np.float64)
+        x = _matrix_of(table).astype(np.float64)
         hide = missing_mask(x, mechanism, rate, (SeedPath(seed) / "missing" / index / split).generator(), observed=observed, scale=scale)
         x[hide] = np.nan
-        return table.set_column(table.schema.get_field_index("x"), "x", pa.array(list(x.astype(np.float32)), pa.list_(pa.float32())))
+        return _with_matrix(table, x)
 
     return rows.groupBy("dataset_index", "split").applyInArrow(one, schema)
 
@@ -204,23 +205,70 @@ def bottom_k_sample(df: DataFrame, k: int, seed: int, *key: str) -> DataFrame:
     return df.withColumn("u", uniform(seed, "reservoir", *key)).orderBy("u", *key).limit(k)
 
 
-def postprocess_corpus(rows: DataFrame, kinds: tuple[str, ...], task: str) -> DataFrame:
-    """Packed rows of a corpus with numeric features clipped and standardised over both splits of each dataset, and so a regression target."""
-    schema = T.StructType(rows.schema.fields)
+def clipped(v: np.ndarray) -> np.ndarray:
+    """Columns clipped to their 1st and 99th percentiles and standardised."""
+    lo, hi = np.quantile(v, [0.01, 0.99], axis=0)
+    v = np.clip(v, lo, hi)
+    return (v - v.mean(axis=0)) / np.maximum(v.std(axis=0), 1e-6)
+
+
+def finish_dataset(x: np.ndarray, y: np.ndarray, n_train: int, kinds: tuple[str, ...], task: str, *, rng: np.random.Generator | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """A dataset (train rows first) with numeric features clipped and standardised over both splits, and so a regression target.
+
+    With rng, columns that do not vary go (all stay if none does), the rest are put in a drawn order, and class labels
+    are numbered anew in a drawn order; where a split holds fewer than two classes labels are numbered in their own order.
+    """
     numeric = np.array([k == "num" for k in kinds])
+    x = x.astype(np.float64)
+    x[:, numeric] = clipped(x[:, numeric])
+    if task == "regression":
+        y = clipped(y)
+    if rng is not None:
+        keep = np.flatnonzero(x.std(axis=0) > 1e-12)
+        x = x[:, rng.permutation(keep if len(keep) else x.shape[1])]
+        if task == "classification":
+            labels, code = np.unique(y, return_inverse=True)
+            drawn = rng.permutation(len(labels)) if min(len(np.unique(y[:n_train])), len(np.unique(y[n_train:]))) > 1 else np.arange(len(labels))
+            y = drawn[code].astype(np.float64)
+    return x.astype(np.float32), y
+
+
+def hide_cells(x: np.ndarray, n_train: int, index: int, mechanism: str, rate: float, seed: int, *, observed: float = 0.5, scale: float = 1.0) -> np.ndarray:
+    """x (train rows first) with NaN where values are hidden, each split on its own; as inject_missing does it."""
+    from ..functions.rng import SeedPath
+
+    out = x.astype(np.float64)
+    for split, part in (("train", slice(0, n_train)), ("test", slice(n_train, len(x)))):
+        rng = (SeedPath(seed) / "missing" / index / split).generator()
+        if len(out[part]):
+            out[part][missing_mask(out[part], mechanism, rate, rng, observed=observed, scale=scale)] = np.nan
+    return out.astype(np.float32)
+
+
+def _matrix_of(table: pa.Table) -> np.ndarray:
+    """The list column x of rows of one length."""
+    column = table.column("x").combine_chunks()
+    return column.flatten().to_numpy().reshape(len(column), -1)
 
-    def scaled(v: np.ndarray) -> np.ndarray:
-        lo, hi = np.quantile(v, [0.01, 0.99], axis=0)
-        v = np.clip(v, lo, hi)
-        return (v - v.mean(axis=0)) / np.maximum(v.std(axis=0), 1e-6)
-
-    def one(table: pa.Table) -> pa.Table:
-        x = np.array(table.column("x").to_pylist(), dtype=np.float64)
-        x[:, numeric] = scaled(x[:, numeric])
-        table = table.set_column(table.schema.get_field_index("x"), "x", pa.array(list(x.astype(np.float32)), pa.list_(pa.float32())))
-        if task == "regression":
-            y = scaled(table.column("y").to_numpy())
-            table = table.set_column(table.schema.get_field_index("y"), "y", pa.array(y))
-        return table
+
+def _with_matrix(table: pa.Table, x: np.ndarray) -> pa.Table:
+    lists = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1]), pa.array(np.ascontiguousarray(x, dtype=np.float32).ravel()))
+    return table.set_column(table.schema.get_field_index("x"), "x", lists)
+
+
+def postprocess_corpus(rows: DataFrame, kinds: tuple[str, ...], task: str, *, seed: int | None = None) -> DataFrame:
+    """Packed rows of a written corpus, each dataset as finish_dataset leaves it; with a seed also its columns and labels are drawn anew."""
+    from ..functions.rng import SeedPath
+
+    schema = T.StructType(rows.schema.fields)
+
+    def one(key: tuple, table: pa.Table) -> pa.Table:
+        index = key[0].as_py()
+        train = pa.compute.equal(table.column("split"), "train")
+        table = table.append_column("held#", pa.compute.cast(pa.compute.invert(train), pa.int8())).sort_by([("held#", "ascending"), ("row_index", "ascending")]).drop_columns("held#")
+        n_train = int(pa.compute.sum(pa.compute.cast(train, pa.int64())).as_py())
+        rng = None if seed is None else (SeedPath(seed) / "finish" / index).generator()
+        x, y = finish_dataset(_matrix_of(table), table.column("y").to_numpy(), n_train, kinds, task, rng=rng)
+        return _with_matrix(table, x).set_column(table.schema.get_field_index("y"), "y", pa.array(y.astype(np.float64)))
 
     return rows.groupBy("dataset_index").applyInArrow(one, schema)

@@ -9,7 +9,7 @@ from dataclasses import asdict, dataclass
 
 import numpy as np
 
-from ..functions.kernels import FAMILIES, log_u_int
+from ..functions.draws import AGGREGATIONS, FAMILIES, ROOTS, converter_plan, draw_family, function_plan, functions_of, log_u_int, one_of
 from ..functions.rng import SeedPath, normalize_weights
 from .config import Config
 
@@ -108,7 +108,7 @@ def edge_density(n_edges: int, n: int) -> float:
 
 
 def sample_plan(config: Config, layout: Layout, seeds: SeedPath) -> dict:
-    """The typed plan of all nodes, as JSON: source, width, function families and converters."""
+    """The typed plan of all nodes, as JSON: source, width, functions and converters, shared by all datasets of the layout."""
     shift = shift_params(config)
     odds = family_probabilities(shift.mechanism_tilt, config.mechanism.function_family_mix)
     nodes = []
@@ -120,11 +120,13 @@ def sample_plan(config: Config, layout: Layout, seeds: SeedPath) -> dict:
         for i in own + ([-1] if layout.target_node == node else []):
             card = layout.cardinalities[i] if i >= 0 else layout.n_classes
             width = 1 if not card else card if rng.random() < 0.5 or card <= 2 else int(rng.integers(1, card))
-            converters.append({"feature": i, "cardinality": card, "width": max(width, 2) if i < 0 and card else width})
+            width = max(width, 2) if i < 0 and card else width
+            converters.append({"feature": i, "cardinality": card, "width": width, "plan": converter_plan(rng, card, width, odds)})
         width = max(1, sum(c["width"] for c in converters)) + log_u_int(rng, 1, 8)
         source = "root" if not parents else "concat" if rng.random() < 0.5 else "stacked"
-        families = [list(odds)[int(rng.choice(len(odds), p=list(odds.values())))] for _ in (parents if source == "stacked" else [0])]
-        nodes.append({"node": node, "parents": parents, "source": source, "families": families, "aggregation": ("sum", "product", "max", "logsumexp")[rng.integers(4)], "width": width, "converters": converters})
+        functions = [function_plan(rng, draw_family(rng, odds), width) for _ in (parents if source == "stacked" else [0])]
+        base = one_of(rng, ROOTS) if source == "root" else None
+        nodes.append({"node": node, "parents": parents, "source": source, "base": base, "functions": functions, "aggregation": one_of(rng, AGGREGATIONS), "width": width, "converters": converters})
     return {"nodes": nodes, "sigma_multiplier": shift.sigma_multiplier}
 
 
@@ -153,11 +155,24 @@ class CorrelatedSampler:
         return int(self._next("category", name, n).choice(n, p=raw / raw.sum()))
 
 
+def plan_rows(plan: dict) -> list[tuple[str, str | None, int]]:
+    """(family, gp variant, depth of nesting) of each function of a plan, nested ones included."""
+    return [(f["family"], f.get("variant"), depth) for f, depth in functions_of(plan)]
+
+
 def plan_family_counts(plan: dict) -> dict[str, int]:
+    """Functions of each family, nested ones included."""
+    out: dict[str, int] = {}
+    for family, _, _ in plan_rows(plan):
+        out[family] = out.get(family, 0) + 1
+    return out
+
+
+def gp_variant_counts(plan: dict) -> dict[str, int]:
     out: dict[str, int] = {}
-    for node in plan["nodes"]:
-        for f in node["families"]:
-            out[f] = out.get(f, 0) + 1
+    for _, variant, _ in plan_rows(plan):
+        if variant is not None:
+            out[variant] = out.get(variant, 0) + 1
     return out
 
 

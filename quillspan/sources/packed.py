@@ -5,26 +5,38 @@ from __future__ import annotations
 import json
 import os
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-ROWS = "dataset_index long, split string, row_index long, x array<float>, y double"
+ROWS = "dataset_index long, split string, row_index long, x array<float>, y double, attempt int"
+#: Datasets of a file, at most.
+FILE_DATASETS = 16
 
 
 def shard_of(index: Column, size: int) -> Column:
     return F.floor(index / F.lit(max(1, size))).cast("long")
 
 
-def write_packed(rows: DataFrame, meta: DataFrame, path: str, *, shard_size: int = 128, compression: str = "zstd") -> None:
+def write_packed(rows: DataFrame, meta: DataFrame | Callable[[DataFrame], DataFrame], path: str, *, shard_size: int = 128, compression: str = "zstd", in_ranges: bool = False) -> None:
     """rows under path/rows/shard=N/split=S as Parquet and meta under path/metadata as JSON lines; a path in use is refused.
 
-    A shard's split is one task's and one file, in order.  Rows are dealt by hash: dealing by range
-    would sample them first, and so generate them twice.
+    A shard's split lies in one or several files, each in order and of datasets that no other file holds.  Rows are dealt
+    by hash of shard, split and file: dealing by range would sample them first, and so generate them twice.
+    With ``in_ranges`` rows lie by ranges of datasets already, as generate_corpus makes them, and are written where they are.
+    meta may be a function of the rows as written.
     """
     shard = shard_of(F.col("dataset_index"), shard_size)
-    out = rows.withColumn("shard", shard).repartition("shard", "split").sortWithinPartitions("shard", "split", "dataset_index", "row_index")
-    out.write.mode("errorifexists").option("compression", compression).partitionBy("shard", "split").parquet(f"{path}/rows")
+    out = rows.withColumn("shard", shard)
+    if not in_ranges:
+        file = F.floor(F.pmod(F.col("dataset_index"), F.lit(max(1, shard_size))) / FILE_DATASETS)
+        out = out.repartition("shard", "split", file)
+    out = out.sortWithinPartitions("shard", "split", "dataset_index", "row_index")
+    # Floats rarely repeat: a dictionary of them is only tried and thrown away.
+    writer = out.write.mode("errorifexists").option("compression", compression).option("parquet.enable.dictionary#x.list.element", "false")
+    writer.partitionBy("shard", "split").parquet(f"{path}/rows")
+    meta = meta(read_packed(rows.sparkSession, path)) if callable(meta) else meta
     write_records(meta.withColumn("shard", shard), f"{path}/metadata")
 
 
@@ -93,6 +105,7 @@ def manifest(rows: DataFrame, *, run: str, config: dict, elapsed: float) -> dict
     """A hand-off record of a corpus: identity, sizes, digest and throughput."""
     from ..operators.gates import digest
 
-    per = digest(rows, ["dataset_index", "split", "row_index", "y"], ["dataset_index"])
-    total = per.agg(F.count("*").alias("n"), F.sum("n").alias("rows"), F.md5(F.array_join(F.array_sort(F.collect_list("digest")), "")).alias("digest")).first()
+    per = digest(rows, ["dataset_index", "split", "row_index", "x", "y"], ["dataset_index"])
+    # The digests of datasets are added up in turn, so that none are gathered.
+    total = digest(per, ["dataset_index", "n", "digest"], []).join(per.agg(F.sum("n").alias("rows")), how="cross").first()  # one row each
     return {"schema_version": "1.0.0", "run": run, "config": config, "datasets": total["n"], "rows": total["rows"] or 0, "digest": total["digest"], "datasets_per_minute": 60 * total["n"] / elapsed if elapsed else None}

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import os
 import time
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 
 from .functions.rng import SeedPath
 from .operators import audit, coverage, extra_trees, gates, metrics, postprocess
-from .operators.generate import generate_corpus
+from .operators.generate import describe, generate_corpus
 from .plans.config import Config, resolve
 from .plans.sampling import edge_density, sample_layout, shift_facts
 from .sources import packed
@@ -25,15 +26,22 @@ from .sources.reports import rows_of, write_report
 THRESHOLDS = (0.80, 0.85, 0.90, 0.95, 0.99)
 
 
-def corpus_rows(spark: SparkSession, config: Config, n_datasets: int) -> tuple[DataFrame, DataFrame]:
-    """(rows, metadata) of a corpus after clipping, scaling and hiding of values."""
-    rows, meta = generate_corpus(spark, config, n_datasets)
+def corpus_rows(spark: SparkSession, config: Config, n_datasets: int) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """Rows of a corpus after clipping, scaling and hiding of values, all in the task that makes a dataset; and what makes metadata of them once written."""
     d = config.dataset
-    rows = postprocess.postprocess_corpus(rows, sample_layout(config, SeedPath(config.seed)).kinds, d.task)
-    if d.missing_mechanism != "none" and d.missing_rate > 0:
-        scale = d.mnar_logit_scale if d.missing_mechanism == "mnar" else d.mar_logit_scale
-        rows = postprocess.inject_missing(rows, d.missing_mechanism, d.missing_rate, config.seed, observed=d.mar_observed_fraction, scale=scale)
-    return rows, meta
+    kinds = sample_layout(config, SeedPath(config.seed)).kinds
+    scale = d.mnar_logit_scale if d.missing_mechanism == "mnar" else d.mar_logit_scale
+    hides = d.missing_mechanism != "none" and d.missing_rate > 0
+    seed, task = config.seed, d.task
+
+    def finish(index, x, y, n_train):
+        x, y = postprocess.finish_dataset(x, y, n_train, kinds, task)
+        if hides:
+            x = postprocess.hide_cells(x, n_train, index, d.missing_mechanism, d.missing_rate, seed, observed=d.mar_observed_fraction, scale=scale)
+        return x, y
+
+    rows, _ = generate_corpus(spark, config, n_datasets, finish=finish)
+    return rows, lambda written: describe(written, config)
 
 
 def corpus_metrics(rows: DataFrame, config: Config, *, spearman: bool = True, forest: bool = False) -> DataFrame:
@@ -50,7 +58,7 @@ def run_generate(spark: SparkSession, config: Config, n_datasets: int, out: str,
     config, trace = resolve(config, ("arguments", overrides or {}))
     began = time.perf_counter()
     rows, meta = corpus_rows(spark, config, n_datasets)
-    packed.write_packed(rows, meta, out, shard_size=config.output.shard_size, compression=config.output.compression)
+    packed.write_packed(rows, meta, out, shard_size=config.output.shard_size, compression=config.output.compression, in_ranges=True)
     elapsed = time.perf_counter() - began
     written = packed.read_packed(spark, out)
     run = sample_layout(config, SeedPath(config.seed)).signature()
@@ -105,7 +113,7 @@ def run_audit(spark: SparkSession, baseline: Config, variants: dict[str, Config]
     for name, config in {"baseline": baseline, **variants}.items():
         config, _ = resolve(config, ("audit", {"seed": baseline.seed}))
         rows, meta = corpus_rows(spark, config, n_datasets)
-        packed.write_packed(rows, meta, f"{out}/{name}", shard_size=config.output.shard_size, compression=config.output.compression)
+        packed.write_packed(rows, meta, f"{out}/{name}", shard_size=config.output.shard_size, compression=config.output.compression, in_ranges=True)
         rows = packed.read_packed(spark, f"{out}/{name}")
         if config.filter.enabled:
             rows = extra_trees.curate(rows, judge_corpus(rows, config))
@@ -129,7 +137,7 @@ def run_benchmark(spark: SparkSession, presets: dict[str, Config], n_datasets: i
         rows, meta = corpus_rows(spark, config, n_datasets)
         rows.write.format("noop").mode("overwrite").save()
         clock.append(time.perf_counter())
-        packed.write_packed(rows, meta, f"{out}/{name}", shard_size=config.output.shard_size, compression=config.output.compression)
+        packed.write_packed(rows, meta, f"{out}/{name}", shard_size=config.output.shard_size, compression=config.output.compression, in_ranges=True)
         clock.append(time.perf_counter())
         judge_corpus(packed.read_packed(spark, f"{out}/{name}"), config).write.format("noop").mode("overwrite").save()
         clock.append(time.perf_counter())
