@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.rng import SeedPath
 from .extra_trees import judge
+from .ordering import sums_before
 
 
 def class_structure(df: DataFrame, label: str, group: list[str]) -> DataFrame:
@@ -49,15 +50,13 @@ def abs_summary(pairs: DataFrame, group: list[str]) -> DataFrame:
 def average_ranks(df: DataFrame, columns: list[str], group: list[str]) -> DataFrame:
     """(group, column values replaced by their average ranks).
 
-    Ranks are made on the table of distinct values with their counts, which sums without sorting
-    all rows, and joined back.
+    Ranks are made on the table of distinct values with their counts, range by range, so that no task sorts a
+    whole group, and joined back.
     """
     out = df
     for v in columns:
         counts = df.groupBy(*group, v).agg(F.count("*").alias("n"))
-        w = Window.partitionBy(*group).orderBy(v)
-        upto = F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-        ranks = counts.withColumn("r", upto - F.col("n") + (F.col("n") + 1) / 2)
+        ranks = sums_before(counts, v, "n", group, "before").withColumn("r", F.col("before") + (F.col("n") + 1) / 2)
         right = ranks.select(*[F.col(g).alias(f"g#{g}") for g in group], F.col(v).alias("g#v"), F.col("r").alias(f"r#{v}"))
         out = out.join(right, [out[v].eqNullSafe(right["g#v"]), *[out[g].eqNullSafe(right[f"g#{g}"]) for g in group]], "left").drop("g#v", *[f"g#{g}" for g in group])
     return out.withColumns({v: F.col(f"r#{v}") for v in columns}).drop(*[f"r#{v}" for v in columns])

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.rng import log_uniform, uniform
+from .ordering import exact_percentiles, join_groups, places
 
 
 def unpivot(df: DataFrame, ids: list[str], values: list[str], name: str = "feature", value: str = "value") -> DataFrame:
@@ -21,29 +22,24 @@ def unpivot(df: DataFrame, ids: list[str], values: list[str], name: str = "featu
 
 def _grouped(df: DataFrame, group: list[str], aggs: list[Column]) -> DataFrame:
     """Row-wise df with aggregates of its group; a small table of groups joins back, and Spark picks how."""
-    stats = df.groupBy(*group).agg(*aggs) if group else df.agg(*aggs)
-    if not group:
-        return df.crossJoin(F.broadcast(stats))  # one row
-    right = stats.select(*[F.col(g).alias(f"g#{g}") for g in group], *[c for c in stats.columns if c not in group])
-    cond = [df[g].eqNullSafe(right[f"g#{g}"]) for g in group]
-    joined = df.join(right, cond, "left")
-    return joined.drop(*[f"g#{g}" for g in group])
+    return join_groups(df, df.groupBy(*group).agg(*aggs), group)
 
 
-def clip_bounds(df: DataFrame, group: list[str], values: list[str], low: float = 0.01, high: float = 0.99, exact: bool = True) -> list[Column]:
-    """Aggregates lo#v and hi#v: linear-interpolated quantiles, or sketches of bounded size where exact is False."""
-    q = (lambda v: F.percentile(v, F.array(F.lit(low), F.lit(high)))) if exact else (lambda v: F.percentile_approx(v, [low, high], 10_000))
-    return [q(F.col(v)).alias(f"q#{v}") for v in values]
+def clip_bounds(df: DataFrame, group: list[str], values: list[str], low: float = 0.01, high: float = 0.99, exact: bool = True) -> DataFrame:
+    """(group, q#v: two quantiles of each value), interpolated linearly, or by sketches where exact is False."""
+    if exact:
+        return exact_percentiles(df, {f"q#{v}": F.col(v) for v in values}, (low, high), group)
+    return df.groupBy(*group).agg(*[F.percentile_approx(F.col(v), [low, high], 10_000).alias(f"q#{v}") for v in values])
 
 
 def clip_standardize(df: DataFrame, values: list[str], group: list[str] | None = None, *, exact: bool = True, floor: float = 1e-6) -> DataFrame:
     """df with each value clipped to its group's 1st and 99th percentiles, and then z-scored by population statistics.
 
-    Two aggregations: bounds, then mean and deviation of the clipped values.  exact=False bounds the memory of
-    the quantiles for very large groups.
+    Bounds first, exact in bounded memory (see ordering.exact_percentiles), then mean and deviation of the clipped values.
+    exact=False saves the second look at the values for the bounds.
     """
     group = group or []
-    bounded = _grouped(df, group, clip_bounds(df, group, values, exact=exact))
+    bounded = join_groups(df, clip_bounds(df, group, values, exact=exact), group)
     clipped = bounded.withColumns({v: F.least(F.greatest(F.col(v), F.col(f"q#{v}")[0]), F.col(f"q#{v}")[1]) for v in values}).drop(*[f"q#{v}" for v in values])
     stats = [x for v in values for x in (F.avg(v).alias(f"m#{v}"), F.greatest(F.stddev_pop(v), F.lit(floor)).alias(f"s#{v}"))]
     full = _grouped(clipped, group, stats)
@@ -184,8 +180,8 @@ def stratified_split(df: DataFrame, label: str, share: float, seed: int, *key: s
     take = F.col("base") + F.when((F.col("place") <= F.col("deficit")) & (F.col("base") < F.greatest(n - 1, F.lit(1))), 1).otherwise(0)
     right = classes.select(*[F.col(g).alias(f"g#{g}") for g in group], F.col(label).alias("g#label"), take.alias("g#take"))
     joined = df.join(right, [df[label].eqNullSafe(right["g#label"]), *[df[g].eqNullSafe(right[f"g#{g}"]) for g in group]])
-    w = Window.partitionBy(*group, label).orderBy(uniform(seed, "split", *key), *key)
-    return joined.withColumn("is_train", F.row_number().over(w) <= F.col("g#take")).drop("g#label", "g#take", *[f"g#{g}" for g in group])
+    placed = places(joined, uniform(seed, "split", *key), list(key), [*group, label], "place#")
+    return placed.withColumn("is_train", F.col("place#") < F.col("g#take")).drop("place#", "g#label", "g#take", *[f"g#{g}" for g in group])
 
 
 def split_classes_match(df: DataFrame, label: str, is_train: str, group: list[str]) -> DataFrame:
@@ -196,8 +192,7 @@ def split_classes_match(df: DataFrame, label: str, is_train: str, group: list[st
 
 def keyed_permutation(df: DataFrame, seed: int, *key: str, group: list[str]) -> DataFrame:
     """df with position: the row's place, from 0, in a seeded order of its group."""
-    w = Window.partitionBy(*group).orderBy(uniform(seed, "permutation", *key), *key)
-    return df.withColumn("position", F.row_number().over(w) - 1)
+    return places(df, uniform(seed, "permutation", *key), list(key), group)
 
 
 def bottom_k_sample(df: DataFrame, k: int, seed: int, *key: str) -> DataFrame:
