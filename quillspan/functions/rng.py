@@ -14,6 +14,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 SEED_MODULUS = 2**32 - 1
+#: What stands for a null part of a row's key.
+NULL_KEY = "~null~"
 
 
 def derive_seed(base: int, *path: object) -> int:
@@ -42,14 +44,14 @@ class SeedPath:
 
 
 def uniform(seed: int | str, path: str, *key: str | Column) -> Column:
-    """A uniform in [0, 1) of 32 bits for each row's key; integers and strings make keys that other engines repeat."""
-    parts = [F.lit(str(seed)), F.lit(path), *((F.col(k) if isinstance(k, str) else k).cast("string") for k in key)]
+    """A uniform in [0, 1) of 32 bits for each row's key; integers and strings make keys that other engines repeat. A null is a key of its own."""
+    parts = [F.lit(str(seed)), F.lit(path), *(F.coalesce((F.col(k) if isinstance(k, str) else k).cast("string"), F.lit(NULL_KEY)) for k in key)]
     return F.conv(F.substring(F.md5(F.concat_ws("|", *parts)), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
 
 
 def uniform_sql(seed: int | str, path: str, *key: str) -> str:
     """The same uniform in DuckDB's SQL."""
-    parts = ", ".join([f"'{seed}'", f"'{path}'", *(f"CAST({k} AS VARCHAR)" for k in key)])
+    parts = ", ".join([f"'{seed}'", f"'{path}'", *(f"coalesce(CAST({k} AS VARCHAR), '{NULL_KEY}')" for k in key)])
     return f"(CAST(('0x' || substr(md5(concat_ws('|', {parts})), 1, 8)) AS BIGINT) / 4294967296.0)"
 
 
