@@ -57,15 +57,15 @@ CORPUS = "(SELECT l_suppkey % 8 AS ds, * FROM lineitem)"
 LONG = f"(UNPIVOT (SELECT ds, l_quantity, l_extendedprice, l_discount, l_tax FROM {CORPUS}) ON l_quantity, l_extendedprice, l_discount, l_tax INTO NAME feature VALUE value)"
 
 
-def x64(spark: SparkSession, sf_dir: str, dims: int = 64) -> DataFrame:
+DIMS = 64
+
+
+def x64(spark: SparkSession, sf_dir: str) -> DataFrame:
     """embeddings as (vec_id, label, x) in doubles."""
-    e = table(spark, sf_dir, "embeddings")
-    v = F.col("embedding").cast("array<double>")
-    return e.select("vec_id", "label", (v if dims == 64 else F.slice(v, 1, dims)).alias("x"))
+    return table(spark, sf_dir, "embeddings").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("x"))
 
 
-def x_sql(dims: int = 64) -> str:
-    return f"(SELECT vec_id, label, embedding[1:{dims}]::DOUBLE[] AS x FROM embeddings)"
+X = "(SELECT vec_id, label, embedding::DOUBLE[] AS x FROM embeddings)"
 
 
 # ---- transforms
@@ -148,10 +148,8 @@ def mcar_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("WITH s AS (SELECT avg(o_totalprice) AS m, stddev_pop(o_totalprice) AS s FROM orders) SELECT o_orderkey, round(1.5 * (o_totalprice - m) / s, 6) AS logit, round(1 / (1 + exp(-1.5 * (o_totalprice - m) / s)), 6) AS p FROM orders, s")
 def mnar_logits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice")
-    s = o.agg(F.avg("o_totalprice").alias("m"), F.stddev_pop("o_totalprice").alias("s"))
-    z = 1.5 * (F.col("o_totalprice") - F.col("m")) / F.col("s")
-    return o.crossJoin(F.broadcast(s)).select("o_orderkey", r(z).alias("logit"), r(1 / (1 + F.exp(-z))).alias("p"))  # one row
+    out = postprocess.mnar_logits(table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice"), "o_totalprice", 1.5)
+    return out.select("o_orderkey", r("logit").alias("logit"), r("p").alias("p"))
 
 
 @query(f"""SELECT g, count(*) AS n_cells, sum(m)::BIGINT AS n_missing, round(sum(m) / count(*), 6) AS realized,
@@ -189,14 +187,14 @@ def activations_parametric(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").select("c_custkey", r(p["relu_pow"](x, 0.7), 5).alias("relu_pow"), r(p["signed_pow"](x, 0.7), 5).alias("signed_pow"), r(p["inv_pow"](x, 0.7), 4).alias("inv_pow"), r(p["poly"](x, 3.0), 5).alias("poly"))
 
 
-@query(f"""WITH e AS (SELECT vec_id, x, unnest(x) AS v, unnest(range(0, 8)) AS i FROM {x_sql(8)}),
+@query(f"""WITH e AS (SELECT vec_id, x, unnest(x) AS v, unnest(range(0, {DIMS})) AS i FROM {X}),
 w AS (SELECT vec_id, i, round(exp(v - max(v) OVER p) / sum(exp(v - m)) OVER p, 6) AS softmax, row_number() OVER (PARTITION BY vec_id ORDER BY v, i) AS rank, row_number() OVER (PARTITION BY vec_id ORDER BY v DESC, i) AS down
   FROM (SELECT *, max(v) OVER (PARTITION BY vec_id) AS m FROM e) WINDOW p AS (PARTITION BY vec_id))
 SELECT a.vec_id, a.i::INTEGER AS i, a.softmax, CASE WHEN a.down = 1 THEN 1.0 ELSE 0.0 END::DOUBLE AS onehot, b.i::INTEGER AS argsort, a.rank::INTEGER AS rank FROM w a JOIN w b ON a.vec_id = b.vec_id AND b.rank = a.i + 1""")
 def activations_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = F.col("x")
     z = F.arrays_zip(act.softmax(x).alias("softmax"), act.onehot_argmax(x).alias("onehot"), act.argsort(x).alias("argsort"), act.rank(x).alias("rank"))
-    out = x64(spark, sf_dir, 8).select("vec_id", F.posexplode(z).alias("i", "z"))
+    out = x64(spark, sf_dir).select("vec_id", F.posexplode(z).alias("i", "z"))
     return out.select("vec_id", "i", r("z.softmax").alias("softmax"), F.col("z.onehot").alias("onehot"), F.col("z.argsort").cast("int").alias("argsort"), F.col("z.rank").cast("int").alias("rank"))
 
 
@@ -234,10 +232,10 @@ def reservoir_bottom_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ---- mechanism functions
 
-_W = [round(((7 * i) % 11 - 5) / 5, 3) for i in range(8)]
-_CENTERS = [[round((((i + 1) * (j + 3)) % 7 - 3) / 10, 3) for j in range(8)] for i in range(5)]
+_W = [round(((7 * i) % 11 - 5) / 5, 3) for i in range(DIMS)]
+_CENTERS = [[round((((i + 1) * (j + 3)) % 7 - 3) / 10, 3) for j in range(DIMS)] for i in range(5)]
 _SIGMA = [1.0, 1.1, 0.9, 1.2, 0.8]
-_QM = [[round(((i * j + i + 2 * j) % 5 - 2) / 4, 3) for j in range(8)] for i in range(8)]
+_QM = [[round(((i * j + i + 2 * j) % 5 - 2) / 4, 3) for j in range(DIMS)] for i in range(DIMS)]
 
 
 def _list(v: list) -> str:
@@ -249,52 +247,52 @@ _CS = "(" + " UNION ALL ".join(f"SELECT {i} AS c, {_list(c)} AS y, {s}::DOUBLE A
 _LP = "list_sum(list_transform(list_zip(x, y), lambda z: pow(abs(z[1] - z[2]), {p})))"
 
 
-@query(f"SELECT vec_id, round({_DOT}, 5) AS y FROM {x_sql(8)}")
+@query(f"SELECT vec_id, round({_DOT}, 5) AS y FROM {X}")
 def linear_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return x64(spark, sf_dir, 8).select("vec_id", r(vec.linear(F.col("x"), _W), 5).alias("y"))
+    return x64(spark, sf_dir).select("vec_id", r(vec.linear(F.col("x"), _W), 5).alias("y"))
 
 
-@query("SELECT vec_id, round(" + " + ".join(f"x[{i + 1}] * list_dot_product(x, {_list(row)})" for i, row in enumerate(_QM)) + f", 5) AS y FROM {x_sql(8)}")
+@query("SELECT vec_id, round(" + " + ".join(f"x[{i + 1}] * list_dot_product(x, {_list(row)})" for i, row in enumerate(_QM)) + f", 5) AS y FROM {X}")
 def quadratic_form(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return x64(spark, sf_dir, 8).select("vec_id", r(vec.quadratic(F.col("x"), _QM), 5).alias("y"))
+    return x64(spark, sf_dir).select("vec_id", r(vec.quadratic(F.col("x"), _QM), 5).alias("y"))
 
 
 _G = f"(1 / (1 + exp(-({_DOT} + 0.3) * 2.0)))"
 
 
-@query(f"SELECT vec_id, round({_G} * sin({_DOT}) + (1 - {_G}) * {_DOT} * {_DOT}, 5) AS y FROM {x_sql(8)}")
+@query(f"SELECT vec_id, round({_G} * sin({_DOT}) + (1 - {_G}) * {_DOT} * {_DOT}, 5) AS y FROM {X}")
 def piecewise_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = F.col("d")
-    return x64(spark, sf_dir, 8).withColumn("d", vec.linear(F.col("x"), _W)).select("vec_id", r(vec.gate(d, F.sin(d), d * d, 2.0, 0.3), 5).alias("y"))
+    return x64(spark, sf_dir).withColumn("d", vec.linear(F.col("x"), _W)).select("vec_id", r(vec.gate(d, F.sin(d), d * d, 2.0, 0.3), 5).alias("y"))
 
 
-@query(f"SELECT vec_id, round(tanh({_DOT}) * x[1], 6) AS y FROM {x_sql(8)}")
+@query(f"SELECT vec_id, round(tanh({_DOT}) * x[1], 6) AS y FROM {X}")
 def product_fn(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return x64(spark, sf_dir, 8).select("vec_id", r(F.tanh(vec.linear(F.col("x"), _W)) * F.col("x")[0]).alias("y"))
+    return x64(spark, sf_dir).select("vec_id", r(F.tanh(vec.linear(F.col("x"), _W)) * F.col("x")[0]).alias("y"))
 
 
-@query(f"SELECT vec_id, c, round(pow({_LP.format(p=1.5)}, 1 / 1.5), 5) AS d FROM {x_sql(8)}, {_CS}")
+@query(f"SELECT vec_id, c, round(pow({_LP.format(p=1.5)}, 1 / 1.5), 5) AS d FROM {X}, {_CS}")
 def lp_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = [F.struct(F.lit(i).alias("c"), F.pow(vec.lp_power(F.col("x"), F.array(*map(F.lit, c)), 1.5), F.lit(1 / 1.5)).alias("d")) for i, c in enumerate(_CENTERS)]
-    return x64(spark, sf_dir, 8).select("vec_id", F.explode(F.array(*d)).alias("e")).select("vec_id", "e.c", r("e.d", 5).alias("d"))
+    return x64(spark, sf_dir).select("vec_id", F.explode(F.array(*d)).alias("e")).select("vec_id", "e.c", r("e.d", 5).alias("d"))
 
 
-@query(f"SELECT vec_id, arg_min(c, (d, c))::INTEGER AS center FROM (SELECT vec_id, c, {_LP.format(p=2)} AS d FROM {x_sql(8)}, {_CS}) GROUP BY vec_id")
+@query(f"SELECT vec_id, arg_min(c, (d, c))::INTEGER AS center FROM (SELECT vec_id, c, {_LP.format(p=2)} AS d FROM {X}, {_CS}) GROUP BY vec_id")
 def nearest_center(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return x64(spark, sf_dir, 8).select("vec_id", vec.nearest(F.col("x"), _CENTERS).alias("center"))
+    return x64(spark, sf_dir).select("vec_id", vec.nearest(F.col("x"), _CENTERS).alias("center"))
 
 
-@query(f"""WITH e AS (SELECT vec_id, c, exp(-0.5 * ln(2 * pi() * s * s) - pow(pow({_LP.format(p=2)}, 0.5) / s, 1.5)) AS w FROM {x_sql(8)}, {_CS})
+@query(f"""WITH e AS (SELECT vec_id, c, exp(-0.5 * ln(2 * pi() * s * s) - pow(pow({_LP.format(p=2)}, 0.5) / s, 1.5)) AS w FROM {X}, {_CS})
 SELECT vec_id, c::INTEGER AS c, round(w / sum(w) OVER (PARTITION BY vec_id), 6) AS share FROM e""")
 def em_soft_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = vec.soft_assignment(F.col("x"), _CENTERS, _SIGMA, 2.0, 1.5)
-    return x64(spark, sf_dir, 8).select("vec_id", F.posexplode(s).alias("c", "share")).withColumn("share", r("share"))
+    return x64(spark, sf_dir).select("vec_id", F.posexplode(s).alias("c", "share")).withColumn("share", r("share"))
 
 
-@query(f"SELECT (CASE WHEN x[1] > 0 THEN 1 ELSE 0 END + CASE WHEN x[3] > 0.05 THEN 2 ELSE 0 END + CASE WHEN x[5] > -0.05 THEN 4 ELSE 0 END)::INTEGER AS leaf, count(*) AS n FROM {x_sql(8)} GROUP BY leaf")
+@query(f"SELECT (CASE WHEN x[1] > 0 THEN 1 ELSE 0 END + CASE WHEN x[3] > 0.05 THEN 2 ELSE 0 END + CASE WHEN x[5] > -0.05 THEN 4 ELSE 0 END)::INTEGER AS leaf, count(*) AS n FROM {X} GROUP BY leaf")
 def odt_leaf_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = F.col("x")
-    return x64(spark, sf_dir, 8).groupBy(vec.leaf_index([x[0], x[2], x[4]], [0.0, 0.05, -0.05]).alias("leaf")).agg(F.count("*").alias("n"))
+    return x64(spark, sf_dir).groupBy(vec.leaf_index([x[0], x[2], x[4]], [0.0, 0.05, -0.05]).alias("leaf")).agg(F.count("*").alias("n"))
 
 
 @query("WITH b AS (SELECT min(p_retailprice) AS lo, max(p_retailprice) AS hi FROM part) SELECT p_partkey, round(1 - pow(1 - pow((p_retailprice - lo) / greatest(hi - lo, 1e-6), 0.7), 2.5), 6) AS warped FROM part, b")
@@ -305,13 +303,11 @@ def kumaraswamy_warp(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.crossJoin(F.broadcast(b)).select("p_partkey", r(vec.kumaraswamy(u, 0.7, 2.5)).alias("warped"))  # one row
 
 
-@query(f"""SELECT label, round(sum(v), 4) AS total, round(product(1 + v / 10), 5) AS product, round(max(v), 6) AS top, round(max(m) + ln(sum(exp(v - m))), 5) AS lse
-FROM (SELECT label, x[1] AS v, max(x[1]) OVER (PARTITION BY label) AS m FROM {x_sql()}) GROUP BY label""")
+@query(f"""SELECT label, i::INTEGER AS i, round(sum(v), 4) AS total, round(product(1 + v / 10), 5) AS product, round(max(v), 6) AS top, round(max(m) + ln(sum(exp(v - m))), 5) AS lse
+FROM (SELECT *, max(v) OVER (PARTITION BY label, i) AS m FROM (SELECT label, unnest(x) AS v, unnest(range({DIMS})) AS i FROM {X})) GROUP BY label, i""")
 def parent_aggregate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = x64(spark, sf_dir).select("label", F.col("x")[0].alias("v"))
-    top = e.groupBy("label").agg(F.max("v").alias("m"))
-    v = F.col("v")
-    return e.join(top, "label").groupBy("label").agg(r(F.sum(v), 4).alias("total"), r(F.product(1 + v / 10), 5).alias("product"), r(F.max(v)).alias("top"), r(F.max("m") + F.ln(F.sum(F.exp(v - F.col("m")))), 5).alias("lse"))
+    out = reshape.aggregate_parents(x64(spark, sf_dir), ["label"], "x", scale=10.0)
+    return out.select("label", "i", r("total", 4).alias("total"), r("product", 5).alias("product"), r("top").alias("top"), r("lse", 5).alias("lse"))
 
 
 # ---- profiles
@@ -326,9 +322,7 @@ def class_imbalance(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT g, count(*) AS n, count(DISTINCT label) AS n_classes, min(label) AS lo, max(label) AS hi, max(label) - min(label) + 1 = count(DISTINCT label) AS contiguous FROM (SELECT vec_id % 7 AS g, label FROM embeddings) GROUP BY g")
 def class_structure(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "embeddings").select((F.col("vec_id") % 7).alias("g"), "label")
-    k = F.count_distinct("label")
-    return e.groupBy("g").agg(F.count("*").alias("n"), k.alias("n_classes"), F.min("label").alias("lo"), F.max("label").alias("hi"), (F.max("label") - F.min("label") + 1 == k).alias("contiguous"))
+    return metrics.label_range(table(spark, sf_dir, "embeddings").select((F.col("vec_id") % 7).alias("g"), "label"), "label", ["g"])
 
 
 @query(f"SELECT ds, feature, cardinality FROM (UNPIVOT (SELECT ds, count(DISTINCT l_linenumber) AS l_linenumber, count(DISTINCT l_returnflag) AS l_returnflag, count(DISTINCT l_linestatus) AS l_linestatus FROM {CORPUS} GROUP BY ds) ON l_linenumber, l_returnflag, l_linestatus INTO NAME feature VALUE cardinality)")
@@ -511,6 +505,19 @@ def dag_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _edges(spark, sf_dir)
 
 
+def _cauchy_sql(path: str, *key: str) -> str:
+    return f"tan(pi() * ({uniform_sql(19, path, *key)} - 0.5))"
+
+
+@query(f"""WITH n AS (SELECT n_regionkey AS g, n_nationkey AS k FROM nation),
+e AS (SELECT a.g, a.k AS src, b.k AS dst, {_cauchy_sql("graph", "a.g")} + {_cauchy_sql("from", "a.g", "a.k")} + {_cauchy_sql("to", "a.g", "b.k")} + 0.7 AS z, {uniform_sql(19, "edge", "a.g", "a.k", "b.k")} AS u
+  FROM n a JOIN n b ON a.g = b.g AND a.k < b.k)
+SELECT g, src, dst FROM e WHERE u < 1 / (1 + exp(-greatest(-60.0, least(60.0, z))))""")
+def dag_cauchy_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes = table(spark, sf_dir, "nation").select(F.col("n_regionkey").alias("g"), F.col("n_nationkey").alias("k"))
+    return graphs.cauchy_edges(nodes, "k", ["g"], 0.7, 19)
+
+
 @query(f"SELECT count(*) AS n_edges, round(count(*) / 300, 6) AS density FROM {_EDGE}")
 def dag_density(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graphs.density(_edges(spark, sf_dir), 25).withColumn("density", r("density"))
@@ -567,8 +574,7 @@ def curated_semi_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT vec_id, len(embedding)::INTEGER AS width, round(embedding[1]::DOUBLE, 6) AS first, round(embedding[64]::DOUBLE, 6) AS last FROM embeddings")
 def packed_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = F.col("x")
-    cells = x64(spark, sf_dir).select("vec_id", F.posexplode("x").alias("i", "v"))
-    again = cells.groupBy("vec_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "v"))), lambda s: s["v"]).alias("x"))
+    again = packed.pack_cells(packed.unpack_cells(x64(spark, sf_dir).select("vec_id", "x"), ["vec_id"]), ["vec_id"])
     return again.select("vec_id", F.size(x).alias("width"), r(x[0]).alias("first"), r(x[63]).alias("last"))
 
 
@@ -591,17 +597,17 @@ def union_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.groupBy("split").agg(F.count("*").alias("n"), r(F.sum("o_totalprice"), 2).alias("total"))
 
 
-@query(f"WITH {_SPLIT} SELECT vec_id, is_train, round(x[1], 6) AS first FROM s JOIN {x_sql(1)} USING (vec_id)")
+@query(f"WITH {_SPLIT} SELECT vec_id, is_train, round(x[1], 6) AS first, round(list_sum(x), 5) AS total FROM s JOIN {X} USING (vec_id)")
 def split_gather(spark: SparkSession, sf_dir: str) -> DataFrame:
     where = postprocess.stratified_split(table(spark, sf_dir, "embeddings").select("vec_id", "label"), "label", 0.7, 5, "vec_id").drop("label")
-    return reshape.gather(x64(spark, sf_dir, 1), where, "vec_id").select("vec_id", "is_train", r(F.col("x")[0]).alias("first"))
+    return reshape.gather(x64(spark, sf_dir), where, "vec_id").select("vec_id", "is_train", r(F.col("x")[0]).alias("first"), r(F.aggregate("x", F.lit(0.0), lambda a, b: a + b), 5).alias("total"))
 
 
-@query(f"SELECT vec_id, len(x || y)::INTEGER AS width, round(list_sum(x || y), 5) AS total FROM {x_sql(8)} JOIN (SELECT o_orderkey AS vec_id, [o_totalprice / 1000] AS y FROM orders) USING (vec_id)")
+@query(f"SELECT vec_id, len(x || y)::INTEGER AS width, round(list_sum(x || y), 5) AS total FROM {X} JOIN (SELECT o_orderkey AS vec_id, [o_totalprice / 1000] AS y FROM orders) USING (vec_id)")
 def parent_concat(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("vec_id"), F.array(F.col("o_totalprice") / 1000).alias("x"))
     x = F.col("x")
-    return reshape.concat_parents([x64(spark, sf_dir, 8), o], "vec_id", "x").select("vec_id", F.size(x).alias("width"), r(F.aggregate(x, F.lit(0.0), lambda a, b: a + b), 5).alias("total"))
+    return reshape.concat_parents([x64(spark, sf_dir), o], "vec_id", "x").select("vec_id", F.size(x).alias("width"), r(F.aggregate(x, F.lit(0.0), lambda a, b: a + b), 5).alias("total"))
 
 
 @query("SELECT user_id, array_to_string(list_sort(list_filter(['click', 'purchase', 'view'], lambda k: NOT list_contains(ks, k))), ',') AS missing, array_to_string(list_sort(list_filter(ks, lambda k: NOT list_contains(['click', 'purchase', 'view', 'signup'], k))), ',') AS unknown FROM (SELECT user_id, list(DISTINCT event_type) AS ks FROM events GROUP BY user_id)")
@@ -614,8 +620,8 @@ def key_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT threshold FROM (SELECT round(l_discount, 2) AS threshold FROM lineitem UNION SELECT 0.95 UNION SELECT round(l_tax, 2) FROM lineitem)")
 def threshold_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     l = table(spark, sf_dir, "lineitem")
-    own = l.select(F.round("l_discount", 2).alias("threshold")).distinct().union(l.select(F.round("l_tax", 2)).distinct())
-    return own.union(spark.range(1).select(F.lit(0.95))).distinct()
+    own = [l.select(F.round(c, 2).alias("threshold")) for c in ("l_discount", "l_tax")]
+    return reshape.union_distinct([*own, spark.range(1).select(F.lit(0.95).alias("threshold"))])
 
 
 @query("SELECT p_partkey, p_size::DOUBLE AS size, round(p_retailprice, 4) AS price, NULL::DOUBLE AS beyond FROM part")
@@ -639,10 +645,10 @@ def group_boundaries(spark: SparkSession, sf_dir: str) -> DataFrame:
 _MAP = [5, 0, 3, 7]
 
 
-@query(f"SELECT vec_id, {', '.join(f'round(x[{i + 1}], 6) AS f{k}' for k, i in enumerate(_MAP))} FROM {x_sql(8)}")
+@query(f"SELECT vec_id, {', '.join(f'round(x[{i + 1}], 6) AS f{k}' for k, i in enumerate(_MAP))} FROM {X}")
 def feature_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = reshape.project_features("x", _MAP)
-    return x64(spark, sf_dir, 8).select("vec_id", *[r(x[k]).alias(f"f{k}") for k in range(len(_MAP))])
+    return x64(spark, sf_dir).select("vec_id", *[r(x[k]).alias(f"f{k}") for k in range(len(_MAP))])
 
 
 @query("SELECT o_custkey, count(*) AS n FROM orders WHERE o_custkey IN (SELECT DISTINCT o_custkey FROM orders ORDER BY o_custkey LIMIT 20) GROUP BY o_custkey")
@@ -698,10 +704,11 @@ def normalized_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(rows, "name string, share double").withColumn("share", r("share", 9))
 
 
-@query(f"""WITH e AS (SELECT vec_id, x, list_max(x) AS top FROM {x_sql(5)}), p AS (SELECT vec_id, list_transform(x, lambda v: exp(v - top)) AS w FROM e)
-SELECT vec_id, least(4, len(list_filter([w[1], w[1] + w[2], w[1] + w[2] + w[3], w[1] + w[2] + w[3] + w[4]], lambda c: c / list_sum(w) <= {uniform_sql(37, 'softmax label', 'vec_id')})))::INTEGER AS code FROM p""")
+@query(f"""WITH e AS (SELECT vec_id, unnest(list_transform(x, lambda v: exp(v - list_max(x)))) AS w, unnest(range({DIMS})) AS i FROM {X}),
+c AS (SELECT vec_id, sum(w) OVER (PARTITION BY vec_id ORDER BY i) / sum(w) OVER (PARTITION BY vec_id) AS upto FROM e)
+SELECT vec_id, least({DIMS - 1}, count(*) FILTER (upto <= {uniform_sql(37, 'softmax label', 'vec_id')}))::INTEGER AS code FROM c GROUP BY vec_id""")
 def softmax_converter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return x64(spark, sf_dir, 5).select("vec_id", vec.sampled_label(F.col("x"), uniform(37, "softmax label", "vec_id")).alias("code"))
+    return x64(spark, sf_dir).select("vec_id", vec.sampled_label(F.col("x"), uniform(37, "softmax label", "vec_id")).alias("code"))
 
 
 # ---- guardrails over metadata
@@ -882,13 +889,13 @@ def matrix_row_norms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kinds.mapInArrow(run, "kind string, norm double").groupBy("kind").agg(F.count("*").cast("int").alias("n_rows"), r(F.min("norm")).alias("least"), r(F.max("norm")).alias("most"))
 
 
-_GUMBEL_SQL = "[" + ", ".join(uniform_sql(7, f"gumbel/{i}", "vec_id") for i in range(4)) + "]"
+_GUMBEL_SQL = "[" + ", ".join(uniform_sql(7, f"gumbel/{i}", "vec_id") for i in range(DIMS)) + "]"
 
 
-@query(f"""WITH e AS (SELECT vec_id, unnest(range(4))::INTEGER AS i, unnest(x) AS v, unnest({_GUMBEL_SQL}) AS u FROM {x_sql(4)}),
+@query(f"""WITH e AS (SELECT vec_id, unnest(range({DIMS}))::INTEGER AS i, unnest(x) AS v, unnest({_GUMBEL_SQL}) AS u FROM {X}),
 z AS (SELECT vec_id, i, exp((v - ln(-ln(greatest(1e-9, least(1 - 1e-9, u))))) / 0.7) AS w FROM e)
 SELECT vec_id, i, round(w / sum(w) OVER (PARTITION BY vec_id), 6) AS share FROM z""")
 def gumbel_softmax(spark: SparkSession, sf_dir: str) -> DataFrame:
-    u = F.array(*(uniform(7, f"gumbel/{i}", "vec_id") for i in range(4)))
+    u = F.array(*(uniform(7, f"gumbel/{i}", "vec_id") for i in range(DIMS)))
     shares = act.gumbel_softmax(F.col("x"), u, 0.7)
-    return x64(spark, sf_dir, 4).select("vec_id", F.posexplode(shares).alias("i", "share")).withColumn("share", r("share"))
+    return x64(spark, sf_dir).select("vec_id", F.posexplode(shares).alias("i", "share")).withColumn("share", r("share"))

@@ -15,6 +15,20 @@ def bernoulli_edges(nodes: DataFrame, node: str, rate: float, seed: int) -> Data
     return a.join(b, F.col("src") < F.col("dst")).where(uniform(seed, "edge", "src", "dst") < rate)
 
 
+def cauchy_edges(nodes: DataFrame, node: str, group: list[str], bias: float, seed: int) -> DataFrame:
+    """(group, src, dst): edges of one random graph for each group, each with probability sigmoid(A + B_src + C_dst + bias), A, B and C Cauchy.
+
+    A is drawn for the graph, B and C for its nodes; the nodes of one graph are few, and graphs are spread.
+    """
+    cauchy = lambda path, *key: F.tan(F.lit(np.pi) * (uniform(seed, path, *key) - 0.5))
+    a = nodes.select(*group, F.col(node).alias("src"))
+    b = nodes.select(*[F.col(g).alias(f"g#{g}") for g in group], F.col(node).alias("dst"))
+    pairs = a.join(b, [*[F.col(g).eqNullSafe(F.col(f"g#{g}")) for g in group], F.col("src") < F.col("dst")])
+    z = cauchy("graph", *group) + cauchy("from", *group, "src") + cauchy("to", *group, "dst") + F.lit(float(bias))
+    p = 1 / (1 + F.exp(-F.greatest(F.lit(-60.0), F.least(F.lit(60.0), z))))
+    return pairs.where(uniform(seed, "edge", *group, "src", "dst") < p).select(*group, "src", "dst")
+
+
 def density(edges: DataFrame, n_nodes: int) -> DataFrame:
     return edges.agg(F.count("*").alias("n_edges")).withColumn("density", F.col("n_edges") / (n_nodes * (n_nodes - 1) / 2))
 

@@ -21,6 +21,12 @@ def class_structure(df: DataFrame, label: str, group: list[str]) -> DataFrame:
     return out.agg(F.count("*").alias("n_classes"), F.sum("t").alias("entropy"), (F.max("n") / F.min("n")).alias("imbalance"), F.sum("n").alias("n_rows"))
 
 
+def label_range(df: DataFrame, label: str, group: list[str]) -> DataFrame:
+    """(group, n, n_classes, lo, hi, contiguous): whether whole-number labels run from the least to the greatest without a gap."""
+    k = F.count_distinct(label)
+    return df.groupBy(*group).agg(F.count("*").alias("n"), k.alias("n_classes"), F.min(label).alias("lo"), F.max(label).alias("hi"), (F.max(label) - F.min(label) + 1 == k).alias("contiguous"))
+
+
 def categorical_cardinality(df: DataFrame, columns: list[str], group: list[str]) -> DataFrame:
     """(group, feature, cardinality): distinct non-null values of each column."""
     return df.groupBy(*group).agg(*[F.count_distinct(c).alias(c) for c in columns]).unpivot(group, columns, "feature", "cardinality")

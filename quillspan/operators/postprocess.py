@@ -146,6 +146,13 @@ def missing_mask(x: np.ndarray, mechanism: str, rate: float, rng: np.random.Gene
     return rng.random((n, d)) < p
 
 
+def mnar_logits(df: DataFrame, value: str, scale: float, group: list[str] | None = None) -> DataFrame:
+    """df with logit (scale times the value standardised in its group) and p, its sigmoid: how a value's own size hides it."""
+    full = _grouped(df, group or [], [F.avg(value).alias("m#"), F.greatest(F.stddev_pop(value), F.lit(1e-6)).alias("s#")])
+    out = full.withColumn("logit", F.lit(float(scale)) * (F.col(value) - F.col("m#")) / F.col("s#")).drop("m#", "s#")
+    return out.withColumn("p", 1 / (1 + F.exp(-F.col("logit"))))
+
+
 def inject_missing(rows: DataFrame, mechanism: str, rate: float, seed: int, *, observed: float = 0.5, scale: float = 1.0) -> DataFrame:
     """Packed rows (dataset_index, split, row_index, x, y) with NaN where values are hidden; each split on its own."""
     from ..functions.rng import SeedPath

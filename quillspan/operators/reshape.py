@@ -62,3 +62,21 @@ def project_features(vector: str, mapping: list[int]) -> Column:
 def first_datasets(df: DataFrame, k: int, key: str = "dataset_index") -> DataFrame:
     """The rows of the k least keys; only k keys leave the sort."""
     return df.join(df.select(key).distinct().orderBy(key).limit(k), key, "left_semi")
+
+
+def aggregate_parents(rows: DataFrame, group: list[str], vector: str, *, scale: float = 1.0) -> DataFrame:
+    """(group, i, total, product, top, lse): entry by entry, the sum, the product of 1 + x / scale, the greatest and the log of summed exponentials of a group's vectors.
+
+    Two partial aggregations: the greatest first, by which exponentials are then shifted.
+    """
+    cells = rows.select(*group, F.posexplode(vector).alias("i", "v"))
+    keys = [*group, "i"]
+    top = cells.groupBy(*keys).agg(F.max("v").alias("m"))
+    shifted = cells.join(top, keys)
+    v, m = F.col("v"), F.col("m")
+    return shifted.groupBy(*keys).agg(F.sum(v).alias("total"), F.product(1 + v / F.lit(scale)).alias("product"), F.max(v).alias("top"), (F.max(m) + F.ln(F.sum(F.exp(v - m)))).alias("lse"))
+
+
+def union_distinct(parts: list[DataFrame]) -> DataFrame:
+    """The rows of all parts, each once; each part is thinned before rows are moved."""
+    return reduce(lambda a, b: a.unionByName(b), [p.distinct() for p in parts]).distinct()

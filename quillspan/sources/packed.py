@@ -56,6 +56,16 @@ def read_records(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
 
 
+def unpack_cells(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, i, v): the entries of the rows' vectors."""
+    return rows.select(*keys, F.posexplode("x").alias("i", "v"))
+
+
+def pack_cells(cells: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, x): entries put together in order; a row's entries are few."""
+    return cells.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "v"))), lambda s: s["v"]).alias("x"))
+
+
 def contiguity(rows: DataFrame, group: list[str], index: str) -> DataFrame:
     """(group, n, contiguous): whether row numbers run from 0 without gap or repeat; one aggregation."""
     ok = (F.min(index) == 0) & (F.max(index) == F.count("*") - 1) & (F.count_distinct(index) == F.count("*"))
