@@ -54,18 +54,22 @@ PARAMETRIC: dict[str, Callable[[Column, float], Column]] = {
 }
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with value computed once a row, however often it is used, also within lambdas."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def softmax(v: Column) -> Column:
     """Softmax over an array."""
-    top = F.array_max(v)
-    e = F.transform(v, lambda x: F.exp(x - top))
-    total = F.aggregate(F.transform(v, lambda x: F.exp(x - top)), F.lit(0.0), lambda a, x: a + x)
-    return F.transform(e, lambda x: x / total)
+    add = lambda x: F.aggregate(x, F.lit(0.0), lambda a, b: a + b)
+    shifted = lambda x: once(F.array_max(x), lambda top: F.transform(x, lambda y: F.exp(y - top)))
+    return once(v, lambda x: once(shifted(x), lambda e: once(add(e), lambda total: F.transform(e, lambda y: y / total))))
 
 
 def onehot_argmax(v: Column) -> Column:
     """1 at the first greatest entry, 0 elsewhere."""
-    at = F.array_position(v, F.array_max(v)).cast("int") - 1
-    return F.transform(v, lambda _, i: (i == at).cast("double"))
+    place = lambda x: F.array_position(x, F.array_max(x)).cast("int") - 1
+    return once(v, lambda x: once(place(x), lambda at: F.transform(x, lambda _, i: (i == at).cast("double"))))
 
 
 def argsort(v: Column) -> Column:
