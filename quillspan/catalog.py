@@ -17,7 +17,7 @@ from .functions.rng import SeedPath, component, laplace, log_uniform, mixture_no
 from .operators import audit, coverage, extra_trees, gates, generate, graphs, metrics, postprocess, reshape
 from .plans.config import Config
 from .plans.sampling import FAMILY_LOGITS, Layout, family_probabilities, plan_rows, sample_layout, sample_plan
-from .sources import packed
+from .sources import lineage, packed
 from .streaming.coverage import windowed_coverage
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -899,3 +899,26 @@ def gumbel_softmax(spark: SparkSession, sf_dir: str) -> DataFrame:
     u = F.array(*(uniform(7, f"gumbel/{i}", "vec_id") for i in range(DIMS)))
     shares = act.gumbel_softmax(F.col("x"), u, 0.7)
     return x64(spark, sf_dir).select("vec_id", F.posexplode(shares).alias("i", "share")).withColumn("share", r("share"))
+
+
+_BROKEN = [
+    ("schema_name", 2), ("schema_version", 3), ("graph.n_nodes", 5), ("graph.edge_count", 7), ("graph.adjacency_ref.encoding", 11), ("graph.adjacency_ref.blob_path", 13), ("graph.adjacency_ref.bit_offset", 17),
+    ("graph.adjacency_ref.bit_length", 19), ("graph.adjacency_ref.sha256", 23), ("assignments.feature_to_node", 29), ("assignments.target_to_node", 31),
+]
+
+
+@query("SELECT problem, count(*) AS n FROM (SELECT CASE " + " ".join(f"WHEN o_orderkey % {m} = 1 THEN '{name}'" for name, m in _BROKEN) + " END AS problem FROM orders) GROUP BY problem")
+def lineage_schema_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records of graphs, each broken in the fields that its key picks: the first broken field is named."""
+    off = {name: F.col("o_orderkey") % m == 1 for name, m in _BROKEN}
+    n = F.when(off["graph.n_nodes"], 1).otherwise(6)
+    ref = F.struct(
+        F.when(off["graph.adjacency_ref.encoding"], "dense").otherwise(lineage.ENCODING).alias("encoding"), F.when(off["graph.adjacency_ref.blob_path"], "  ").otherwise("lineage/blobs").alias("blob_path"), F.lit("lineage/index").alias("index_path"),
+        F.col("o_orderkey").alias("dataset_index"), F.when(off["graph.adjacency_ref.bit_offset"], 12).otherwise(16).cast("long").alias("bit_offset"), F.when(off["graph.adjacency_ref.bit_length"], 14).otherwise(n * (n - 1) / 2).cast("long").alias("bit_length"),
+        F.when(off["graph.adjacency_ref.sha256"], "abc").otherwise(F.sha2(F.col("o_orderkey").cast("string"), 256)).alias("sha256"),
+    )
+    graph = F.struct(n.alias("n_nodes"), F.lit(None).cast("array<array<int>>").alias("adjacency"), F.when(off["graph.edge_count"], 16).otherwise(5).cast("long").alias("edge_count"), ref.alias("adjacency_ref"))
+    nodes = F.struct(F.array(F.lit(0), F.when(off["assignments.feature_to_node"], 6).otherwise(5)).alias("feature_to_node"), F.when(off["assignments.target_to_node"], -1).otherwise(2).alias("target_to_node"))
+    record = F.struct(F.when(off["schema_name"], "other").otherwise(lineage.SCHEMA_NAME).alias("schema_name"), F.when(off["schema_version"], "2").otherwise(lineage.COMPACT).alias("schema_version"), graph.alias("graph"), nodes.alias("assignments"))
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", record.alias("record"))
+    return rows.select(lineage.problem(F.col("record")).alias("problem")).groupBy("problem").agg(F.count("*").alias("n"))

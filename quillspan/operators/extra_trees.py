@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import heapq
+from itertools import count
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -9,10 +12,8 @@ from pyspark.sql import DataFrame
 from ..functions.rng import SeedPath
 
 
-def grow(x: np.ndarray, y: np.ndarray, rng: np.random.Generator, depth: int, tries: int) -> list:
-    """A tree as nested [feature, threshold, left, right] or a mean: the best of ``tries`` random splits at each node."""
-    if depth == 0 or len(x) < 2 or (y == y[0]).all():
-        return y.mean(axis=0)
+def _best_split(x: np.ndarray, y: np.ndarray, rng: np.random.Generator, tries: int, leaf: int) -> tuple | None:
+    """(loss, feature, threshold, left) of the best of ``tries`` random splits that leave ``leaf`` rows or more on each side."""
     best = None
     for f in rng.permutation(x.shape[1])[:tries]:
         lo, hi = x[:, f].min(), x[:, f].max()
@@ -21,15 +22,59 @@ def grow(x: np.ndarray, y: np.ndarray, rng: np.random.Generator, depth: int, tri
         t = rng.uniform(lo, hi)
         left = x[:, f] <= t
         n = int(left.sum())
-        if not 0 < n < len(x):
+        if min(n, len(x) - n) < max(1, leaf):
             continue
         loss = y[left].var(axis=0).sum() * n + y[~left].var(axis=0).sum() * (len(x) - n)
         if best is None or loss < best[0]:
             best = (loss, f, t, left)
+    return best
+
+
+def grow(x: np.ndarray, y: np.ndarray, rng: np.random.Generator, depth: int, tries: int, leaf: int = 1, leaves: int | None = None) -> list:
+    """A tree as nested [feature, threshold, left, right] or a mean: the best of ``tries`` random splits at each node.
+
+    With ``leaves`` the node whose split saves most is split first, until there are so many leaves; else all are, down to ``depth``.
+    """
+    if leaves is not None:
+        return _grow_best_first(x, y, rng, depth, tries, leaf, leaves)
+    if depth == 0 or len(x) < 2 * max(1, leaf) or (y == y[0]).all():
+        return y.mean(axis=0)
+    best = _best_split(x, y, rng, tries, leaf)
     if best is None:
         return y.mean(axis=0)
     _, f, t, left = best
-    return [f, t, grow(x[left], y[left], rng, depth - 1, tries), grow(x[~left], y[~left], rng, depth - 1, tries)]
+    return [f, t, *(grow(x[side], y[side], rng, depth - 1, tries, leaf) for side in (left, ~left))]
+
+
+def _grow_best_first(x: np.ndarray, y: np.ndarray, rng: np.random.Generator, depth: int, tries: int, leaf: int, leaves: int) -> list:
+    def look(at: np.ndarray, deep: int, put) -> None:
+        own = y[at]
+        if deep and len(at) >= 2 * max(1, leaf) and not (own == own[0]).all() and (best := _best_split(x[at], own, rng, tries, leaf)):
+            heapq.heappush(todo, (best[0] - own.var(axis=0).sum() * len(at), next(number), at, deep, best, put))
+
+    todo: list[tuple] = []
+    number, root = count(), [y.mean(axis=0)]
+    look(np.arange(len(x)), depth, lambda node: root.__setitem__(0, node))
+    made = 1
+    while todo and made < leaves:
+        _, _, at, deep, (_, f, t, left), put = heapq.heappop(todo)
+        node = [f, t, y[at[left]].mean(axis=0), y[at[~left]].mean(axis=0)]
+        put(node)
+        made += 1
+        for place, side in ((2, left), (3, ~left)):
+            look(at[side], deep - 1, lambda child, node=node, place=place: node.__setitem__(place, child))
+    return root[0]
+
+
+def features_tried(setting: str | int | float, n: int, classes: bool) -> int:
+    """Features that a split tries: auto (the root of their number for classes, else all), sqrt, log2, a number, or a share."""
+    if setting == "auto":
+        setting = "sqrt" if classes else 1.0
+    if setting in ("sqrt", "log2"):
+        return max(1, int(np.sqrt(n) if setting == "sqrt" else np.log2(n)))
+    if isinstance(setting, bool) or not isinstance(setting, (int, float)) or setting <= 0:
+        raise ValueError(f"max_features: {setting!r}")
+    return min(n, max(1, setting if isinstance(setting, int) else int(setting * n)))
 
 
 def predict(tree, x: np.ndarray, out: np.ndarray, at: np.ndarray) -> None:
@@ -46,13 +91,13 @@ def threshold_for(requested: float, n_classes: int) -> float:
     return min(requested, max(requested - relax, 0.80))
 
 
-def judge(x: np.ndarray, y: np.ndarray, task: str, rng: np.random.Generator, *, trees: int = 25, depth: int = 6, bootstraps: int = 200, threshold: float = 0.95) -> dict:
+def judge(x: np.ndarray, y: np.ndarray, task: str, rng: np.random.Generator, *, trees: int = 25, depth: int = 6, bootstraps: int = 200, threshold: float = 0.95, leaf: int = 1, leaves: int | None = None, max_features: str | int | float = "auto") -> dict:
     """wins_ratio, threshold, accepted and reason: the share of bootstraps of out-of-bag rows in which the forest beats the mean."""
     x, n = np.nan_to_num(x), len(x)
     k = len(np.unique(y)) if task == "classification" else 0
     t = np.eye(k)[np.unique(y, return_inverse=True)[1]] if k else y[:, None].astype(float)
     limit = threshold_for(threshold, k) if k else threshold
-    tries = max(1, int(np.sqrt(x.shape[1])) if k else x.shape[1])
+    tries = features_tried(max_features, x.shape[1], bool(k))
     total, seen = np.zeros_like(t), np.zeros(n)
     for _ in range(trees):
         bag = rng.integers(n, size=n)
@@ -60,7 +105,7 @@ def judge(x: np.ndarray, y: np.ndarray, task: str, rng: np.random.Generator, *,
         if not len(out):
             continue
         p = np.zeros_like(t)
-        predict(grow(x[bag], t[bag], rng, depth, tries), x, p, out)
+        predict(grow(x[bag], t[bag], rng, depth, tries, leaf, leaves), x, p, out)
         total[out] += p[out]
         seen[out] += 1
     ok = seen > 0

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -98,6 +99,11 @@ def snr_proxy_db(x_tr: np.ndarray, y_tr: np.ndarray, x: np.ndarray, y: np.ndarra
 
 
 PROFILE = "dataset_index long, metric string, value double"
+#: The metrics of a profile.
+METRICS = (
+    "n_rows", "n_features", "linearity_proxy", "snr_proxy_db", "pearson_abs_mean", "pearson_abs_max", "spearman_abs_mean", "spearman_abs_max", "wins_ratio_proxy", "nonlinearity_proxy",
+    "n_categorical_features", "categorical_ratio", "cat_cardinality_min", "cat_cardinality_mean", "cat_cardinality_max", "n_classes", "class_entropy", "majority_minority_ratio",
+)
 
 
 def _pair_summary(x: np.ndarray) -> tuple[float, float] | None:
@@ -117,27 +123,39 @@ def _mean_ranks(x: np.ndarray) -> np.ndarray:
     return out
 
 
-def profile_datasets(rows: DataFrame, task: str, seed: int, *, kinds: tuple[str, ...] | None = None, spearman: bool = False, forest: bool = False) -> DataFrame:
+def profile_datasets(rows: DataFrame, task: str, seed: int, *, kinds: tuple[str, ...] | None = None, spearman: bool = False, forest: bool = False, only: frozenset[str] | None = None) -> DataFrame:
     """(dataset_index, metric, value) of packed rows: sizes, linearity and signal proxies, correlations, class measures.
 
     kinds adds counts and cardinalities of the categorical features, spearman rank correlations, and
-    forest the extra trees' wins ratio and what of it the linear fit leaves (both costly).
+    forest the extra trees' wins ratio and what of it the linear fit leaves (both costly).  ``only`` names the metrics asked for:
+    nothing else is computed that they do not need.  Splits of different widths, or rows without a label, are errors.
     """
+    if only is not None and (unknown := set(only) - set(METRICS)):
+        raise ValueError(f"unknown metrics {sorted(unknown)}")
+    wanted = lambda *names: only is None or bool(only & set(names))
+    spearman = (spearman if only is None else wanted("spearman_abs_mean", "spearman_abs_max"))
+    forest = (forest if only is None else wanted("wins_ratio_proxy", "nonlinearity_proxy"))
 
     def one(key: tuple, table: pa.Table) -> pa.Table:
         index = key[0].as_py()
         order = np.lexsort((table.column("row_index").to_numpy(), np.array(table.column("split").to_pylist())))
         table = table.take(order)
-        raw = np.array(table.column("x").to_pylist(), dtype=np.float64)
+        width = pa.compute.list_value_length(table.column("x"))
+        if table.column("y").null_count or len(pa.compute.unique(width)) > 1 or width.null_count:
+            raise ValueError(f"dataset {index}: rows of different widths, or without features or a label")
+        column = table.column("x").combine_chunks()
+        raw = column.flatten().to_numpy().astype(np.float64).reshape(len(column), -1)
         x = np.nan_to_num(raw)
         y, train = table.column("y").to_numpy(), np.array(table.column("split").to_pylist()) == "train"
         t = _targets(y, task)
         rng = (SeedPath(seed) / "profile" / index).generator()
         out = {"n_rows": float(len(x)), "n_features": float(x.shape[1])}
         if train.any() and not train.all():
-            out["linearity_proxy"] = linearity_proxy(x[train], t[train], x[~train], t[~train], rng)
-            out["snr_proxy_db"] = snr_proxy_db(x[train], t[train], x, t)
-        for name, v in (("pearson", x), *([("spearman", _mean_ranks(x))] if spearman else [])):
+            if wanted("linearity_proxy", "nonlinearity_proxy"):
+                out["linearity_proxy"] = linearity_proxy(x[train], t[train], x[~train], t[~train], rng)
+            if wanted("snr_proxy_db"):
+                out["snr_proxy_db"] = snr_proxy_db(x[train], t[train], x, t)
+        for name, v in (*([("pearson", x)] if wanted("pearson_abs_mean", "pearson_abs_max") else []), *([("spearman", _mean_ranks(x))] if spearman else [])):
             if x.shape[1] > 1 and (pair := _pair_summary(v)):
                 out |= {f"{name}_abs_mean": pair[0], f"{name}_abs_max": pair[1]}
         if forest:
@@ -155,6 +173,7 @@ def profile_datasets(rows: DataFrame, task: str, seed: int, *, kinds: tuple[str,
             n = np.bincount(y.astype(int))
             p = n[n > 0] / n.sum()
             out |= {"n_classes": float(len(p)), "class_entropy": float(-(p * np.log(p)).sum()), "majority_minority_ratio": float(p.max() / p.min())}
+        out = {k: v for k, v in out.items() if wanted(k)}
         return pa.table({"dataset_index": pa.array([index] * len(out), pa.int64()), "metric": list(out), "value": pa.array(list(out.values()), pa.float64())})
 
     return rows.groupBy("dataset_index").applyInArrow(one, PROFILE)

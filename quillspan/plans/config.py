@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import copy
 import dataclasses
 import math
 from dataclasses import dataclass, field
@@ -11,6 +12,7 @@ import numpy as np
 TASKS = ("classification", "regression")
 MECHANISMS = ("none", "mcar", "mar", "mnar")
 NOISES = ("gaussian", "laplace", "student_t", "mixture")
+SUITES = ("smoke", "standard")
 SHIFT_MODES = ("off", "graph_drift", "mechanism_drift", "noise_drift", "mixed", "custom")
 
 
@@ -85,8 +87,10 @@ class Dataset:
     n_test: int = 256
     rows: object = None
     n_features_min: int = 16
-    n_features_max: int = 48
-    categorical_ratio: float = 0.35
+    n_features_max: int = 64
+    categorical_ratio: float | None = None
+    categorical_ratio_min: float = 0.0
+    categorical_ratio_max: float = 1.0
     max_cardinality: int = 9
     n_classes_min: int = 2
     n_classes_max: int = 10
@@ -137,8 +141,23 @@ class Filter:
     enabled: bool = False
     n_estimators: int = 25
     max_depth: int = 6
+    min_samples_leaf: int = 1
+    max_leaf_nodes: int | None = None
+    max_features: str | int | float = "auto"
     n_bootstrap: int = 200
     threshold: float = 0.95
+    max_attempts: int = 3
+
+
+@dataclass
+class Benchmark:
+    suite: str = "standard"
+    num_datasets: int = 2000
+    warmup_datasets: int = 25
+    warn_threshold_pct: float = 10.0
+    fail_threshold_pct: float = 20.0
+    latency_num_samples: int = 20
+    presets: dict[str, dict] = field(default_factory=lambda: {"rows1024": {"rows": 1024}, "rows4096": {"rows": 4096}, "rows8192": {"rows": 8192}})
 
 
 @dataclass
@@ -157,6 +176,7 @@ class Config:
     noise: Noise = field(default_factory=Noise)
     diagnostics: Diagnostics = field(default_factory=Diagnostics)
     filter: Filter = field(default_factory=Filter)
+    benchmark: Benchmark = field(default_factory=Benchmark)
     output: Output = field(default_factory=Output)
 
     @classmethod
@@ -193,8 +213,12 @@ class Config:
         d.task = closed(d.task, TASKS, "dataset.task")
         d.missing_mechanism = closed(d.missing_mechanism, MECHANISMS, "dataset.missing_mechanism")
         d.rows = RowsSpec.parse(d.rows)
-        for name in ("categorical_ratio", "missing_rate", "mar_observed_fraction"):
-            within(getattr(d, name), 0, 1, f"dataset.{name}")
+        for name in ("categorical_ratio", "categorical_ratio_min", "categorical_ratio_max", "missing_rate", "mar_observed_fraction"):
+            if getattr(d, name) is not None:
+                within(getattr(d, name), 0, 1, f"dataset.{name}")
+        within(d.categorical_ratio_max, d.categorical_ratio_min, 1, "dataset.categorical_ratio_max")
+        if d.missing_rate > 0 and d.missing_mechanism == "none":
+            raise ConfigError("dataset.missing_rate asks for a mechanism")
         within(d.n_classes_min, 2, 32, "dataset.n_classes_min")
         within(d.n_classes_max, d.n_classes_min, 32, "dataset.n_classes_max")
         within(d.max_cardinality, 2, 10**6, "dataset.max_cardinality")
@@ -209,6 +233,20 @@ class Config:
         for name in ("graph_scale", "mechanism_scale", "variance_scale"):
             if getattr(self.shift, name) is not None:
                 within(getattr(self.shift, name), 0, 1, f"shift.{name}")
+        b, f = self.benchmark, self.filter
+        b.suite = closed(b.suite, SUITES, "benchmark.suite")
+        within(b.num_datasets, 1, 10**9, "benchmark.num_datasets")
+        within(b.warmup_datasets, 0, 10**9, "benchmark.warmup_datasets")
+        within(b.warn_threshold_pct, 0, 1e6, "benchmark.warn_threshold_pct")
+        within(b.fail_threshold_pct, b.warn_threshold_pct, 1e6, "benchmark.fail_threshold_pct")
+        for name in ("n_estimators", "max_depth", "min_samples_leaf", "n_bootstrap", "max_attempts"):
+            within(getattr(f, name), 1, 10**6, f"filter.{name}")
+        if f.max_leaf_nodes is not None:
+            within(f.max_leaf_nodes, 2, 10**6, "filter.max_leaf_nodes")
+        within(f.threshold, 0, 1, "filter.threshold")
+        if isinstance(f.max_features, str):
+            f.max_features = closed(f.max_features, ("auto", "sqrt", "log2"), "filter.max_features")
+        within(self.output.shard_size, 1, 10**9, "output.shard_size")
         within(self.diagnostics.histogram_bins, 1, 10**6, "diagnostics.histogram_bins")
         self.diagnostics.quantiles = tuple(sorted({float(q) for q in self.diagnostics.quantiles if 0 <= q <= 1}))
         for k, (lo, hi) in self.diagnostics.target_bands.items():
@@ -238,17 +276,85 @@ def resolve(base: Config, *layers: tuple[str, dict]) -> tuple[Config, list[dict]
     return Config.from_dict(data), trace
 
 
+@dataclass(frozen=True)
+class Hardware:
+    """What a session offers: task slots, and bytes of memory of an executor."""
+
+    slots: int
+    executor_bytes: int
+
+    @classmethod
+    def of(cls, spark) -> Hardware:
+        conf = spark.sparkContext.getConf()
+        text = conf.get("spark.executor.memory", conf.get("spark.driver.memory", "1g")).strip().lower().removesuffix("b")
+        unit = {"k": 1 << 10, "m": 1 << 20, "g": 1 << 30, "t": 1 << 40}.get(text[-1:], 1)
+        return cls(spark.sparkContext.defaultParallelism, int(float(text.rstrip("kmgt")) * unit))
+
+
+def fill_slots(config: Config, hardware: Hardware) -> Config:
+    """At least as many benchmark datasets as there are task slots, and a shard for each slot where datasets are few."""
+    b, o = config.benchmark, config.output
+    b.num_datasets = max(b.num_datasets, hardware.slots)
+    o.shard_size = max(1, min(o.shard_size, -(-b.num_datasets // max(1, hardware.slots))))
+    return config
+
+
+def fit_memory(config: Config, hardware: Hardware) -> Config:
+    """Rows such that a dataset's values, some sixty copies of them in doubles, take no more than a quarter of an executor's memory for each slot."""
+    d = config.dataset
+    most = max(64, hardware.executor_bytes // 4 // max(1, hardware.slots) // (8 * 60 * max(1, d.n_features_max)))
+    total = d.n_train + d.n_test
+    if total > most:
+        d.n_train, d.n_test = max(1, most * d.n_train // total), max(1, most * d.n_test // total)
+    return config
+
+
 #: Named changes of a configuration by the hardware at hand.
-POLICIES: dict = {"none": lambda config: config}
+POLICIES: dict = {"none": lambda config, hardware: config, "fill_slots": fill_slots, "fit_memory": fit_memory}
 
 
-def register_policy(name: str, change) -> None:
-    if name in POLICIES:
-        raise ConfigError(f"policy {name!r} exists")
-    POLICIES[name] = change
+def register_policy(name: str, change, *, overwrite: bool = False) -> None:
+    """Adds a policy, a function of a configuration and a Hardware."""
+    clean = str(name).strip().lower()
+    if not clean or clean in POLICIES and not overwrite:
+        raise ConfigError(f"policy {name!r} exists or has no name")
+    POLICIES[clean] = change
 
 
-def apply_policy(name: str, config: Config) -> Config:
-    if name not in POLICIES:
+def apply_policy(name: str, config: Config, hardware: Hardware | None = None) -> Config:
+    """The configuration as a policy leaves a copy of it, validated again."""
+    clean = str(name).strip().lower()
+    if clean not in POLICIES:
         raise ConfigError(f"unknown policy {name!r}")
-    return POLICIES[name](config).validated()
+    made = POLICIES[clean](copy.deepcopy(config), hardware or Hardware(1, 1 << 30))
+    if not isinstance(made, Config):
+        raise TypeError(f"policy {name!r} made no configuration")
+    return made.validated()
+
+
+#: What the smoke suite caps.
+SMOKE = {"num_datasets": 25, "warmup_datasets": 5, "n_train": 256, "n_test": 128, "n_features_max": 24, "n_nodes_max": 16}
+
+
+def suite_presets(config: Config, suite: str | None = None) -> dict[str, Config]:
+    """The configurations of a benchmark suite by preset: its rows, split as the configuration's, capped for smoke."""
+    out = {}
+    for name, change in sorted(config.benchmark.presets.items()):
+        own = copy.deepcopy(config)
+        own.benchmark.suite = suite or own.benchmark.suite
+        d, b = own.dataset, own.benchmark
+        unknown = set(change) - {"rows", "num_datasets", "warmup_datasets"}
+        if unknown:
+            raise ConfigError(f"benchmark.presets.{name}: unknown keys {sorted(unknown)}")
+        b.num_datasets, b.warmup_datasets = change.get("num_datasets", b.num_datasets), change.get("warmup_datasets", b.warmup_datasets)
+        if "rows" in change:
+            share = d.n_train / (d.n_train + d.n_test)
+            d.n_train, d.rows = max(1, round(change["rows"] * share)), None
+            d.n_test = change["rows"] - d.n_train
+        if b.suite == "smoke":
+            b.num_datasets, b.warmup_datasets = min(b.num_datasets, SMOKE["num_datasets"]), min(b.warmup_datasets, SMOKE["warmup_datasets"])
+            d.n_train, d.n_test, d.rows = min(d.n_train, SMOKE["n_train"]), min(d.n_test, SMOKE["n_test"]), None
+            d.n_features_max = max(d.n_features_min, min(d.n_features_max, SMOKE["n_features_max"]))
+            own.graph.n_nodes_max = max(own.graph.n_nodes_min, min(own.graph.n_nodes_max, SMOKE["n_nodes_max"]))
+        out[name] = own.validated()
+    return out

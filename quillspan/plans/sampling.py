@@ -85,7 +85,8 @@ def sample_dag(rng: np.random.Generator, n: int, edge_bias: float = 0.0) -> list
 def sample_layout(config: Config, seeds: SeedPath) -> Layout:
     d, rng = config.dataset, (seeds / "layout").generator()
     n = int(rng.integers(d.n_features_min, d.n_features_max + 1))
-    cats = set(rng.permutation(n)[: round(d.categorical_ratio * n)].tolist())
+    ratio = d.categorical_ratio if d.categorical_ratio is not None else rng.uniform(d.categorical_ratio_min, d.categorical_ratio_max)
+    cats = set(rng.permutation(n)[: round(ratio * n)].tolist())
     kinds = tuple("cat" if i in cats else "num" for i in range(n))
     cards = tuple(log_u_int(rng, 2, d.max_cardinality) if k == "cat" else 0 for k in kinds)
     classes = int(rng.integers(d.n_classes_min, d.n_classes_max + 1)) if d.task == "classification" else 0

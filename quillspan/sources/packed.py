@@ -40,6 +40,54 @@ def write_packed(rows: DataFrame, meta: DataFrame | Callable[[DataFrame], DataFr
     write_records(meta.withColumn("shard", shard), f"{path}/metadata")
 
 
+def _listing(spark: SparkSession, path: str) -> list[tuple[str, bool, int]]:
+    """(name, is a folder, bytes) of what lies in a folder of any store; none if there is no such folder."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return sorted((s.getPath().getName(), s.isDirectory(), s.getLen()) for s in fs.listStatus(where)) if fs.exists(where) else []
+
+
+def find_shards(spark: SparkSession, path: str) -> list[int]:
+    """The shards of a corpus, in order.  A corpus without any, a folder of another name, or a shard without both splits is an error."""
+    out = []
+    for name, folder, _ in _listing(spark, f"{path}/rows"):
+        if not folder:
+            continue  # markers of the writer
+        head, _, number = name.partition("=")
+        if head != "shard" or not number.isdigit():
+            raise ValueError(f"{path}/rows/{name} is no shard")
+        splits = {n for n, is_folder, _ in _listing(spark, f"{path}/rows/{name}") if is_folder}
+        if splits != {"split=train", "split=test"}:
+            raise ValueError(f"shard {number} holds {sorted(splits) or 'no split'}")
+        out.append(int(number))
+    if not out:
+        raise ValueError(f"no shards in {path}")
+    return sorted(out)
+
+
+def schema_problems(df: DataFrame, required: dict[str, str], optional: dict[str, str] | None = None) -> list[str]:
+    """What a table's columns lack against a schema of names and types: missing ones, wrong types, and unknown ones, in order."""
+    have, known = dict(df.dtypes), required | (optional or {})
+    lost = [f"{c}: missing" for c in required if c not in have]
+    wrong = [f"{c}: {have[c]}, not {t}" for c, t in known.items() if c in have and have[c] != t]
+    return lost + wrong + [f"{c}: unknown" for c in have if c not in known]
+
+
+def check_packed(spark: SparkSession, path: str) -> DataFrame:
+    """The rows of a corpus that find_shards accepts, with an error on the first dataset whose rows do not run from 0 or differ in width.
+
+    One aggregation looks at row numbers and widths; rows are then read as they are.
+    """
+    find_shards(spark, path)
+    rows = read_packed(spark, path)
+    i, width = F.col("row_index"), F.size("x")
+    ok = (F.min(i) == 0) & (F.max(i) == F.count("*") - 1) & (F.count_distinct(i) == F.count("*")) & (F.min(width) == F.max(width))
+    bad = rows.groupBy("dataset_index", "split").agg(ok.alias("ok")).where("NOT coalesce(ok, false)").orderBy("dataset_index", "split").limit(5).collect()
+    if bad:
+        raise ValueError(f"rows are not contiguous or differ in width: {[(r['dataset_index'], r['split']) for r in bad]}")
+    return rows
+
+
 def read_packed(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(ROWS + ", shard long").parquet(f"{path}/rows")
 
@@ -112,10 +160,38 @@ def write_json(payload: dict, path: str, *, replace: bool = False) -> str:
 
 
 def manifest(rows: DataFrame, *, run: str, config: dict, elapsed: float) -> dict:
-    """A hand-off record of a corpus: identity, sizes, digest and throughput."""
+    """A record of a corpus: identity, sizes, digest and throughput."""
     from ..operators.gates import digest
 
     per = digest(rows, ["dataset_index", "split", "row_index", "x", "y"], ["dataset_index"])
     # The digests of datasets are added up in turn, so that none are gathered.
     total = digest(per, ["dataset_index", "n", "digest"], []).join(per.agg(F.sum("n").alias("rows")), how="cross").first()  # one row each
-    return {"schema_version": "1.0.0", "run": run, "config": config, "datasets": total["n"], "rows": total["rows"] or 0, "digest": total["digest"], "datasets_per_minute": 60 * total["n"] / elapsed if elapsed else None}
+    return {"schema_version": "1.1.0", "run": run, "config": config, "datasets": total["n"], "rows": total["rows"] or 0, "digest": total["digest"], "datasets_per_minute": 60 * total["n"] / elapsed if elapsed else None}
+
+
+def handoff(spark: SparkSession, root: str, record: dict, *, groups: dict[str, str], hardware: dict, sections: tuple[str, ...] = ("rows", "metadata")) -> dict:
+    """What a consumer of a corpus needs: its record, identity groups, hardware, and for each section its relative path, files, bytes and a checksum.
+
+    A section's checksum is made of its files' lengths and SHA-256 sums, added up by name on the executors; a file
+    is read whole by one task, as files of a corpus are small (FILE_DATASETS).
+    """
+    from ..operators.gates import digest
+
+    out = {}
+    for section in sections:
+        files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "part-*").load(f"{root}/{section}")
+        # Part names hold a job's number; the folders and the contents do not.
+        folder = F.regexp_extract("path", f"/{section}/(.*)/[^/]*$", 1)
+        named = files.select(folder.alias("folder"), "length", F.sha2("content", 256).alias("sum"))
+        got = digest(named, ["folder", "length", "sum"], []).join(named.agg(F.coalesce(F.sum("length"), F.lit(0)).alias("bytes")), how="cross").first()  # one row each
+        out[section] = {"path": section, "files": got["n"], "bytes": got["bytes"], "checksum": got["digest"]}
+    return {"schema_name": "quillspan.handoff", "schema_version": 1, "corpus": record, "identity": groups, "hardware": hardware, "artifacts": out}
+
+
+def check_handoff(spark: SparkSession, root: str, payload: dict) -> list[str]:
+    """What of a hand-off record does not hold (names of fields, in order); empty for a sound corpus."""
+    lacking = [k for k in ("schema_name", "schema_version", "corpus", "identity", "hardware", "artifacts") if k not in payload]
+    if lacking:
+        return lacking
+    now = handoff(spark, root, payload["corpus"], groups=payload["identity"], hardware=payload["hardware"], sections=tuple(payload["artifacts"]))
+    return [f"artifacts.{name}.{k}" for name, held in sorted(payload["artifacts"].items()) for k in sorted(held) if held[k] != now["artifacts"][name].get(k)]

@@ -9,6 +9,7 @@ from __future__ import annotations
 import os
 import time
 from collections.abc import Callable
+from dataclasses import asdict
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,31 +18,34 @@ from pyspark.sql import functions as F
 from .functions.rng import SeedPath
 from .operators import audit, coverage, extra_trees, gates, metrics, postprocess
 from .operators.generate import describe, generate_corpus
-from .plans.config import Config, resolve
-from .plans.sampling import edge_density, sample_layout, shift_facts
-from .sources import packed
+from .plans.config import Config, Hardware, apply_policy, resolve, suite_presets
+from .plans.sampling import edge_density, sample_layout, shift_facts, stable_hash
+from .sources import lineage, packed
 from .sources.reports import rows_of, write_report
 
 #: Thresholds tried by calibration beside the configured one.
 THRESHOLDS = (0.80, 0.85, 0.90, 0.95, 0.99)
 
 
-def corpus_rows(spark: SparkSession, config: Config, n_datasets: int) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
-    """Rows of a corpus after clipping, scaling and hiding of values, all in the task that makes a dataset; and what makes metadata of them once written."""
+def corpus_rows(spark: SparkSession, config: Config, n_datasets: int, on_dataset: Callable | None = None) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """Rows of a corpus after clipping, scaling and hiding of values, all in the task that makes a dataset; and what makes metadata of them once written.
+
+    on_dataset(index, x, y, rows of train) is called with each finished dataset in its task, and may return it changed as (x, y).
+    """
     d = config.dataset
     kinds = sample_layout(config, SeedPath(config.seed)).kinds
     scale = d.mnar_logit_scale if d.missing_mechanism == "mnar" else d.mar_logit_scale
     hides = d.missing_mechanism != "none" and d.missing_rate > 0
-    seed, task = config.seed, d.task
+    seed, task, attempts = config.seed, d.task, config.filter.max_attempts
 
     def finish(index, x, y, n_train):
         x, y = postprocess.finish_dataset(x, y, n_train, kinds, task)
         if hides:
             x = postprocess.hide_cells(x, n_train, index, d.missing_mechanism, d.missing_rate, seed, observed=d.mar_observed_fraction, scale=scale)
-        return x, y
+        return (on_dataset and on_dataset(index, x, y, n_train)) or (x, y)
 
-    rows, _ = generate_corpus(spark, config, n_datasets, finish=finish)
-    return rows, lambda written: describe(written, config)
+    rows, _ = generate_corpus(spark, config, n_datasets, attempts=attempts, finish=finish)
+    return rows, lambda written: describe(written, config, attempts)
 
 
 def corpus_metrics(rows: DataFrame, config: Config, *, spearman: bool = True, forest: bool = False) -> DataFrame:
@@ -75,12 +79,16 @@ def run_generate(spark: SparkSession, config: Config, n_datasets: int, out: str,
         packed.write_json(config.to_dict(), f"{reports}/effective_config.json")
         packed.write_json({"overrides": trace}, f"{reports}/effective_config_trace.json")
         packed.write_json(record, f"{reports}/manifest.json")
+        lineage.write_blobs(meta(written), out, shard_size=config.output.shard_size)
+        groups = {"run": stable_hash({"config": config.to_dict()}), "layout": run, "request": stable_hash({"config": config.to_dict(), "datasets": n_datasets})}
+        payload = packed.handoff(spark, out, record, groups=groups, hardware=asdict(Hardware.of(spark)), sections=("rows", "metadata", "lineage/blobs", "lineage/index"))
+        packed.write_json(payload, f"{reports}/handoff_manifest.json")
     return record
 
 
 def judge_corpus(rows: DataFrame, config: Config) -> DataFrame:
     f = config.filter
-    return extra_trees.filter_datasets(rows, config.dataset.task, config.seed, trees=f.n_estimators, depth=f.max_depth, bootstraps=f.n_bootstrap, threshold=f.threshold)
+    return extra_trees.filter_datasets(rows, config.dataset.task, config.seed, trees=f.n_estimators, depth=f.max_depth, bootstraps=f.n_bootstrap, threshold=f.threshold, leaf=f.min_samples_leaf, leaves=f.max_leaf_nodes, max_features=f.max_features)
 
 
 def run_filter(spark: SparkSession, config: Config, corpus: str, out: str) -> dict:
@@ -129,6 +137,22 @@ def run_audit(spark: SparkSession, baseline: Config, variants: dict[str, Config]
     return {"variants": got["status"], "status": next((s for s in ("fail", "insufficient_metrics", "warn") if s in found), "pass")}
 
 
+def baseline_of(found: list[tuple[str, str, float]]) -> dict:
+    """What a later benchmark is gated against: {preset: {metric: value}}, as run_benchmark reads it."""
+    out: dict[str, dict[str, float]] = {}
+    for preset, metric, value in sorted(found):
+        out.setdefault(preset, {})[metric] = float(value)
+    return out
+
+
+def run_suite(spark: SparkSession, config: Config, out: str, *, suite: str | None = None, policy: str = "none", after: Callable[[Config], Config] | None = None, **options) -> dict:
+    """run_benchmark over the presets of a suite, each changed by a hardware policy, and then by ``after``; thresholds are the configuration's."""
+    presets = {n: apply_policy(policy, c, Hardware.of(spark)) for n, c in suite_presets(config, suite).items()}
+    presets = {n: after(c).validated() for n, c in presets.items()} if after else presets
+    n = max(c.benchmark.num_datasets for c in presets.values())
+    return run_benchmark(spark, presets, n, out, warn=config.benchmark.warn_threshold_pct, fail=config.benchmark.fail_threshold_pct, **options)
+
+
 def run_benchmark(spark: SparkSession, presets: dict[str, Config], n_datasets: int, out: str, *, baseline: dict[str, dict[str, float]] | None = None, warn: float = 10, fail: float = 20, reports: str | None = None) -> dict:
     """Times generation, writing and filtering of each preset and gates the rates against baseline ({preset: {metric: value}})."""
     found = []
@@ -151,5 +175,7 @@ def run_benchmark(spark: SparkSession, presets: dict[str, Config], n_datasets: i
     if reports:
         os.makedirs(reports, exist_ok=True)
         write_report("Benchmark", {"rates": (current, ["preset", "metric"]), "gate": (issues, ["preset", "metric"])}, f"{reports}/benchmark")
+    if reports:
+        packed.write_json(baseline_of(found), f"{reports}/baseline.json")
     rates: dict[str, dict[str, float]] = reduce(lambda a, r: a | {r[0]: a.get(r[0], {}) | {r[1]: r[2]}}, found, {})
     return {"rates": rates, "status": gates.gate_status(issues).first()["status"]}
