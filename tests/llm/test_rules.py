@@ -52,7 +52,7 @@ def test_verdicts_equal_brute_force(spark, awkward):  # noqa: F811
     odd = ["- " + prose(rng, 5) + " ...", "• x y…", "12 $ 3.4 ==", prose(rng, 6), " \t", "* a..."]
     rows = [(1000 + i, "\n".join(rng.choice(odd[rng.randrange(6) :]) for _ in range(rng.randrange(1, 20))), "en", "s", 1) for i in range(200)]
     df = spark.createDataFrame([*awkward, *rows], SCHEMA).withColumn("N_evaluated", F.lit("clash"))
-    rejected = set()
+    rejected, kinds = set(), set()
     for r in quality_report(df, key=F.col("doc_id")).collect():
         text = r["text"] or ""
         w = [x.decode() for x in text.encode().split()]
@@ -70,4 +70,5 @@ def test_verdicts_equal_brute_force(spark, awkward):  # noqa: F811
         assert r["kept"] == (not r["base_failed"] and not any(fails.values())), (r, fails)
         assert r["failed_rule"] in ([None] if r["kept"] else ["failed"] if r["base_failed"] else [k for k, v in fails.items() if v])
         rejected.add(r["failed_rule"])
-    assert {"failed", None} < rejected and len(rejected) > 3
+        kinds |= set() if r["base_failed"] else {k for k, v in fails.items() if v}
+    assert {"failed", None} < rejected and len(kinds) > 2  # which of several names a row depends on the order
