@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,22 +29,45 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+#: Paths of the tables made in each settled() under way.
+_scratch: list[list[str]] = []
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write df as Parquet to the shared folder and read it back: its lineage is cut, each row computed once."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
+    if _scratch:
+        _scratch[-1].append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def forget(df: DataFrame) -> None:
     """Delete the files of a table made by materialize()."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
     for file in df.inputFiles()[:1]:
-        path = jvm.org.apache.hadoop.fs.Path(file).getParent()
-        if path.getName().startswith("table-"):
-            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        folder = file.rpartition("/")[0]
+        if folder.rpartition("/")[2].startswith("table-"):
+            _delete(df.sparkSession, folder)
+
+
+def settled(spark: SparkSession, make: Callable[[], DataFrame]) -> DataFrame:
+    """make()'s rows as a table of their own; the tables that materialize() made on the way are deleted."""
+    _scratch.append([])
+    try:
+        out = materialize(make())
+        path = _scratch[-1].pop()  # the last one made is what stays
+        if len(_scratch) > 1:
+            _scratch[-2].append(path)
+        return out
+    finally:
+        for path in _scratch.pop():
+            _delete(spark, path)
 
 
 def word_count(text: Column) -> Column:
