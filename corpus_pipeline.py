@@ -9,7 +9,7 @@ from quillspan.llm.language import UNDECIDED, identify_language
 from quillspan.llm.minhash import near_duplicates
 from quillspan.llm.mixing import mix_sources
 from quillspan.llm.packing import pack_documents
-from quillspan.llm.session import WORD, materialize
+from quillspan.llm.session import WORD, forget, materialize, settled
 from quillspan.llm.suffix_trees import dedup_substrings
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -68,8 +68,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The rows of the last stage over documents; each stage's result is written to the shared folder."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The rows of the last stage over documents; each stage's result is written to the shared folder, and goes when the next one's is there."""
+    docs, held = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for _, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir))
+        docs = settled(spark, lambda: stage(spark, docs, sf_dir))  # noqa: B023 (called at once)
+        if held is not None:
+            forget(held)
+        held = docs
     return STAGES[-1][1](spark, docs, sf_dir)
