@@ -6,24 +6,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.activations import finite_or_null
-from .ordering import exact_percentiles, join_groups
+from .ordering import exact_percentiles
 
 
 def coverage_summary(metrics: DataFrame, quantiles: tuple[float, ...] = (0.05, 0.25, 0.5, 0.75, 0.95), *, exact: bool = True) -> DataFrame:
     """(metric, count, missing, mean, std, min, max, q...): non-finite values count as missing; std is the population's."""
     m = metrics.withColumn("value", finite_or_null(F.col("value")))
-    q = [] if exact else [F.percentile_approx("value", list(quantiles), 10_000).alias("q")]
-    out = m.groupBy("metric").agg(
-        F.count("value").alias("count"),
-        F.count(F.when(F.col("value").isNull(), 1)).alias("missing"),
-        F.avg("value").alias("mean"),
-        F.stddev_pop("value").alias("std"),
-        F.min("value").alias("min"),
-        F.max("value").alias("max"),
-        *q,
-    )
+    v = F.col("value")
+    plain = {"count": F.count(v), "missing": F.count(F.when(v.isNull(), 1)), "mean": F.avg(v), "std": F.stddev_pop(v), "min": F.min(v), "max": F.max(v)}
     if exact:
-        out = join_groups(out, exact_percentiles(m, {"q": F.col("value")}, quantiles, ["metric"]), ["metric"])
+        out = exact_percentiles(m, {"q": v}, quantiles, ["metric"], plain)
+    else:
+        out = m.groupBy("metric").agg(*[a.alias(n) for n, a in plain.items()], F.percentile_approx("value", list(quantiles), 10_000).alias("q"))
     names = [f"p{round(100 * x):02d}" for x in quantiles]
     return out.select("metric", "count", "missing", "mean", "std", "min", "max", *[F.col("q")[i].alias(n) for i, n in enumerate(names)])
 

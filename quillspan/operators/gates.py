@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ordering import exact_percentiles, join_groups
+from .ordering import exact_percentiles
 
 #: Metrics of which less is better; of all others more is better.
 LOWER_IS_BETTER = ("elapsed_seconds", "latency_p95_ms", "peak_rss_mb")
@@ -74,8 +74,7 @@ def attempt_pressure(runs: DataFrame, group: list[str]) -> DataFrame:
 def latency_summary(df: DataFrame, seconds: str, group: list[str]) -> DataFrame:
     """(group, mean_ms, p95_ms, min_ms, max_ms); the percentile is exact, in bounded memory."""
     ms = F.col(seconds) * 1000
-    plain = df.groupBy(*group).agg(F.avg(ms).alias("mean_ms"), F.min(ms).alias("min_ms"), F.max(ms).alias("max_ms"))
-    out = join_groups(plain, exact_percentiles(df, {"q": ms}, (0.95,), group), group)
+    out = exact_percentiles(df, {"q": ms}, (0.95,), group, {"mean_ms": F.avg(ms), "min_ms": F.min(ms), "max_ms": F.max(ms)})
     return out.select(*group, "mean_ms", F.col("q")[0].alias("p95_ms"), "min_ms", "max_ms")
 
 

@@ -23,18 +23,19 @@ def join_groups(df: DataFrame, stats: DataFrame, group: list[str], how: str = "l
     return df.join(right, [df[g].eqNullSafe(right[f"g#{g}"]) for g in group], how).drop(*[f"g#{g}" for g in group])
 
 
-def exact_percentiles(df: DataFrame, values: dict[str, Column], quantiles: tuple[float, ...], group: list[str]) -> DataFrame:
+def exact_percentiles(df: DataFrame, values: dict[str, Column], quantiles: tuple[float, ...], group: list[str], more: dict[str, Column] | None = None) -> DataFrame:
     """(group, name: array of quantiles) of each named value: exact, interpolated linearly, nulls left out.
 
-    Two aggregations of bounded memory.  Sketches bracket each quantile between two values of the group; then
+    ``more`` are further aggregates by name, made in the same look at the rows.  Two aggregations of bounded memory.  Sketches bracket each quantile between two values of the group; then
     values under the bracket are counted, and only those strictly inside, some thousandths of a percent of the group,
     are gathered and sorted.
     """
     margin = 3 / ACCURACY
     near = [min(1.0, max(0.0, q + side * margin)) for q in quantiles for side in (-1, 1)]
+    more = more or {}
     named = df.select(*group, *[v.alias(name) for name, v in values.items()])
+    bounds = df.groupBy(*group).agg(*[a.alias(f"m#{c}") for c, a in more.items()], *[x for name, v in values.items() for x in (F.count(v).alias(f"n#{name}"), F.min(v).alias(f"a#{name}"), F.max(v).alias(f"b#{name}"), F.percentile_approx(v, near, ACCURACY).alias(f"s#{name}"))])
     values = {name: F.col(name) for name in values}
-    bounds = named.groupBy(*group).agg(*[x for name, v in values.items() for x in (F.count(v).alias(f"n#{name}"), F.min(v).alias(f"a#{name}"), F.max(v).alias(f"b#{name}"), F.percentile_approx(v, near, ACCURACY).alias(f"s#{name}"))])
     ends: dict[tuple[str, int], tuple[Column, Column]] = {}
     for name in values:
         few = F.col(f"n#{name}") <= ACCURACY
@@ -45,7 +46,7 @@ def exact_percentiles(df: DataFrame, values: dict[str, Column], quantiles: tuple
     for (name, i), (lo, hi) in ends.items():
         v = values[name]
         aggs += [F.count_if(v < lo).alias(f"lt#{name}#{i}"), F.count_if(v == lo).alias(f"eq#{name}#{i}"), F.array_sort(F.collect_list(F.when((v > lo) & (v < hi), v))).alias(f"in#{name}#{i}"), F.first(lo).alias(f"lo#{name}#{i}"), F.first(hi).alias(f"hi#{name}#{i}")]
-    aggs += [F.first(f"n#{name}").alias(f"n#{name}") for name in values]
+    aggs += [F.first(f"n#{name}").alias(f"n#{name}") for name in values] + [F.first(f"m#{c}").alias(f"m#{c}") for c in more]
     found = joined.groupBy(*group).agg(*aggs)
 
     def at(name: str, i: int, k: Column) -> Column:
@@ -62,7 +63,7 @@ def exact_percentiles(df: DataFrame, values: dict[str, Column], quantiles: tuple
             a, b = at(name, i, low), at(name, i, F.ceil(place))
             each.append(F.when(F.col(f"n#{name}") > 0, a + (place - low) * (b - a)))
         out.append(F.array(*each).alias(name))
-    return found.select(*group, *out)
+    return found.select(*group, *[F.col(f"m#{c}").alias(c) for c in more], *out)
 
 
 def _offsets(sizes: DataFrame, group: list[str], part: str, n: str, out: str) -> DataFrame:
