@@ -147,7 +147,7 @@ def repeat_stretches(texts: Texts, window: int, gram: int) -> DataFrame:
 
     ``start`` is the first run's first word, ``runs`` the number of consecutive runs, ``at`` the
     anchor's word counted from ``start``, ``words`` the text from the first run's first word to the
-    last run's last.  A row without words states that its run is known to repeat an earlier one of
+    last run's last.  A row without words states that its runs are known to repeat earlier ones of
     the same batch.
     """
     common = common_anchors(texts.narrow, window, gram)
@@ -231,14 +231,27 @@ def _stretch_batches(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
 
 
 def _represented(full: dict[bytes, list]) -> Iterator[pa.RecordBatch]:
-    """One row with words for each distinct run, one without for each of its later places; full is emptied."""
+    """One row with words for each distinct run, one without for its later places; full is emptied.
+
+    Later places that follow each other in a document are one row, of so many runs.
+    """
     keys = _hash_texts(list(full))
     out: list[tuple] = []
+    known: list[tuple] = []
     for key, (words, places) in zip(keys, full.items(), strict=True):
         lead = min(places, key=earliest) if len(places) > 1 else places[0]
         out.append((key, *lead, 1, 0, words))
-        out += ((key ^ ((i + 1) * 0x51ED27), *p, 1, 0, None) for i, p in enumerate(places) if p != lead)
+        known += (p for p in places if p != lead)
     full.clear()
+    known.sort(key=earliest)
+    at = 0
+    while at < len(known):
+        doc, tie, start = known[at]
+        n = 1
+        while at + n < len(known) and known[at + n] == (doc, tie, start + n):
+            n += 1
+        out.append((tie ^ (start * 0x51ED27), doc, tie, start, n, 0, None))
+        at += n
     yield from _stretch_batches(out)
 
 
@@ -300,7 +313,7 @@ def grouped(stretches: DataFrame, window: int, of_group: Callable[[list[tuple],
 
         for batch in batches:
             rows = list(zip(*(c.to_pylist() for c in batch.columns), strict=True))
-            known = [(d, t, s, window) for _, d, t, s, _, _, w in rows if w is None]
+            known = [(d, t, s, n + window - 1) for _, d, t, s, n, _, w in rows if w is None]
             if known:
                 yield _span_batch(known)
             held += [r for r in rows if r[6] is not None]
